@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .bpe_codec import op9_bpe_codec
+from .html_extract import op2_html_extraction
+from .langid_crf import op3_language_id
 from .packing import op4_best_two_fit_packing
 from .token_counts import op5_token_counts
+from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_best_two_fit_packing, op5_token_counts, op9_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_language_id, op4_best_two_fit_packing, op5_token_counts, op6_toxicity, op9_bpe_codec)}
 
 # None of these operators can be written in SQL at the size of the tables: tokenizers,
 # learned models, graph searches and iterated links are tested against brute force.
