@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Character classes of Latin-1, spelled out so that they equal the tokenizers' classes.
@@ -25,6 +27,28 @@ _PLAIN = re.compile(f" ?[{_LETTER}]+")
 _loaded: dict = {}
 
 
+class Memo(dict):
+    """What pieces are known to encode to: two generations of bounded size, so that
+    pieces in use stay while others go."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.entries, self.old = entries, {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """Those of pieces that are to be learned; makes room, and keeps the others at hand."""
+        if len(self) > self.entries:
+            self.old = dict(self)
+            self.clear()
+        old, new = self.old, []
+        for w in pieces.difference(self):
+            if w in old:
+                self[w] = old[w]
+            else:
+                new.append(w)
+        return new
+
+
 def load(path: str):
     """The library's tokenizer at path, without truncation and padding, once per process."""
     if path not in _loaded:
@@ -49,30 +73,21 @@ class WordEncoder:
     """ids of texts, as packed little-endian unsigned 32-bit bytes, under a tokenizer
     that lower-cases, drops white space and marks word ends."""
 
-    def __init__(self, path: str, entries: int = 300_000):
-        self.library, self.entries = load(path), entries
-        self.memo: dict[str, bytes] = {}
-        ends = [t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
-        self.ends = ends
+    def __init__(self, path: str, entries: int = 400_000):
+        self.library, self.memo = load(path), Memo(entries)
+        self.ends = np.array([t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])])
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if not new:
-            return
-        if len(self.memo) + len(new) > self.entries:
-            self.memo = {}
-            new = list(words)
+        new = self.memo.missing(words)
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
-            ids = self.library.encode(" ".join(part), add_special_tokens=False).ids
-            out, begin = [], 0
-            for i, x in enumerate(ids):
-                if self.ends[x]:
-                    out.append(ids[begin : i + 1])
-                    begin = i + 1
-            if len(out) != len(part) or begin != len(ids):  # a piece is not closed by a word end
-                out = [self.library.encode(w, add_special_tokens=False).ids for w in part]
-            self.memo.update((w, pack(x)) for w, x in zip(part, out, strict=True))
+            ids = np.asarray(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            if len(cut) == len(part) + 1 and cut[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                self.memo.update(zip(part, [data[a:z] for a, z in zip(cut, cut[1:], strict=False)], strict=True))
+            else:  # a piece is not closed by a word end
+                self.memo.update((w, pack(self.library.encode(w, add_special_tokens=False).ids)) for w in part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts of one slice (see by_bytes): their words are held at once."""
@@ -89,9 +104,8 @@ class WordEncoder:
 class ByteCounter:
     """Token counts of texts under a byte-level BPE."""
 
-    def __init__(self, path: str, entries: int = 500_000):
-        self.library, self.entries = load(path), entries
-        self.memo: dict[str, int] = {}
+    def __init__(self, path: str, entries: int = 400_000):
+        self.library, self.memo = load(path), Memo(entries)
         ids = self.library.encode("\n", add_special_tokens=False).ids
         self.newline = ids[0] if len(ids) == 1 else None
 
@@ -99,12 +113,7 @@ class ByteCounter:
         return len(self.library.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, pieces: set[str]) -> None:
-        new = [w for w in pieces if w not in self.memo]
-        if not new:
-            return
-        if len(self.memo) + len(new) > self.entries:
-            self.memo = {}
-            new = list(pieces)
+        new = self.memo.missing(pieces)
         plain = [w for w in new if self.newline is not None and _PLAIN.fullmatch(w)]
         for w in set(new) - set(plain):
             self.memo[w] = self._count(w)
@@ -134,8 +143,6 @@ class ByteCounter:
 
 
 def pack(ids: list[int]) -> bytes:
-    import numpy as np
-
     return np.asarray(ids, "<u4").tobytes()
 
 
