@@ -14,7 +14,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
@@ -56,6 +57,19 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> list[Row]:
+    """At most ``rows`` rows of df, those of the least hashes of key, the same at every run.
+
+    The rows are counted first, so that only about as many as are kept come to the driver.
+    """
+    n = df.count()
+    if n > rows:
+        share = int((rows + 3 * rows**0.5) / n * (1 << 30))
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share)
+    found = df.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(1 << 30))).collect()
+    return sorted(found, key=lambda r: tuple(str(x).rjust(24) for x in (r["_h"], r[key])))[:rows]
+
+
 def by_bytes(texts: list, budget: int) -> Iterator[slice]:
     """Slices of a batch that hold about ``budget`` characters, one row at least."""
     begin = held = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid_crf import words_of
-from .shared import by_bytes
+from .shared import bounded_sample, by_bytes
 
 # Terms that name a group. Within a row they can stand for each other.
 IDENTITY_TERMS = (
@@ -52,6 +53,25 @@ def swapped(text: str, limit: int = 4) -> list[str]:
     return out
 
 
+SLOTS = 1 << 22
+
+
+def _slot(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % SLOTS
+
+
+def _evidence(seen: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log likelihood ratios of features seen in so many texts of each class, of which
+    there are ``size``."""
+    rate = seen.sum(1) / size.sum()
+
+    def part(a: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(a > 0, a * np.log(p / q), 0.0)
+
+    return sum(part(seen[:, k], seen[:, k] / size[k], rate) + part(size[k] - seen[:, k], 1 - seen[:, k] / size[k], 1 - rate) for k in (0, 1))
+
+
 class ToxicityModel:
     """A logistic model over the distinct words of a text: each adds the weights of its
     selected features."""
@@ -77,43 +97,41 @@ def train(texts: list[str], toxic: list[int], keep: int = 3000, penalty: float =
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, 4.0 if len(y) and y[0] else -4.0)
-    bags = [{f for w in set(words_of(t)) for f in word_features(w)} for t in texts]
-    n = {0: {}, 1: {}}
-    for bag, label in zip(bags, toxic, strict=True):
-        own = n[int(label)]
-        for f in bag:
-            own[f] = own.get(f, 0) + 1
     size = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    names = [f for f in n[0].keys() | n[1].keys() if n[0].get(f, 0) + n[1].get(f, 0) >= 3]
-    names.sort()
-    seen = np.array([[n[0].get(f, 0), n[1].get(f, 0)] for f in names], float).reshape(-1, 2)
-    rate = seen.sum(1) / size.sum()
-
-    def part(a: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(a > 0, a * np.log(p / q), 0.0)
-
-    evidence = sum(part(seen[:, k], seen[:, k] / size[k], rate) + part(size[k] - seen[:, k], 1 - seen[:, k] / size[k], 1 - rate) for k in (0, 1))
-    enough = np.log(max(len(names), 1)) + 2
+    # First all features by hash, in tables of fixed size; then those that may be chosen, by name.
+    table = np.zeros((2, SLOTS), np.int32)
+    for t, label in zip(texts, toxic, strict=True):
+        table[int(label), np.unique([_slot(f) for w in set(words_of(t)) for f in word_features(w)] or [0])] += 1
+    common = np.flatnonzero(table.sum(0) >= 3)
+    enough = np.log(max(len(common), 1)) + 2
+    promising = np.zeros(SLOTS, bool)
+    promising[common] = _evidence(table[:, common].T.astype(float), size) >= enough
+    counts: dict[str, list[int]] = {}
+    for t, label in zip(texts, toxic, strict=True):
+        for f in {f for w in set(words_of(t)) for f in word_features(w) if promising[_slot(f)]}:
+            counts.setdefault(f, [0, 0])[int(label)] += 1
+    names = sorted(f for f, n in counts.items() if sum(n) >= 3)
+    seen = np.array([counts[f] for f in names], float).reshape(-1, 2)
+    evidence = _evidence(seen, size)
     chosen = [names[i] for i in np.argsort(-evidence, kind="stable")[:keep] if evidence[i] >= enough]
     chosen += [t for row in IDENTITY_TERMS for t in row if t not in set(chosen)]
     at = {f: i for i, f in enumerate(chosen)}
 
-    def matrix(rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matrix(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row numbers, columns and counts of the features of distinct words."""
         r, c = [], []
-        for i, words in enumerate(rows):
-            for w in set(words):
+        for i, t in enumerate(rows):
+            for w in set(words_of(t)):
                 for f in word_features(w):
                     if f in at:
                         r.append(i)
                         c.append(at[f])
         return np.array(r, np.int64), np.array(c, np.int64), np.ones(len(r))
 
-    r, c, v = matrix([words_of(t) for t in texts])
+    r, c, v = matrix(texts)
     pairs = [x for t in texts for x in swapped(t)]
-    pr, pc, pv = matrix([words_of(a) for a, _ in pairs])
-    qr, qc, qv = matrix([words_of(b) for _, b in pairs])
+    pr, pc, pv = matrix([a for a, _ in pairs])
+    qr, qc, qv = matrix([b for _, b in pairs])
     pr, pc, pv = np.concatenate([pr, qr]), np.concatenate([pc, qc]), np.concatenate([pv, -qv])
     class_weight = np.where(y == 1, 0.5 / size[1], 0.5 / size[0])
     w, m, s = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
@@ -149,14 +167,16 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 4000) -> ToxicityModel:
     """Learns from at most ``train_rows`` labelled rows whose crc32(doc_id) mod 5 is not 0:
     those of the smallest hashes of doc_id."""
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    chosen = marks.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_rows)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.orderBy("h", "doc_id", "text").limit(train_rows).collect()
+    chosen = bounded_sample(marks, "doc_id", train_rows)
+    spark = docs.sparkSession
+    found = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], marks.schema)
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(found), "doc_id").collect()
+    rows = sorted(rows, key=lambda r: (str(r["doc_id"]).rjust(24), r["text"]))[:train_rows]
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
