@@ -1 +1,172 @@
-"""."""
+"""Queries that score, rank and decide."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import routing as R
+from ..operators.ranking import top_k
+from ..sources.tables import EVENTS_SQL, event_ledger, table
+from .registry import query
+
+TASKS = ["paint the red plate", "review large steel gear workflow", "hot anvil and small bolt", "nothing of this"]
+TASKS_SQL = "tk AS (SELECT unnest(['paint the red plate', 'review large steel gear workflow', 'hot anvil and small bolt', 'nothing of this']) AS task)"
+
+
+def _tasks(df: DataFrame) -> DataFrame:
+    """Each row with each task: the tasks are literals of the plan."""
+    return df.withColumn("task", F.explode(F.array(*map(F.lit, TASKS))))
+
+
+NAMES_SQL = "nm AS (SELECT DISTINCT p_name AS title FROM part)"
+
+
+@query(
+    f"""WITH {TASKS_SQL}, {NAMES_SQL}, s AS (SELECT task, title, string_split(title, ' ') AS w, string_split(task, ' ') AS t FROM tk, nm),
+x AS (SELECT *, contains(task, title) AS ex, len(list_intersect(list_distinct(w), list_distinct(t))) AS sh, greatest(len(list_distinct(w)), len(list_distinct(t))) AS mx, w[1] AS tag FROM s)
+SELECT task, title AS concept, round(CASE WHEN ex THEN 5.0 ELSE 0 END + CASE WHEN contains(task, tag) AND NOT (ex AND contains(title, tag)) THEN 3.0 ELSE 0 END + CASE WHEN sh * 1.0 / mx >= 0.2 OR sh >= 2 THEN 2.0 ELSE 0 END, 6) AS score
+FROM x WHERE ex OR (contains(task, tag) AND NOT (ex AND contains(title, tag))) OR sh * 1.0 / mx >= 0.2 OR sh >= 2"""
+)
+def skill_concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts (distinct part names, their first word a tag) for each task."""
+    names = _tasks(table(spark, sf_dir, "part").select(F.col("p_name").alias("title")).distinct())
+    tag = F.array(F.element_at(F.split("title", " "), 1))
+    score = R.concept_score(F.col("task"), F.col("title"), F.lit(""), tag, F.array().cast("array<string>"), F.lit("validated"))
+    return names.select("task", F.col("title").alias("concept"), F.round(score, 6).alias("score")).where("score > 0")
+
+
+@query(
+    rf"""WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || substr(text, 1, 400) AS d, length(CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || text) AS n FROM documents),
+k AS (SELECT doc_id, d, CASE doc_id % 5 WHEN 0 THEN 'decision' WHEN 1 THEN 'failure' WHEN 2 THEN 'outcome' WHEN 3 THEN 'workaround' ELSE CASE WHEN regexp_matches(d, '(?i)\b(prefer|like|always|never|don''t|hate|style|convention)\b') THEN 'preference' WHEN regexp_matches(d, '(?i)\b(last time|previously|tried|attempted|before)\b') THEN 'episodic' ELSE 'observation' END END AS type FROM m)
+SELECT type, count(*) AS n FROM k GROUP BY type"""
+)
+def memory_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F26 over the heads of documents with labels set before them."""
+    d = _labelled(spark, sf_dir)
+    return d.groupBy(R.memory_type(F.col("d")).alias("type")).agg(F.count("*").alias("n"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 5
+    lead = F.when(k == 0, "Decision: ").when(k == 1, "## Failure\n").when(k == 2, "**Outcome**: ").when(k == 3, "workaround for ").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, F.substring("text", 1, 400)).alias("d"))
+
+
+@query(
+    r"""WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || substr(text, 1, 400) AS d, CASE doc_id % 4 WHEN 0 THEN 'canonical' WHEN 1 THEN 'validated' WHEN 2 THEN 'emerging' ELSE 'candidate' END AS st, doc_id % 5 + 1 AS c, doc_id % 300 AS e FROM documents),
+k AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN 4.0 WHEN 1 THEN 5.0 WHEN 2 THEN 3.0 WHEN 3 THEN 5.0 ELSE 0.0 END AS typed, CASE WHEN contains(lower(d), 'that the') THEN 8.0 ELSE 0 END AS ph, CASE WHEN contains(lower(d), 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(lower(d), 'ing') THEN 1 ELSE 0 END + CASE WHEN contains(lower(d), 'ich') THEN 1 ELSE 0 END AS w FROM m),
+f AS (SELECT doc_id, round((0.2 + ph + least(2.0, 0.5 * w) + CASE WHEN ph > 0 OR w >= 2 THEN typed ELSE 0 END) * CASE WHEN e > 100 THEN greatest(0.3, 1 - (e - 100) / 500.0) ELSE 1.0 END * CASE st WHEN 'canonical' THEN 1.3 WHEN 'validated' THEN 1.1 WHEN 'emerging' THEN 0.9 ELSE 0.7 END * (0.5 + c / 10.0), 6) AS final_score FROM k)
+SELECT doc_id, final_score FROM f WHERE final_score > 0 ORDER BY final_score DESC, doc_id LIMIT 20"""
+)
+def memory_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled heads of documents for a query that names a phrase and three words."""
+    k = F.col("doc_id")
+    status = F.element_at(F.array(*map(F.lit, ["canonical", "validated", "emerging", "candidate"])), (k % 4 + 1).cast("int"))
+    kind = R.memory_type(F.col("d"))
+    kind = F.when(kind.isin("preference", "episodic"), "observation").otherwise(kind)
+    _, final = R.rerank(F.lit(0.2), F.col("d"), kind, {"phrases": ["that the"], "words": ["tion", "ing", "ich"]}, status, k % 5 + 1, k % 300)
+    rows = _labelled(spark, sf_dir).select("doc_id", F.round(final, 6).alias("final_score")).where("final_score > 0")
+    return top_k(rows, 20, F.desc("final_score"), F.asc("doc_id"))
+
+
+@query(
+    """WITH t AS (SELECT page_id, html FROM pages),
+c AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'docs' WHEN 2 THEN 'test' ELSE 'config' END AS type, CASE WHEN contains(lower(html), 'tion') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(html), 'erheit') THEN 3.0 ELSE 0 END AS ev FROM t),
+s AS (SELECT page_id, type, CASE WHEN ev > 0 THEN ev + CASE type WHEN 'service' THEN 6.0 WHEN 'docs' THEN -8.0 WHEN 'test' THEN -10.0 ELSE -5.0 END ELSE 0 END AS score FROM c)
+SELECT page_id, type, score FROM s WHERE score > 0"""
+)
+def source_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of two words, a boost for code, penalties without intent."""
+    k = F.col("page_id") % 4
+    rel = F.when(k == 0, F.lit("src/a_service.py")).when(k == 1, F.lit("docs/a.md")).when(k == 2, F.lit("tests/test_a.py")).otherwise(F.lit("conf/a.toml"))
+    low = F.lower("html")
+    ev = F.when(F.contains(low, F.lit("tion")), 3.0).otherwise(0.0) + F.when(F.contains(low, F.lit("erheit")), 3.0).otherwise(0.0)
+    kind = R.source_type(rel)
+    shift = F.when(kind.isin("service", "adapter", "client"), 6.0).when(kind == "docs", -8.0).when(kind == "test", -10.0).when(kind == "config", -5.0).otherwise(5.0)
+    rows = table(spark, sf_dir, "pages").select("page_id", kind.alias("type"), F.when(ev > 0, ev + shift).otherwise(0.0).alias("score"))
+    return rows.where("score > 0")
+
+
+@query(
+    f"""WITH {TASKS_SQL}, d AS (SELECT p_partkey AS id, p_name AS title, CASE p_partkey % 3 WHEN 0 THEN 'workflow for the ' || p_name ELSE 'keep it' END AS rule, CASE WHEN p_partkey % 50 = 0 THEN 'global' ELSE 'shop' END AS scope, CASE WHEN p_partkey % 2 = 0 THEN 'critical' ELSE 'normal' END AS priority FROM part WHERE p_partkey <= 400)
+SELECT task, id FROM tk, d WHERE scope = 'global' OR contains(task, title) OR (p3 AND contains(task, 'workflow'))""".replace("SELECT task, id FROM tk, d", "SELECT task, id FROM tk, (SELECT *, id % 3 = 0 AS p3, string_split(title, ' ') AS w FROM d) d").replace("OR contains(task, title)", "OR (len(list_filter(w, lambda x: list_contains(string_split(task, ' '), x) AND x <> 'review')) >= 2)")
+)
+def directive_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which directives match each task (a registry of 400)."""
+    return _directives(spark, sf_dir).select("task", "id")
+
+
+def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    d = table(spark, sf_dir, "part").where(k <= 400).select(
+        k.alias("id"),
+        F.col("p_name").alias("title"),
+        F.when(k % 3 == 0, F.concat(F.lit("workflow for the "), "p_name")).otherwise("keep it").alias("rule"),
+        F.when(k % 50 == 0, "global").otherwise("shop").alias("scope"),
+        F.when(k % 2 == 0, "critical").otherwise("normal").alias("priority"),
+        F.split("p_name", " ").alias("triggers"),
+        F.lit(False).alias("always_on"),
+    )
+    return R.match_directives(_tasks(d))
+
+
+@query()
+def directive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and classes."""
+    return _directives(spark, sf_dir)
+
+
+@query()
+def preflight_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for each task from its concepts, memories and directives."""
+    concepts = skill_concept_scores(spark, sf_dir).groupBy("task").agg(F.max("score").alias("best"), F.count("*").alias("n"))
+    directives = _directives(spark, sf_dir).groupBy("task").agg(F.max(F.col("can_force").cast("int")).alias("forced"), F.max(F.when(F.col("class") == "semantic_directive_match", F.col("score"))).alias("sem"))
+    notes = _tasks(_labelled(spark, sf_dir)).withColumn("kind", R.memory_type(F.col("d")))
+    memory = notes.withColumn("s", R.memory_score(F.col("task"), F.col("d"), F.col("kind"))).where("s > 0").groupBy("task").agg(F.max("s").alias("mbest"), F.max_by("kind", "s").alias("mtype"), F.count("*").alias("n_memory"))
+    rows = spark.createDataFrame([(t,) for t in TASKS], "task string").join(concepts, "task", "left").join(directives, "task", "left").join(memory, "task", "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    best = F.greatest(z("best"), z("mbest"))
+    decision = R.decide(best, z("mbest") > z("best"), F.coalesce("mtype", F.lit("")), z("mbest") >= 6, z("mbest") >= 4, z("mbest") < 4, z("forced") == 1, z("sem") >= 4, z("n_memory"), z("mbest") * 5, F.lit(0))
+    return rows.select("task", best.cast("double").alias("best_score"), decision.alias("decision"))
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, l AS (SELECT user_id, CASE event_type WHEN 'failure' THEN 3 WHEN 'decision' THEN 3 WHEN 'validation' THEN 2 ELSE 1 END AS lv, CASE source WHEN 'chat' THEN 1.0 WHEN 'diff' THEN 2.0 ELSE 0.0 END AS sg FROM ev)
+SELECT user_id, CASE max(lv) WHEN 3 THEN 'strong' WHEN 2 THEN 'medium' ELSE 'weak' END AS max_level, CAST(sum(CASE WHEN lv = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_strong, CAST(sum(CASE WHEN lv = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_medium, round(least(sum(sg), 10.0), 6) AS score FROM l GROUP BY user_id"""
+)
+def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A16, A17, A18"""
+    lv = F.when(F.col("event_type").isin("failure", "decision"), 3).when(F.col("event_type") == "validation", 2).otherwise(1)
+    sg = F.when(F.col("source") == "chat", 1.0).when(F.col("source") == "diff", 2.0).otherwise(0.0)
+    g = event_ledger(spark, sf_dir).groupBy("user_id").agg(F.max(lv).alias("m"), F.count_if(lv == 3).alias("n_strong"), F.count_if(lv == 2).alias("n_medium"), F.round(F.least(F.sum(sg), F.lit(10.0)), 6).alias("score"))
+    return g.select("user_id", F.when(F.col("m") == 3, "strong").when(F.col("m") == 2, "medium").otherwise("weak").alias("max_level"), "n_strong", "n_medium", "score")
+
+
+@query(
+    """WITH f AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'a/../b.py' WHEN 1 THEN 'conf/.env' WHEN 2 THEN 'x/node_modules/y.js' WHEN 3 THEN 'out/gen/a.txt' WHEN 4 THEN 'web/yarn.lock' WHEN 5 THEN 'src/m.py' WHEN 6 THEN 'tmp_a.bak' ELSE 'src/n.py' END AS p, length(html) AS n, page_id % 16 = 7 AS bin FROM pages)
+SELECT coalesce(CASE page_id % 8 WHEN 0 THEN 'path_traversal' WHEN 1 THEN 'mandatory' WHEN 2 THEN 'excluded_dir' WHEN 3 THEN 'ignore_file' WHEN 6 THEN 'ignore_file' WHEN 4 THEN 'lockfile' ELSE CASE WHEN n > 4000 THEN 'too_large' WHEN bin THEN 'binary' END END, 'indexed') AS reason, count(*) AS n, CAST(sum(greatest(1, ceil(n / 4.0))) AS BIGINT) AS est_tokens FROM f GROUP BY 1"""
+)
+def file_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10, P13, F21, A7"""
+    k = F.col("page_id") % 8
+    names = ["a/../b.py", "conf/.env", "x/node_modules/y.js", "out/gen/a.txt", "web/yarn.lock", "src/m.py", "tmp_a.bak", "src/n.py"]
+    path = F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    n = F.length("html")
+    reason = R.exclusion(path, n, F.col("page_id") % 16 == 7, ["out/**", "*.bak"], 4000)
+    return table(spark, sf_dir, "pages").select(F.coalesce(reason, F.lit("indexed")).alias("reason"), F.greatest(F.lit(1), F.ceil(n / 4)).alias("t")).groupBy("reason").agg(F.count("*").alias("n"), F.sum("t").cast("long").alias("est_tokens"))
+
+
+@query(
+    """WITH v AS (SELECT c_nationkey AS field, 'customer' AS source, c_mktsegment AS value, 3 AS conf, c_custkey AS o FROM customer UNION ALL SELECT s_nationkey, 'supplier', 'S' || CAST(s_suppkey % 3 AS VARCHAR), 4, s_suppkey FROM supplier UNION ALL SELECT n_nationkey, 'nation', n_name, 2, n_nationkey FROM nation),
+r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY conf DESC, source, o) AS r FROM v), c AS (SELECT field, CAST(count(DISTINCT value) AS BIGINT) AS n_values FROM v GROUP BY field)
+SELECT field, value, source, n_values, CASE WHEN n_values >= 3 THEN 'error' WHEN n_values = 2 THEN 'warn' ELSE 'ok' END AS conflict FROM r JOIN c USING (field) WHERE r = 1"""
+)
+def active_work_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of several sources for each field; the most confident wins."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("field"), F.lit("customer").alias("source"), F.col("c_mktsegment").alias("value"), F.lit(3).alias("conf"), F.col("c_custkey").alias("o"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("field"), F.lit("supplier").alias("source"), F.concat(F.lit("S"), (F.col("s_suppkey") % 3).cast("string")).alias("value"), F.lit(4).alias("conf"), F.col("s_suppkey").alias("o"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("field"), F.lit("nation").alias("source"), F.col("n_name").alias("value"), F.lit(2).alias("conf"), F.col("n_nationkey").cast("long").alias("o"))
+    best = F.min(F.struct((-F.col("conf")).alias("k"), "source", "o", "value"))
+    g = c.unionByName(s).unionByName(n).groupBy("field").agg(best.alias("b"), F.count_distinct("value").alias("n_values"))
+    return g.select("field", "b.value", "b.source", "n_values", F.when(F.col("n_values") >= 3, "error").when(F.col("n_values") == 2, "warn").otherwise("ok").alias("conflict"))
