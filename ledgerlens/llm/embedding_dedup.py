@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann_search import usable
-from .graphs import beam_search, distances, medoid, robust_prune
+from .graphs import beam_search, distances, medoid, robust_prune, unseen
 from .setjoin import components
 from .shared import bounded_sample, materialize
 
@@ -145,20 +145,24 @@ def _range_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, entry: in
     """Pairs (as query * n + node) within reach: a greedy search from the medoid and the
     query's own neighbours, then all neighbours of nodes within reach, until none is new."""
     n, out = len(x), []
+    # for the spread within reach, links count in both directions: a node that is on nobody's list is found
+    p, k = np.nonzero(graph >= 0)
+    q = graph[p, k]
+    both = np.unique(np.concatenate([p * n + q, q.astype(np.int64) * n + p]))
+    ends, degree = both % n, np.bincount(both // n, minlength=n)
+    start = np.cumsum(degree) - degree
     for a in range(0, n, 512):
         q = np.arange(a, min(a + 512, n))
-        ids, dist, seen = beam_search(x, norms, graph, entry, x[q], min(width, n), also=graph[q])
+        ids, dist, _ = beam_search(x, norms, graph, entry, x[q], min(width, n), also=graph[q])
         r, c = np.nonzero((dist <= reach) & (ids >= 0))
-        row, node = r, ids[r, c].astype(np.int64)
+        # what the beam saw and let go may be within reach too: the spread looks at it again
+        seen = np.zeros((len(q), n), bool)
+        row, node = unseen(seen, r, ids[r, c].astype(np.int64))
         within = [(row, node)]
         while len(row):
-            row, node = np.repeat(row, graph.shape[1]), graph[node].ravel().astype(np.int64)
-            ok = node >= 0
-            row, node = row[ok], node[ok]
-            ok = ~seen[row, node]
-            key = np.unique(row[ok] * n + node[ok])
-            row, node = key // n, key % n
-            seen[row, node] = True
+            times = degree[node]
+            step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            row, node = unseen(seen, np.repeat(row, times), ends[np.repeat(start[node], times) + step])
             ok = distances(x, norms, x[q], norms[q], row, node) <= reach
             row, node = row[ok], node[ok]
             within.append((row, node))

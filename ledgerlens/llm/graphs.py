@@ -46,6 +46,16 @@ def robust_prune(x: np.ndarray, norms: np.ndarray, points: np.ndarray, cand: np.
     return out
 
 
+def unseen(seen: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of rows and ids that are not yet marked in ``seen``, in order; marks
+    them."""
+    new = np.zeros(seen.shape, bool)
+    new[rows, ids] = True
+    new &= ~seen
+    np.logical_or(seen, new, out=seen)
+    return np.nonzero(new)
+
+
 def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, width: int, expand: int = 4, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy search from ``entry`` (and each query's ids in ``also``) with a beam of ``width``.
 
@@ -62,11 +72,8 @@ def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, entry: int,
     while True:
         ok = nbr >= 0
         todo, nbr = todo[ok], nbr[ok]
-        ok = ~seen[todo, nbr]
-        pair = np.unique(todo[ok].astype(np.int64) * n + nbr[ok])
-        if len(pair):
-            r, i = pair // n, pair % n
-            seen[r, i] = True
+        r, i = unseen(seen, todo, nbr)
+        if len(r):
             d = distances(x, norms, q, qn, r, i)
             count = np.bincount(r, minlength=nq)
             col = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
