@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_bytes
-from .wordbpe import latin, load, word_encoder
+from .shared import by_bytes, small_batches, worker_state
+from .wordbpe import WordEncoder, latin, load
 
 WINDOW, LEAST, MOST = 16, 64, 4096
 _GEAR = np.random.default_rng(20240613).integers(0, 1 << 32, 256, np.uint32)
@@ -66,7 +66,7 @@ class ChunkCodec:
     """
 
     def __init__(self, path: str, store_bytes: int = 64 << 20):
-        self.encoder, self.library, self.limit = word_encoder(path), load(path), store_bytes
+        self.encoder, self.library, self.limit = WordEncoder(path), load(path), store_bytes
         self.tokens = [t for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
         self.joiner = self.library.decoder is None
         self.store: dict[bytes, tuple[bytes, str | None, str]] = {}
@@ -143,14 +143,9 @@ def _last_blank(t: str) -> int:
     return max(t.rfind(" "), t.rfind("\n"))
 
 
-_codecs: dict[str, ChunkCodec] = {}
-
-
 def chunk_codec(path: str) -> ChunkCodec:
     """One codec per Python worker, so chunks are shared by all tasks it runs."""
-    if path not in _codecs:
-        _codecs[path] = ChunkCodec(path)
-    return _codecs[path]
+    return worker_state(("chunks", path), lambda: ChunkCodec(path))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -163,6 +158,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     never changes a result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = chunk_codec(tokenizer_path)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small_batches
 
 # Fixed vocabularies of HTML.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -209,6 +209,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     odd url gives a page the tree of all hosts alone; broken markup is closed as browsers do;
     repeated rows and ids give a row each; extra columns are ignored.
     """
+    small_batches(pages.sparkSession)
     low = low_branches(style_tree(pages))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html", host.alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")

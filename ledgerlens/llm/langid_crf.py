@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, mix
+from .shared import bounded_sample, by_bytes, mix, small_batches, worker_state
 
 _WORD = re.compile(r"[^\W\d_]+")
 DIMS = 1 << 16
@@ -289,7 +289,7 @@ def fit(docs: DataFrame, train_rows: int = 2000) -> WordCrf:
     """Learns from at most ``train_rows`` rows with a language whose crc32(doc_id) mod 3 is
     not 1: those of the smallest hashes of doc_id, so the sample is the same at every run."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), "text", "lang", "doc_id").orderBy("h", "doc_id", "text").limit(train_rows).collect()
+    rows = bounded_sample(rows.select("doc_id", "text", "lang"), "doc_id", train_rows)
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -305,12 +305,9 @@ def identify(docs: DataFrame, crf: WordCrf, keep: tuple[str, ...] = ("doc_id",))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = _labellers.get(key)
-        if own is None:  # one per worker and model
-            _labellers.clear()
-            own = _labellers[key] = Labeller(crf)
+        own = worker_state(("crf", key), lambda: Labeller(crf))
         for b in batches:
-            texts = b["_text"].tolist()
+            texts = b[text].tolist()
             for s in by_bytes(texts, 1 << 22):
                 out = b.loc[b.index[s], list(keep)].reset_index(drop=True)
                 share = own.shares(texts[s]) if crf.labels else np.zeros((len(out), 1))
@@ -321,10 +318,10 @@ def identify(docs: DataFrame, crf: WordCrf, keep: tuple[str, ...] = ("doc_id",))
                 yield out
 
     key = uuid.uuid4().hex
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInPandas(run, schema)
-
-
-_labellers: dict = {}
+    small_batches(docs.sparkSession)
+    text = "text" if "text" in keep else "_text"
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias("_text"))
+    return rows.mapInPandas(run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, materialize
+from .shared import by_bytes, materialize, small_batches
 from .wordbpe import word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -122,6 +122,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     by its number among the pieces of its length: its number within its task plus the
     pieces of that length in the tasks before, so no task holds all pieces of a length.
     """
+    small_batches(docs.sparkSession)
     pieces = materialize(tokenised_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     per_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)

@@ -11,12 +11,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _own_dir: str | None = None
 
 
@@ -70,6 +72,25 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> list[Row]:
     return sorted(found, key=lambda r: tuple(str(x).rjust(24) for x in (r["_h"], r[key])))[:rows]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers get batches of at most ``rows`` rows from now on, since texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+_state: dict = {}
+
+
+def worker_state(key, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, such as a model with its memo. It keeps
+    one thing: that of another operator or model goes when this one comes."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 def by_bytes(texts: list, budget: int) -> Iterator[slice]:
     """Slices of a batch that hold about ``budget`` characters, one row at least."""
     begin = held = 0

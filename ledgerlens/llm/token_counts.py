@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, scratch_path
+from .shared import by_bytes, scratch_path, small_batches
 from .wordbpe import byte_counter, load
 
 CACHE_SCHEMA = "text_digest binary, tokenizer_digest string, n_tokens long"
@@ -52,6 +52,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     Texts are shuffled once, after each task has merged the copies it has.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     version = tokenizer_digest(tokenizer_path)
     keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keyed = keyed.withColumn("_digest", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid_crf import words_of
-from .shared import bounded_sample, by_bytes
+from .shared import bounded_sample, by_bytes, small_batches, worker_state
 
 # Terms that name a group. Within a row they can stand for each other.
 IDENTITY_TERMS = (
@@ -191,22 +191,19 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = _scorers.get(key)
-        if own is None:  # one per worker and model
-            _scorers.clear()
-            own = _scorers[key] = Scorer(model)
+        own = worker_state(("toxicity", key), lambda: Scorer(model))
         for b in batches:
-            texts = b["_text"].tolist()
+            texts = b[text].tolist()
             for s in by_bytes(texts, 1 << 22):
                 out = b.loc[b.index[s], list(keep)].reset_index(drop=True)
                 out["score"] = own.score(texts[s])
                 out["predicted"] = (out["score"] >= 0.5).astype("int32")
                 yield out
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInPandas(run, schema)
-
-
-_scorers: dict = {}
+    small_batches(docs.sparkSession)
+    text = "text" if "text" in keep else "_text"
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias("_text"))
+    return rows.mapInPandas(run, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .shared import worker_state
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Character classes of Latin-1, spelled out so that they equal the tokenizers' classes.
@@ -146,17 +148,10 @@ def pack(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-_workers: dict = {}
-
-
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per Python worker: tasks that follow each other share its memo."""
-    if ("word", path) not in _workers:
-        _workers["word", path] = WordEncoder(path)
-    return _workers["word", path]
+    return worker_state(("word", path), lambda: WordEncoder(path))
 
 
 def byte_counter(path: str) -> ByteCounter:
-    if ("byte", path) not in _workers:
-        _workers["byte", path] = ByteCounter(path)
-    return _workers["byte", path]
+    return worker_state(("byte", path), lambda: ByteCounter(path))
