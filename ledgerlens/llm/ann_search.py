@@ -52,7 +52,7 @@ def build_shards(vectors: DataFrame, shard_rows: int = SHARD, degree: int = 40,
     return materialize(dealt.groupBy("shard").applyInPandas(graph, "shard int, vec_id long, embedding array<double>, node int, entry int, nbrs array<int>"), "graphs")
 
 
-def search(graphs: DataFrame, query_where: Column, k: int = 20, width: int = 160, block_rows: int = BLOCK) -> DataFrame:
+def search(graphs: DataFrame, query_where: Column, k: int = 20, width: int = 80, block_rows: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each member of the graphs that is a query, the k
     others of largest inner product that beam searches of all shards find.
 
