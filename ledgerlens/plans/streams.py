@@ -1 +1,53 @@
-"""."""
+"""Streams that run over what has arrived, and must equal their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
+from ..streaming import ledger
+from .registry import query
+
+
+def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    schema = table(spark, sf_dir, "events").schema
+    return ledger.read_events(spark, f"{sf_dir}/events.parquet", schema), ledger.scratch(spark, "run")
+
+
+@query("SELECT DISTINCT event_id, event_type FROM events")
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger read twice over keeps each event once."""
+    e, at = _events(spark, sf_dir)
+    twice = e.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    ledger.run_once(ledger.deduplicated(twice).select("event_id", "event_type"), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema("event_id long, event_type string").parquet(f"{at}/out")
+
+
+@query("WITH e AS (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events GROUP BY user_id), r AS (SELECT user_id, len(l) AS n, list_reduce(l, lambda a, k: struct_pack(c := CASE k WHEN 'purchase' THEN least(5, a.c + 1) WHEN 'error' THEN greatest(1, a.c - 1) ELSE a.c END, f := a.f + CASE WHEN k = 'error' THEN 1 ELSE 0 END), struct_pack(c := 1, f := 0)) AS s FROM e) SELECT user_id, CAST(s.c AS INTEGER) AS confidence, CAST(s.f AS INTEGER) AS failures, CAST(n AS INTEGER) AS n FROM r")
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: the last state of each user after all micro-batches."""
+    e, at = _events(spark, sf_dir)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    ledger.run_batches(ledger.status_counts(e.select("user_id", "event_id", "event_type")), write, f"{at}/checkpoint", "update")
+    rows = spark.read.schema("user_id long, confidence int, failures int, n int, batch int").parquet(f"{at}/out")
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("confidence", "failures", "n"), "batch").alias("s")).select("user_id", "s.confidence", "s.failures", "s.n")
+
+
+@query()
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows that the watermark has closed."""
+    e, at = _events(spark, sf_dir)
+    ledger.run_once(ledger.sessions(e.select("user_id", "ts")), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema("user_id long, started timestamp, ended timestamp, n long").parquet(f"{at}/out")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time windows of an hour."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return g.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "mean")
