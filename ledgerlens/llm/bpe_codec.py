@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import by_bytes, small_batches, worker_state
-from .wordbpe import WordEncoder, latin, load
+from .wordbpe import WordEncoder, latin
 
 WINDOW, LEAST, MOST = 16, 64, 4096
 _GEAR = np.random.default_rng(20240613).integers(0, 1 << 32, 256, np.uint32)
@@ -66,7 +66,8 @@ class ChunkCodec:
     """
 
     def __init__(self, path: str, store_bytes: int = 64 << 20):
-        self.encoder, self.library, self.limit = WordEncoder(path), load(path), store_bytes
+        self.encoder, self.limit = WordEncoder(path), store_bytes
+        self.library = self.encoder.library
         self.tokens = [t for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
         self.joiner = self.library.decoder is None
         self.store: dict[bytes, tuple[bytes, str | None, str]] = {}

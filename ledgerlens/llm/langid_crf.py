@@ -248,7 +248,7 @@ def _pairs(logits: np.ndarray, starts: np.ndarray, crf: WordCrf, second: np.ndar
 class Labeller:
     """Word potentials by memo, and language shares of texts."""
 
-    def __init__(self, crf: WordCrf, entries: int = 400_000):
+    def __init__(self, crf: WordCrf, entries: int = 120_000):
         self.crf, self.entries = crf, entries
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, len(crf.labels)), np.float32)
@@ -308,7 +308,7 @@ def identify(docs: DataFrame, crf: WordCrf, keep: tuple[str, ...] = ("doc_id",))
         own = worker_state(("crf", key), lambda: Labeller(crf))
         for b in batches:
             texts = b[text].tolist()
-            for s in by_bytes(texts, 1 << 22):
+            for s in by_bytes(texts, 1 << 20):
                 out = b.loc[b.index[s], list(keep)].reset_index(drop=True)
                 share = own.shares(texts[s]) if crf.labels else np.zeros((len(out), 1))
                 best = share.argmax(1)

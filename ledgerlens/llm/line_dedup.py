@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,35 +39,37 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = sj.scan(docs, True, SLACK, LEAST_WORDS, id_col, text_col)
     left = sj.survivors(units, SLACK)
     lines = materialize(units.select("id", "line", "cid"), "lines")
-    firsts = lines.groupBy("cid").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("c"))
+    firsts = lines.groupBy("cid").agg(F.min(sj.place(lines)).alias("first"), F.count("*").alias("c"))
     drop_table(units)
     sets = sj.full_sets(docs, left, True, LEAST_WORDS, id_col=id_col, text_col=text_col)
     late = repeated_classes(sets).withColumn("late", F.lit(True))
     marked = firsts.join(late, "cid", "left").where("c > 1 or late").select("cid", "first", "late")
-    gone = lines.join(marked, "cid").where(F.col("late") | (F.struct("id", "line") != F.col("first")))
+    gone = lines.join(marked, "cid").where(F.col("late") | (sj.place(lines) != F.col("first")))
     return materialize(gone.groupBy("id").agg(F.collect_set("line").alias("drop")), "dropped-lines")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs with their repeated lines taken out, and n_lines, n_removed.
 
     A line (between newlines) is taken out if a line earlier in the corpus, by id and then by
     place, has a Jaccard similarity of 0.75 or more by shingles of five words. Lines of fewer
     than LEAST_WORDS words, blank ones too, stay. A null text stays null and has no lines; an
     empty one has one. Ids must be distinct for a text's lines to be told apart: of rows that
-    repeat an id, lines of the same number share their fate. Other columns are kept.
+    repeat an id, lines of the same number share their fate. Other columns are kept, but for
+    any that are named as the two new ones.
     """
-    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("drop").alias("_drop"))
+    key, drop = (f"_{name}_{uuid.uuid4().hex}" for name in ("id", "drop"))  # no column of docs
+    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(key), F.col("drop").alias(drop))
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col(key)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import setjoin as sj
@@ -11,28 +11,65 @@ from .shared import drop_table, materialize
 SLACK = 3  # of 20: units keep about 25 % + 15 % of their shingles in the first pass
 
 
+def _reaching_out(sets: DataFrame, slack: int | None) -> DataFrame:
+    """Those of the sets (cid, n, root, tokens) that may link outside their group.
+
+    Of the overlap of a set of n with such another, all are n-grams that two groups have: at
+    least 3/4 n of the set, and of its smallest n-grams as many as ``setjoin.common`` says,
+    which are looked at alone if slack is given.
+    """
+    n = F.col("n")
+    need = F.floor((3 * n + 3) / 4).cast("int")
+    tokens, least = F.col("tokens"), need
+    if slack is not None:
+        tokens = F.slice("tokens", 1, (n - need + 1 + F.floor(n * slack / 20)).cast("int"))
+        least = 1 + F.floor(need * slack / 20)
+    rows = sets.select("cid", "root", F.explode(tokens).alias("s"))
+    shared = rows.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("s")
+    met = rows.select("cid", "s").join(shared, "s").groupBy("cid").agg(F.count("*").alias("met"))
+    return materialize(sets.join(met, "cid").where(F.col("met") >= least).drop("met"), "reaching-out")
+
+
+def incidence(sets: DataFrame) -> DataFrame:
+    """(cid, root, n, g, w, before): classes by columns of n-grams.
+
+    N-grams that exactly the same classes have are one column g of weight w. Columns of a class
+    stand in order of rarity, after its n-grams that no other group has; ``before`` counts what
+    stands before a column. Only columns are kept that begin among the first n-grams of which
+    any linked class must share one.
+    """
+    rows = sets.select("cid", "root", "n", F.explode("tokens").alias("s"))
+    mark = F.xxhash64("cid", F.lit(3)).cast("decimal(38,0)")
+    grams = rows.groupBy("s").agg(F.count("*").alias("df"), F.sum(mark).alias("mark"), F.min("root").alias("x"), F.max("root").alias("y"))
+    grams = grams.where("x != y").select("s", "df", F.xxhash64("df", "mark").alias("g"))
+    columns = rows.join(grams, "s").groupBy("cid", "root", "n", "df", "g").agg(F.count("*").alias("w"))
+    own = Window.partitionBy("cid")
+    ahead = F.coalesce(F.sum("w").over(own.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = columns.withColumn("before", F.col("n") - F.sum("w").over(own) + ahead)
+    return materialize(placed.where(F.col("before") <= F.col("n") - F.floor((3 * F.col("n") + 3) / 4)).select("cid", "root", "n", "g", "w", "before"), "incidence")
+
+
 def missing_links(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """All links between classes of different groups, given the groups found so far.
 
-    The incidence of classes and their rarest n-grams is multiplied with its transpose by
-    blocks of one n-gram and two groups; blocks within a group are never formed, so a large
-    group of near copies costs its size and not its square. Each product that the length and
-    positional bounds let pass adds to its pair's count; pairs whose counted overlap and the
-    most that the rest can add fall short of the bound are discarded, others verified.
+    Classes with too few n-grams in common with other groups are left out first, which leaves
+    few. The incidence of the others is multiplied with its transpose by blocks of one column
+    and two groups; blocks within a group are never formed, so a large group of near copies
+    costs its size and not its square. Each product that the length and positional bounds let
+    pass adds to its pair's count; pairs whose counted overlap and the most that the rest can
+    add fall short of the bound are discarded, others verified.
     """
-    grouped = sets.select("cid", "n").join(roots, "cid", "left").select("cid", "n", F.coalesce("root", "cid").alias("root"))
-    rows = sj.rare_prefixes(sets, sj.rarity(sets)).join(grouped, "cid")
-    rows = materialize(rows, "incidence")
-    shared = rows.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("s")
-    rows = materialize(rows.join(shared, "s"), "incidence-shared")
-    blocks = rows.select("s", "root").distinct()
-    blocks = blocks.select("s", F.col("root").alias("ra")).join(blocks.select("s", F.col("root").alias("rb")), "s").where("ra < rb")
-    a = rows.select("s", F.col("root").alias("ra"), F.col("cid").alias("a"), F.col("n").alias("n"), F.col("at").alias("i"))
-    b = rows.select("s", F.col("root").alias("rb"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"))
-    product = blocks.join(a, ["s", "ra"]).join(b, ["s", "rb"]).where(sj.may_link(F.col("n"), F.col("m"), F.col("i"), F.col("j")))
-    counted = product.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
-    # past the last places that met, at most the shorter rest can still be shared
-    rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    sets = sets.join(roots, "cid", "left").select("cid", "n", F.coalesce("root", "cid").alias("root"), "tokens")
+    sets = _reaching_out(_reaching_out(sets, SLACK), None)
+    rows = incidence(sets)
+    blocks = rows.select("g", "root").distinct()
+    blocks = blocks.select("g", F.col("root").alias("ra")).join(blocks.select("g", F.col("root").alias("rb")), "g").where("ra < rb")
+    a = rows.select("g", F.col("root").alias("ra"), F.col("cid").alias("a"), F.col("n").alias("n"), F.col("w").alias("w"), F.col("before").alias("i"))
+    b = rows.select("g", F.col("root").alias("rb"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("before").alias("j"))
+    product = blocks.join(a, ["g", "ra"]).join(b, ["g", "rb"]).where(sj.may_link(F.col("n"), F.col("m"), F.col("i"), F.col("j")))
+    counted = product.groupBy("a", "b").agg(F.sum("w").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.col("i") + F.col("w")).alias("i"), F.max(F.col("j") + F.col("w")).alias("j"))
+    # past the last columns that met, at most the shorter rest can still be shared
+    rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     counted = counted.where(7 * (F.col("c") + rest) >= 3 * (F.col("n") + F.col("m")))
     return sj.verify(counted.select("a", "b"), sets)
 

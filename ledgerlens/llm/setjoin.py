@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
-from .shared import drop_table, materialize, mix
+from .shared import drop_table, materialize, mix, small_batches, worker_state
 
 K = 5
 SLOTS = 1 << 18
@@ -45,7 +46,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         _powers[:] = []
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             t = np.full(size, U(b))
@@ -132,7 +133,7 @@ def class_ids(size: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(total + size.astype(U) * U(0xE7037ED1A0B428DB)).view(np.int64)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, budget: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str, budget: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, edges) of parts of a batch; null texts are empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if col.null_count:
@@ -173,8 +174,10 @@ def _ragged(size: np.ndarray) -> np.ndarray:
 def scan(docs: DataFrame, lines: bool, slack: int, words_least: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes (id, line, cid, n, prefix array<long>) for every unit with words."""
     kind = docs.schema[id_col].dataType
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("shingles", dict)  # makes room
         for batch in batches:
             ids = batch.column(0)
             for a, z, data, edges in text_slices(batch, "_text"):
@@ -189,40 +192,69 @@ def scan(docs: DataFrame, lines: bool, slack: int, words_least: int = 0, id_col:
     return materialize(rows.mapInArrow(run, f"id {kind.simpleString()}, line int, cid long, n int, prefix array<long>"), "units")
 
 
+def place(units: DataFrame) -> Column:
+    """Where a unit stands: a value that orders units by id and line. Integral ids make it one
+    number, which aggregates by hash; others a struct."""
+    if isinstance(units.schema["id"].dataType, IntegralType):
+        return F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    return F.struct("id", "line")
+
+
+def id_and_line(pos: Column, kind: DataType) -> list[Column]:
+    """The id and line of a place."""
+    if isinstance(kind, IntegralType):
+        id_ = F.floor(pos / F.lit(1 << 31).cast("decimal(10,0)"))
+        line = pos - id_.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+        return [id_.cast(kind).alias("id"), line.cast("int").alias("line")]
+    return [pos["id"].alias("id"), pos["line"].alias("line")]
+
+
 def survivors(units: DataFrame, slack: int) -> DataFrame:
-    """(cid, n, pos struct<id, line>) of the classes that may link with another; pos is where
+    """(cid, n, pos, id, line) of the classes that may link with another; pos is the place where
     the class stands first. Counting is by partial sums: no task holds a shingle's units."""
     shingles = units.select("cid", F.explode("prefix").alias("s"))
     lone = shingles.groupBy("s").agg(F.min("cid").alias("cid"), F.max("cid").alias("_other")).where("cid = _other")
     lone = lone.groupBy("cid").agg(F.count("*").alias("lone"))
-    classes = units.groupBy("cid").agg(F.first("n").alias("n"), F.min(F.struct("id", "line")).alias("pos"))
+    classes = units.groupBy("cid").agg(F.first("n").alias("n"), F.min(place(units)).alias("pos"))
     n = F.col("n")
     need = F.floor((3 * n + 3) / 4)
     prefix = n - need + 1 + F.floor(n * slack / 20)
     least = 1 + F.floor(need * slack / 20)
-    return materialize(classes.join(lone, "cid", "left").where(prefix - F.coalesce("lone", F.lit(0)) >= least).select("cid", "n", "pos"), "survivors")
+    return materialize(classes.join(lone, "cid", "left").where(prefix - F.coalesce("lone", F.lit(0)) >= least).select("cid", "n", "pos", *id_and_line(F.col("pos"), units.schema["id"].dataType)), "survivors")
 
 
-def full_sets(docs: DataFrame, left: DataFrame, lines: bool, words_least: int = 0, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def full_sets(docs: DataFrame, left: DataFrame, lines: bool, words_least: int = 0, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes (cid, n, pos, tokens array<long>) of the classes left, from the text where each
-    stands first. Their list is broadcast only if it has at most ``broadcast_rows`` rows."""
-    want = left.groupBy(F.col("pos.id").alias("id")).agg(F.collect_set("cid").alias("want"))
+    stands first (twice if rows repeat an id). Their list is broadcast only if it has at most
+    ``broadcast_rows`` rows."""
+    want = left.groupBy("id").agg(F.collect_list(F.struct("cid", "line", "pos")).alias("want"))
     if left.count() <= broadcast_rows:
         want = F.broadcast(want)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text")).join(want, "id").select("want", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("shingles", dict)
         for batch in batches:
             wanted = batch.column(0)
             for a, z, data, edges in text_slices(batch, "_text"):
-                _, _, n, h = shingle_sets(data, edges, lines, words_least)
+                doc, line, n, h = shingle_sets(data, edges, lines, words_least)
                 cid = class_ids(n, h)
-                ok = np.isin(cid, wanted.slice(a, z - a).flatten().to_numpy())
+                asked = wanted.slice(a, z - a)
+                sizes = np.diff(asked.offsets.to_numpy())
+                flat = asked.flatten()
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                # a class is taken where it is asked for: at its document and line
+                here = mix(mix(cid.view(U) + doc.astype(U)) + line.astype(U))
+                there = mix(mix(flat.field(0).to_numpy().view(U) + owner.astype(U)) + flat.field(1).to_numpy().astype(U))
+                order = np.argsort(there)
+                at = np.minimum(np.searchsorted(there[order], here), max(len(there) - 1, 0))
+                ok = there[order][at] == here if len(there) else np.zeros(len(here), bool)
                 starts = np.concatenate([[0], np.cumsum(n[ok])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(cid[ok]), pa.ListArray.from_arrays(pa.array(starts), pa.array(h[np.repeat(ok, n)].view(np.int64)))], ["cid", "tokens"])
+                pos = flat.field(2).take(pa.array(order[at[ok]]))
+                yield pa.RecordBatch.from_arrays([pa.array(cid[ok]), pa.array(n[ok].astype(np.int32)), pos, pa.ListArray.from_arrays(pa.array(starts), pa.array(h[np.repeat(ok, n)].view(np.int64)))], ["cid", "n", "pos", "tokens"])
 
-    found = rows.mapInArrow(run, "cid long, tokens array<long>").dropDuplicates(["cid"])
-    return materialize(found.join(left, "cid").select("cid", "n", "pos", "tokens"), "sets")
+    kind = left.schema["pos"].dataType.simpleString()
+    return materialize(rows.mapInArrow(run, f"cid long, n int, pos {kind}, tokens array<long>"), "sets")
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,6 +8,9 @@ executor costs the recomputation of its own tasks only.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -72,7 +75,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> list[Row]:
     return sorted(found, key=lambda r: tuple(str(x).rjust(24) for x in (r["_h"], r[key])))[:rows]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers get batches of at most ``rows`` rows from now on, since texts are long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -87,6 +90,9 @@ def worker_state(key, make: Callable[[], T]) -> T:
     one thing: that of another operator or model goes when this one comes."""
     if key not in _state:
         _state.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
         _state[key] = make()
     return _state[key]
 

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, scratch_path, small_batches
-from .wordbpe import byte_counter, load
+from .shared import by_bytes, scratch_path, small_batches, worker_state
+from .wordbpe import ByteCounter, load
 
 CACHE_SCHEMA = "text_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -33,9 +33,8 @@ def _counter(path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     spec = load(path)
-    kind = type(spec.pre_tokenizer).__name__
-    if kind == "ByteLevel" and spec.normalizer is None:
-        return byte_counter(path).count
+    if type(spec.pre_tokenizer).__name__ == "ByteLevel" and spec.normalizer is None:
+        return ByteCounter(spec).count
     return lambda texts: [len(x.ids) for x in spec.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -63,7 +62,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
         misses = misses.join(known, "_digest", "left_anti")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = _counter(tokenizer_path)
+        count = worker_state(("counts", tokenizer_path), lambda: _counter(tokenizer_path))
         for b in batches:
             texts = b["_text"].tolist()
             yield pd.DataFrame({"text_digest": b["_digest"], "tokenizer_digest": version, "n_tokens": [n for s in by_bytes(texts, 1 << 20) for n in count(texts[s])]})

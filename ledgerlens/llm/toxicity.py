@@ -89,8 +89,8 @@ def train(texts: list[str], toxic: list[int], keep: int = 3000, penalty: float =
 
     Features: of those in 3 texts or more, the ``keep`` with the most evidence (the log
     likelihood ratio of toxic against other texts) among those with more than chance gives
-    the best of so many, and identity terms always. Loss: mean logistic loss, both classes
-    weighing alike, plus ridge * |w|^2, plus penalty times
+    the best of so many, and identity terms always. Loss: mean logistic loss, toxic texts
+    weighing half as much as the others together, so a text without evidence is none, plus ridge * |w|^2, plus penalty times
     the mean squared change of the logit when an identity term in a sentence is swapped,
     which draws the weights of identity terms together. Full-batch Adam.
     """
@@ -133,7 +133,7 @@ def train(texts: list[str], toxic: list[int], keep: int = 3000, penalty: float =
     pr, pc, pv = matrix([a for a, _ in pairs])
     qr, qc, qv = matrix([b for _, b in pairs])
     pr, pc, pv = np.concatenate([pr, qr]), np.concatenate([pc, qc]), np.concatenate([pv, -qv])
-    class_weight = np.where(y == 1, 0.5 / size[1], 0.5 / size[0])
+    class_weight = np.where(y == 1, 1 / 3 / size[1], 2 / 3 / size[0])
     w, m, s = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, steps + 1):
         logit = np.bincount(r, w[c] * v, len(y)) + w[-1]
@@ -151,7 +151,7 @@ def train(texts: list[str], toxic: list[int], keep: int = 3000, penalty: float =
 
 
 class Scorer:
-    def __init__(self, model: ToxicityModel, entries: int = 600_000):
+    def __init__(self, model: ToxicityModel, entries: int = 200_000):
         self.model, self.entries = model, entries
         self.memo: dict[str, float] = {}
 
@@ -194,7 +194,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
         own = worker_state(("toxicity", key), lambda: Scorer(model))
         for b in batches:
             texts = b[text].tolist()
-            for s in by_bytes(texts, 1 << 22):
+            for s in by_bytes(texts, 1 << 20):
                 out = b.loc[b.index[s], list(keep)].reset_index(drop=True)
                 out["score"] = own.score(texts[s])
                 out["predicted"] = (out["score"] >= 0.5).astype("int32")

@@ -26,9 +26,6 @@ WORD_SPLIT = re.compile(f"{_CLITIC}|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{
 BYTE_SPLIT = re.compile(f"{_CLITIC}| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _PLAIN = re.compile(f" ?[{_LETTER}]+")
 
-_loaded: dict = {}
-
-
 class Memo(dict):
     """What pieces are known to encode to: two generations of bounded size, so that
     pieces in use stay while others go."""
@@ -52,15 +49,13 @@ class Memo(dict):
 
 
 def load(path: str):
-    """The library's tokenizer at path, without truncation and padding, once per process."""
-    if path not in _loaded:
-        from tokenizers import Tokenizer
+    """The library's tokenizer at path, without truncation and padding."""
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _loaded[path] = t
-    return _loaded[path]
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
 def latin(text: str) -> bool:
@@ -75,7 +70,7 @@ class WordEncoder:
     """ids of texts, as packed little-endian unsigned 32-bit bytes, under a tokenizer
     that lower-cases, drops white space and marks word ends."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 180_000):
         self.library, self.memo = load(path), Memo(entries)
         self.ends = np.array([t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])])
 
@@ -106,8 +101,8 @@ class WordEncoder:
 class ByteCounter:
     """Token counts of texts under a byte-level BPE."""
 
-    def __init__(self, path: str, entries: int = 400_000):
-        self.library, self.memo = load(path), Memo(entries)
+    def __init__(self, library, entries: int = 180_000):
+        self.library, self.memo = library, Memo(entries)
         ids = self.library.encode("\n", add_special_tokens=False).ids
         self.newline = ids[0] if len(ids) == 1 else None
 
@@ -151,7 +146,3 @@ def pack(ids: list[int]) -> bytes:
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per Python worker: tasks that follow each other share its memo."""
     return worker_state(("word", path), lambda: WordEncoder(path))
-
-
-def byte_counter(path: str) -> ByteCounter:
-    return worker_state(("byte", path), lambda: ByteCounter(path))
