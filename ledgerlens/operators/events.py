@@ -13,8 +13,7 @@ REPORT = r"(?i)session end / commit complete|session end completed|extracted kno
 LOG_TYPES = ["telemetry", "command_log", "search_log"]
 DURABLE = ["failure", "decision", "outcome", "validation", "hypothesis", "experiment", "risk", "deprecation"]
 RUNTIME_SOURCES = ["opencode_hook", "orchestrator", "agent_runtime_signal"]
-GENERATED = ["oem_session_report", "oem_runtime_log", "oem_generated", "openempiric_generated"]
-PRIVATE_PATHS = [".oem/sessions", ".oem/session_reports", ".oem/reports", ".oem/.runtime", ".oem/state"]
+PRIVATE_FOLDERS = ["sessions", "session_reports", "reports", ".runtime", "state"]
 KNOWN_TYPES = ["observation", "decision", "hypothesis", "experiment", "outcome", "failure", "risk", "validation", "deprecation"]
 DECISION_VERB = r"(?i)\b(decided|chose|selected|picked|agreed|concluded)\b"
 
@@ -23,8 +22,9 @@ def _low(c: Column) -> Column:
     return F.lower(F.coalesce(c, F.lit("")))
 
 
-def is_noise(event_type: Column, source: Column, source_type: Column, summary: Column, evidence: Column, path: Column, eligible: Column) -> Column:
-    """Whether an event is operational noise; the first rule that applies decides."""
+def is_noise(event_type: Column, source: Column, source_type: Column, summary: Column, evidence: Column, path: Column, eligible: Column, tool: str = "kb") -> Column:
+    """Whether an event is operational noise; the first rule that applies decides. What the
+    engine itself writes has source types ``tool``_..., and lies in folders of .``tool``."""
     kind, src, stype = _low(event_type), _low(source), _low(source_type)
     where = F.translate(_low(path), "\\", "/")
     s, e = F.coalesce(summary, F.lit("")), F.coalesce(evidence, F.lit(""))
@@ -32,12 +32,12 @@ def is_noise(event_type: Column, source: Column, source_type: Column, summary: C
     durable = kind.isin(DURABLE)
     runtime = (src == "orchestrator") | (src.isin(RUNTIME_SOURCES) & (stype == "agent_runtime_signal"))
     private = F.lit(False)
-    for p in PRIVATE_PATHS:
-        private = private | F.contains(where, F.lit(p))
+    for p in PRIVATE_FOLDERS:
+        private = private | F.contains(where, F.lit(f".{tool}/{p}"))
     return (
         F.when(F.coalesce(~eligible, F.lit(False)), True)
         .when(kind.isin(LOG_TYPES), True)
-        .when(stype.isin(GENERATED) | stype.startswith("oem_"), True)
+        .when(stype.startswith(f"{tool}_"), True)
         .when(private, True)
         .when(runtime & (kind == "failure"), logged)
         .when(runtime, ~durable)

@@ -112,7 +112,7 @@ def rerank(base: Column, document: Column, kind: Column, targets: dict, status:
 
 # Words that directive matching leaves out or counts for less.
 STOP = ["the", "and", "are", "was", "were", "for", "with", "from", "been", "being", "than", "that", "this", "its"]
-GENERIC = ["current", "project", "content", "work", "continue", "session", "context", "file", "task", "next", "now", "state", "review", "health", "memory", "agent", "oem", "start", "working", "pick", "left", "resume", "machine", "contract", "fix"]
+GENERIC = ["current", "project", "content", "work", "continue", "session", "context", "file", "task", "next", "now", "state", "review", "health", "memory", "agent", "start", "working", "pick", "left", "resume", "machine", "contract", "fix"]
 
 
 def directive_tokens(c: Column) -> Column:

@@ -56,10 +56,10 @@ def event_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EVENTS_SQL}, n AS (SELECT seq, event_type, CASE seq % 5 WHEN 0 THEN 'opencode_hook' WHEN 1 THEN 'orchestrator' ELSE source END AS source, CASE seq % 11 WHEN 0 THEN 'oem_generated' WHEN 1 THEN 'agent_runtime_signal' ELSE 'agent_transcript' END AS stype,
-  CASE seq % 4 WHEN 0 THEN 'Command failed: ' || summary WHEN 1 THEN 'Session duration: 5' ELSE summary END AS s, CASE WHEN seq % 23 = 0 THEN 'x/.OEM/state/a.json' END AS p, CASE WHEN seq % 29 = 0 THEN false END AS el FROM ev),
+    f"""WITH {EVENTS_SQL}, n AS (SELECT seq, event_type, CASE seq % 5 WHEN 0 THEN 'opencode_hook' WHEN 1 THEN 'orchestrator' ELSE source END AS source, CASE seq % 11 WHEN 0 THEN 'kb_generated' WHEN 1 THEN 'agent_runtime_signal' ELSE 'agent_transcript' END AS stype,
+  CASE seq % 4 WHEN 0 THEN 'Command failed: ' || summary WHEN 1 THEN 'Session duration: 5' ELSE summary END AS s, CASE WHEN seq % 23 = 0 THEN 'x/.KB/state/a.json' END AS p, CASE WHEN seq % 29 = 0 THEN false END AS el FROM ev),
 f AS (SELECT *, regexp_matches(s, '(?i)^Command\\s+(?:execution|failed|succeeded):') AS logged, event_type IN ('failure', 'decision', 'outcome', 'validation', 'hypothesis', 'experiment', 'risk', 'deprecation') AS durable, source = 'orchestrator' OR (source IN ('opencode_hook', 'agent_runtime_signal') AND stype = 'agent_runtime_signal') AS runtime FROM n)
-SELECT event_type, CASE WHEN el = false THEN true WHEN stype LIKE 'oem\\_%' ESCAPE '\\' THEN true WHEN p IS NOT NULL THEN true WHEN runtime AND event_type = 'failure' THEN logged WHEN runtime THEN NOT durable
+SELECT event_type, CASE WHEN el = false THEN true WHEN stype LIKE 'kb\\_%' ESCAPE '\\' THEN true WHEN p IS NOT NULL THEN true WHEN runtime AND event_type = 'failure' THEN logged WHEN runtime THEN NOT durable
   WHEN s LIKE 'Session duration:%' AND source = 'opencode_hook' THEN true WHEN s LIKE 'Session duration:%' AND source = 'orchestrator' THEN true WHEN logged AND source = 'opencode_hook' AND event_type = 'failure' THEN true WHEN logged THEN NOT durable ELSE false END AS is_noise, count(*) AS n FROM f GROUP BY ALL"""
 )
 def noise_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,9 @@ def noise_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_ledger(spark, sf_dir).select(
         "event_type",
         F.when(k % 5 == 0, "opencode_hook").when(k % 5 == 1, "orchestrator").otherwise(F.col("source")).alias("source"),
-        F.when(k % 11 == 0, "oem_generated").when(k % 11 == 1, "agent_runtime_signal").otherwise("agent_transcript").alias("stype"),
+        F.when(k % 11 == 0, "kb_generated").when(k % 11 == 1, "agent_runtime_signal").otherwise("agent_transcript").alias("stype"),
         F.when(k % 4 == 0, F.concat(F.lit("Command failed: "), "summary")).when(k % 4 == 1, "Session duration: 5").otherwise(F.col("summary")).alias("s"),
-        F.when(k % 23 == 0, "x/.OEM/state/a.json").alias("p"),
+        F.when(k % 23 == 0, "x/.KB/state/a.json").alias("p"),
         F.when(k % 29 == 0, False).alias("el"),
     )
     noise = E.is_noise(F.col("event_type"), F.col("source"), F.col("stype"), F.col("s"), F.lit(None).cast("string"), F.col("p"), F.col("el"))

@@ -19,8 +19,8 @@ def one(spark, column, **values):
 NOISE = [
     ("decision", "chat", "", "We chose Parquet", None, None, None, False),
     ("telemetry", "chat", "", "x", None, None, None, True),
-    ("observation", "chat", "oem_session_report", "x", None, None, None, True),
-    ("observation", "chat", "", "x", None, "a\\.oem\\sessions\\1.md", None, True),
+    ("observation", "chat", "kb_session_report", "x", None, None, None, True),
+    ("observation", "chat", "", "x", None, "a\\.kb\\sessions\\1.md", None, True),
     ("decision", "chat", "", "x", None, None, False, True),
     ("failure", "orchestrator", "", "Command failed: make", None, None, None, True),
     ("failure", "orchestrator", "", "The index was stale", None, None, None, False),
