@@ -29,7 +29,7 @@ def test_encoders_equal_the_library():
     lib = wordbpe.load(WORD)
     assert [np.frombuffer(x, "<u4").tolist() for x in wordbpe.WordEncoder(WORD, 50).encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
     lib = wordbpe.load(BYTE)
-    assert wordbpe.ByteCounter(BYTE, 50).count(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert wordbpe.ByteCounter(lib, 50).count(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_chunk_codec_round_trip_and_reuse():
