@@ -308,7 +308,7 @@ def identify(docs: DataFrame, crf: WordCrf, keep: tuple[str, ...] = ("doc_id",))
         own = worker_state(("crf", key), lambda: Labeller(crf))
         for b in batches:
             texts = b[text].tolist()
-            for s in by_bytes(texts, 1 << 20):
+            for s in by_bytes(texts, 1 << 19):
                 out = b.loc[b.index[s], list(keep)].reset_index(drop=True)
                 share = own.shares(texts[s]) if crf.labels else np.zeros((len(out), 1))
                 best = share.argmax(1)

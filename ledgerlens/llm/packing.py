@@ -99,7 +99,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
         for b in batches:
             ids, texts = b["doc_id"].to_numpy(), b["text"].tolist()
             rows = []
-            for s in by_bytes(texts, 1 << 20):
+            for s in by_bytes(texts, 1 << 19):
                 for doc, data in zip(ids[s], encoder.encode([t or "" for t in texts[s]]), strict=True):
                     data += end
                     for piece, at in enumerate(range(0, len(data), step)):

@@ -189,7 +189,7 @@ def scan(docs: DataFrame, lines: bool, slack: int, words_least: int = 0, id_col:
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a).take(pa.array(doc)), pa.array(line.astype(np.int32)), pa.array(cid), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "line", "cid", "n", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
-    return materialize(rows.mapInArrow(run, f"id {kind.simpleString()}, line int, cid long, n int, prefix array<long>"), "units")
+    return materialize(rows.mapInArrow(run, f"id {kind.simpleString()}, line int, cid long, n int, prefix array<long>"), "units", "none")
 
 
 def place(units: DataFrame) -> Column:
@@ -254,7 +254,7 @@ def full_sets(docs: DataFrame, left: DataFrame, lines: bool, words_least: int =
                 yield pa.RecordBatch.from_arrays([pa.array(cid[ok]), pa.array(n[ok].astype(np.int32)), pos, pa.ListArray.from_arrays(pa.array(starts), pa.array(h[np.repeat(ok, n)].view(np.int64)))], ["cid", "n", "pos", "tokens"])
 
     kind = left.schema["pos"].dataType.simpleString()
-    return materialize(rows.mapInArrow(run, f"cid long, n int, pos {kind}, tokens array<long>"), "sets")
+    return materialize(rows.mapInArrow(run, f"cid long, n int, pos {kind}, tokens array<long>"), "sets", "none")
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

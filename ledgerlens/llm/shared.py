@@ -47,10 +47,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a fresh scratch table and reads it back."""
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Writes df to a fresh scratch table and reads it back. Hashes gain nothing from compression."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,7 +75,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> list[Row]:
     return sorted(found, key=lambda r: tuple(str(x).rjust(24) for x in (r["_h"], r[key])))[:rows]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Python workers get batches of at most ``rows`` rows from now on, since texts are long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -70,7 +70,7 @@ class WordEncoder:
     """ids of texts, as packed little-endian unsigned 32-bit bytes, under a tokenizer
     that lower-cases, drops white space and marks word ends."""
 
-    def __init__(self, path: str, entries: int = 180_000):
+    def __init__(self, path: str, entries: int = 100_000):
         self.library, self.memo = load(path), Memo(entries)
         self.ends = np.array([t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])])
 
@@ -101,7 +101,7 @@ class WordEncoder:
 class ByteCounter:
     """Token counts of texts under a byte-level BPE."""
 
-    def __init__(self, library, entries: int = 180_000):
+    def __init__(self, library, entries: int = 100_000):
         self.library, self.memo = library, Memo(entries)
         ids = self.library.encode("\n", add_special_tokens=False).ids
         self.newline = ids[0] if len(ids) == 1 else None
