@@ -27,7 +27,7 @@ def _reaching_out(sets: DataFrame, slack: int | None) -> DataFrame:
     rows = sets.select("cid", "root", F.explode(tokens).alias("s"))
     shared = rows.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("s")
     met = rows.select("cid", "s").join(shared, "s").groupBy("cid").agg(F.count("*").alias("met"))
-    return materialize(sets.join(met, "cid").where(F.col("met") >= least).drop("met"), "reaching-out")
+    return materialize(sets.join(met, "cid").where(F.col("met") >= least).drop("met"), "reaching-out", "none")
 
 
 def incidence(sets: DataFrame) -> DataFrame:
@@ -62,11 +62,15 @@ def missing_links(sets: DataFrame, roots: DataFrame) -> DataFrame:
     sets = sets.join(roots, "cid", "left").select("cid", "n", F.coalesce("root", "cid").alias("root"), "tokens")
     sets = _reaching_out(_reaching_out(sets, SLACK), None)
     rows = incidence(sets)
-    blocks = rows.select("g", "root").distinct()
-    blocks = blocks.select("g", F.col("root").alias("ra")).join(blocks.select("g", F.col("root").alias("rb")), "g").where("ra < rb")
-    a = rows.select("g", F.col("root").alias("ra"), F.col("cid").alias("a"), F.col("n").alias("n"), F.col("w").alias("w"), F.col("before").alias("i"))
+    # of two linked sets the smaller (by size, then name) has a common column among its first 1/7
+    small = rows.where(7 * F.col("before") <= F.col("n"))
+    key = F.struct("n", "cid")
+    lows = small.groupBy("g", F.col("root").alias("ra")).agg(F.min(key).alias("low"))
+    tops = rows.groupBy("g", F.col("root").alias("rb")).agg(F.max(key).alias("top"))
+    blocks = lows.join(tops, "g").where("ra != rb AND low < top").select("g", "ra", "rb")
+    a = small.select("g", F.col("root").alias("ra"), F.col("cid").alias("a"), F.col("n").alias("n"), F.col("w").alias("w"), F.col("before").alias("i"))
     b = rows.select("g", F.col("root").alias("rb"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("before").alias("j"))
-    product = blocks.join(a, ["g", "ra"]).join(b, ["g", "rb"]).where(sj.may_link(F.col("n"), F.col("m"), F.col("i"), F.col("j")))
+    product = blocks.join(a, ["g", "ra"]).join(b, ["g", "rb"]).where((F.struct("n", F.col("a").alias("k")) < F.struct(F.col("m").alias("n"), F.col("b").alias("k"))) & sj.may_link(F.col("n"), F.col("m"), F.col("i"), F.col("j")))
     counted = product.groupBy("a", "b").agg(F.sum("w").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.col("i") + F.col("w")).alias("i"), F.max(F.col("j") + F.col("w")).alias("j"))
     # past the last columns that met, at most the shorter rest can still be shared
     rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
