@@ -13,8 +13,7 @@ from .setjoin import components
 from .shared import bounded_sample, materialize
 
 LEAST_COSINE = 0.93
-SAMPLE, PER_SHARD, OVERLAP, MOST, DEGREE = 20_000, 400, 3, 2000, 32
-_AUDIT, _RECALL = 64, 0.98
+SAMPLE, PER_SHARD, OVERLAP, MOST, DEGREE, BEAM = 20_000, 400, 3, 2000, 32, 32
 
 
 def fit_centres(nodes: DataFrame, sample: int = SAMPLE, per_shard: int = PER_SHARD) -> dict[int, np.ndarray]:
@@ -78,31 +77,40 @@ def _local_graph(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "nbrs": lists})
 
 
+def _exact_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float) -> np.ndarray:
+    """Pairs (as a * n + b) of left and right nodes that link, by blocked products in double precision."""
+    out = [np.zeros(0, np.int64)]
+    for s in range(0, len(left), 512):
+        a = left[s : s + 512]
+        r, c = np.nonzero(x[a] @ x[right].T >= cosine)
+        out.append(a[r].astype(np.int64) * len(x) + right[c])
+    pairs = np.concatenate(out)
+    return pairs[pairs // len(x) != pairs % len(x)]
+
+
 def _find(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links of one task: per node the weight it links with here, and a forest of links."""
+    """Links of one task: per node the weight it links with here, and a forest of links.
+
+    Inside a part the graph is searched, and an audit holds all of its nodes against one
+    another: a part has about MOST nodes, so no sample has to stand for it, and what the
+    search let go is added. Two parts of a shard have no edges between them: their pairs
+    come from the product alone. ``probed`` and ``hit`` count the pairs of the audit and
+    those of them that the search found.
+    """
     rows = rows.sort_values("node").reset_index(drop=True)
     exact = np.stack(rows["v"].tolist())
-    x, ids = exact.astype(np.float32), rows["node"].to_numpy()
-    n, norms = len(x), np.einsum("ij,ij->i", x, x)
-    at = {k: i for i, k in enumerate(ids.tolist())}
-    lists = [[at[k] for k in to if k in at] for to in rows["nbrs"]]
-    graph = np.full((n, max(1, max(map(len, lists)))), -1, np.int32)
-    for k, to in enumerate(lists):
-        graph[k, : len(to)] = to
-    entry, reach = medoid(x), np.float32(2 - 2 * cosine + 1e-4)
-    width = 32
-    while True:
-        pairs = _range_search(x, norms, graph, entry, reach, width)
-        # audit: some nodes against all others, in double precision
-        probe = np.unique(np.linspace(0, n - 1, min(n, _AUDIT)).astype(int))
-        true = (exact[probe] @ exact.T >= cosine) & (np.arange(n) != probe[:, None])
-        r, c = np.nonzero(true)
-        found = np.isin(probe[r].astype(np.int64) * n + c, pairs).sum()
-        if not len(r) or found >= _RECALL * len(r):
-            break
-        if width >= n:
-            break
-        width *= 4
+    ids, n = rows["node"].to_numpy(), len(rows)
+    part, shard = rows["part"].to_numpy(), rows["shard"].iloc[0]
+    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+    probed = hit = 0
+    if i == j:
+        everyone = np.arange(n)
+        pairs = _exact_pairs(exact, everyone, everyone, cosine)
+        found = _graph_pairs(exact.astype(np.float32), ids, rows["nbrs"], cosine)
+        probed, hit = len(pairs), int(np.isin(pairs, found).sum())
+        pairs = np.concatenate([pairs, found])
+    else:
+        pairs = _exact_pairs(exact, np.flatnonzero(part == i), np.flatnonzero(part == j), cosine)
     p, q = pairs // n, pairs % n
     p, q = np.minimum(p, q), np.maximum(p, q)
     once = np.unique(p * n + q)
@@ -113,8 +121,6 @@ def _find(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
         ok[s] = np.einsum("ij,ij->i", exact[p[s]], exact[q[s]]) >= cosine
     p, q = p[ok], q[ok]
     # a pair belongs to the first shard that both share, and there to the task of its parts
-    part, shard = rows["part"].to_numpy(), rows["shard"].iloc[0]
-    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
     homes = np.stack([np.pad(np.asarray(h), (0, OVERLAP - len(h)), constant_values=-1 - k) if len(h) < OVERLAP else np.asarray(h)[:OVERLAP] for k, h in enumerate(rows["homes"])])
     first = np.full(len(p), 1 << 30)
     for k in range(OVERLAP):
@@ -138,7 +144,18 @@ def _find(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
             break
         root = new
     some = (links > 0) | (root != np.arange(n))
-    return pd.DataFrame({"node": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]], "probed": len(r), "hit": found if len(r) else 0})
+    return pd.DataFrame({"node": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]], "probed": probed, "hit": hit})
+
+
+def _graph_pairs(x: np.ndarray, ids: np.ndarray, nbrs: pd.Series, cosine: float) -> np.ndarray:
+    """Pairs (as a * n + b) that a search of the graph finds about within reach."""
+    norms = np.einsum("ij,ij->i", x, x)
+    at = {k: i for i, k in enumerate(ids.tolist())}
+    lists = [[at[k] for k in to if k in at] for to in nbrs]
+    graph = np.full((len(x), max(1, max(map(len, lists)))), -1, np.int32)
+    for k, to in enumerate(lists):
+        graph[k, : len(to)] = to
+    return _range_search(x, norms, graph, medoid(x), np.float32(2 - 2 * cosine + 1e-4), BEAM)
 
 
 def _range_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, entry: int, reach: float, width: int) -> np.ndarray:
@@ -193,7 +210,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFra
     local = tasks.where("i = j").groupBy(*key).applyInPandas(_local_graph, "node long, nbrs array<long>")
     flat = local.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
     flat = materialize(flat, "flat-graph")
-    found = tasks.join(flat, "node").groupBy(*key).applyInPandas(lambda d: _find(d, cosine), "node long, links long, root long, probed long, hit long")
+    schema = "node long, links long, root long, probed long, hit long"
+    inside = tasks.where("i = j").join(flat, "node").groupBy(*key).applyInPandas(lambda d: _find(d, cosine), schema)
+    found = inside.unionByName(tasks.where("i < j").groupBy(*key).applyInPandas(lambda d: _find(d, cosine), schema))
     found = materialize(found, "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
