@@ -14,6 +14,7 @@ from .shared import bounded_sample, materialize
 
 LEAST_COSINE = 0.93
 SAMPLE, PER_SHARD, OVERLAP, MOST, DEGREE, BEAM = 20_000, 400, 3, 2000, 32, 32
+PROBES, RECALL = 256, 0.98
 
 
 def fit_centres(nodes: DataFrame, sample: int = SAMPLE, per_shard: int = PER_SHARD) -> dict[int, np.ndarray]:
@@ -36,9 +37,65 @@ def fit_centres(nodes: DataFrame, sample: int = SAMPLE, per_shard: int = PER_SHA
     return centres
 
 
-def deal(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int = OVERLAP, most: int = MOST) -> DataFrame:
-    """(label, shard, i, j, node, v, weight, homes, part): every node in the shards of its
-    ``overlap`` nearest centres. A shard of more than ``most`` nodes is cut into parts by a
+def _least_overlap(c: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair of rows of x and y, over how many nearest centres both must be dealt to share one."""
+    ranks = [np.argsort(np.argsort(-(z @ c.T), 1, kind="stable"), 1, kind="stable") for z in (x, y)]
+    return np.maximum(*ranks).min(1) + 1
+
+
+def overlaps(nodes: DataFrame, centres: dict[int, np.ndarray], cosine: float, sample: int = SAMPLE) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+    """Over how many nearest centres the nodes of each label are dealt, and for each label
+    the links of its probes with all nodes of the label: how many, and how many of them
+    share a shard then.
+
+    At most PROBES nodes of a label are held against all of it, and at least OVERLAP
+    centres are taken, and as many more as RECALL of the links need. As a label may have
+    few links, partners at the very threshold, the hardest to keep, are planted about the
+    probes, and RECALL of these must share a shard as well.
+    """
+    wide = {k: c for k, c in centres.items() if len(c) > OVERLAP}
+    if not wide:
+        return {}, {}
+    rows = pd.DataFrame([r.asDict() for r in bounded_sample(nodes.select("node", "label", "v"), "node", sample)], columns=["node", "label", "v"])
+    rng, probes, least = np.random.default_rng(6), {}, {}
+    for label, part in rows[rows["label"].isin(list(wide))].groupby("label"):
+        x = np.stack(part["v"].tolist()[:PROBES])
+        probes[label] = part["node"].to_numpy()[:PROBES], x
+        x = np.repeat(x, -(-PROBES // len(x)), 0)
+        away = rng.normal(size=x.shape)
+        away -= (away * x).sum(1, keepdims=True) * x
+        size = np.sqrt((away * away).sum(1, keepdims=True))
+        y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * away / np.where(size > 1e-9, size, 1)
+        least[label] = int(np.quantile(_least_overlap(wide[label], x, y), RECALL, method="higher"))
+
+    def needs(batches):
+        for b in batches:
+            for label, part in b[b["label"].isin(list(probes))].groupby("label"):
+                ids, x = probes[label]
+                own = part["node"].to_numpy()
+                for a in range(0, len(part), 4096):
+                    y = np.stack(part["v"].iloc[a : a + 4096].tolist())
+                    r, c = np.nonzero((x @ y.T >= cosine) & (ids[:, None] != own[a : a + 4096]))
+                    for s in range(0, len(r), 1024):
+                        need = np.bincount(_least_overlap(wide[label], x[r[s : s + 1024]], y[c[s : s + 1024]]))
+                        yield pd.DataFrame({"label": label, "need": np.flatnonzero(need), "c": need[need > 0]})
+
+    seen = nodes.select("node", "label", "v").mapInPandas(needs, "label int, need int, c long").groupBy("label", "need").agg(F.sum("c").alias("c")).collect()
+    taken, audit = {}, {}
+    for label, c in wide.items():
+        count = np.zeros(len(c) + 1, np.int64)
+        for r in seen:
+            if r["label"] == label:
+                count[r["need"]] = r["c"]
+        total = np.cumsum(count)
+        taken[label] = max(OVERLAP, least[label], int(np.argmax(total >= RECALL * total[-1])))
+        audit[label] = int(total[-1]), int(total[taken[label]])
+    return taken, audit
+
+
+def deal(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: dict[int, int], most: int = MOST) -> DataFrame:
+    """(label, shard, i, j, node, v, weight, homes, part): every node in the shards of as many
+    nearest centres as ``overlap`` says for its label. A shard of more than ``most`` nodes is cut into parts by a
     hash, and each pair of parts i <= j is a task, so none grows with the shard and no pair
     is lost."""
 
@@ -47,7 +104,7 @@ def deal(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int = OVERLA
             homes = []
             for label, v in zip(b["label"], b["v"], strict=True):
                 c = centres.get(label)
-                homes.append([0] if c is None else np.argsort(-(c @ np.asarray(v)), kind="stable")[:overlap].astype(int).tolist())
+                homes.append([0] if c is None else np.argsort(-(c @ np.asarray(v)), kind="stable")[: overlap.get(label, OVERLAP)].astype(int).tolist())
             yield b.assign(homes=homes)
 
     put = nodes.mapInPandas(assign, "node long, label int, v array<double>, weight long, homes array<int>")
@@ -120,12 +177,13 @@ def _find(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
         s = slice(a, a + (1 << 17))
         ok[s] = np.einsum("ij,ij->i", exact[p[s]], exact[q[s]]) >= cosine
     p, q = p[ok], q[ok]
-    # a pair belongs to the first shard that both share, and there to the task of its parts
-    homes = np.stack([np.pad(np.asarray(h), (0, OVERLAP - len(h)), constant_values=-1 - k) if len(h) < OVERLAP else np.asarray(h)[:OVERLAP] for k, h in enumerate(rows["homes"])])
+    # a pair belongs to the first shard that both share, and there to the task of its parts:
+    # every task that has both of a pair finds it, so none is lost by counting it once
+    homes = np.stack(rows["homes"].tolist())  # a label's nodes are all dealt to as many shards
     first = np.full(len(p), 1 << 30)
-    for k in range(OVERLAP):
+    for k in range(homes.shape[1]):
         own = homes[p, k]
-        shared = (homes[q] == own[:, None]).any(1) & (own >= 0)
+        shared = (homes[q] == own[:, None]).any(1)
         first = np.where(shared, np.minimum(first, own), first)
     mine = (first == shard) & (np.minimum(part[p], part[q]) == i) & (np.maximum(part[p], part[q]) == j)
     p, q = p[mine], q[mine]
@@ -205,7 +263,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFra
     size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, c: s + c * c))
     nodes = materialize(nodes.select("node", "label", "embedding", "first", "weight", F.transform("embedding", lambda c: c / size).alias("v")), "nodes")
     centres = fit_centres(nodes)
-    tasks = materialize(deal(nodes.select("node", "label", "v", "weight"), centres), "tasks")
+    tasks = materialize(deal(nodes.select("node", "label", "v", "weight"), centres, overlaps(nodes, centres, cosine)[0]), "tasks")
     key = ["label", "shard", "i", "j"]
     local = tasks.where("i = j").groupBy(*key).applyInPandas(_local_graph, "node long, nbrs array<long>")
     flat = local.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))

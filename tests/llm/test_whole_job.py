@@ -34,3 +34,14 @@ def test_embedding_dedup_finds_pairs_across_parts(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "fit_centres", lambda nodes: {})
     got = links_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert got == {i: int(i < 20 or i >= 1580) for i in range(len(x))}
+
+
+def test_embedding_dedup_finds_pairs_across_shards(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = units(3000, rng)
+    x = np.concatenate([x, near(x[:600], 0.935, rng)])
+    # centres of a table that has many more vectors than these
+    monkeypatch.setattr(embedding_dedup, "fit_centres", lambda nodes: {0: units(1000, rng)})
+    got = links_of(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    want = (x @ x.T >= embedding_dedup.LEAST_COSINE).sum(1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.97 * want.sum()
