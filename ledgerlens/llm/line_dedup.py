@@ -11,7 +11,7 @@ from . import setjoin as sj
 from .shared import drop_table, materialize
 
 SLACK = 1  # of 20
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 
 
 def repeated_classes(sets: DataFrame) -> DataFrame:
@@ -52,8 +52,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs with their repeated lines taken out, and n_lines, n_removed.
 
     A line (between newlines) is taken out if a line earlier in the corpus, by id and then by
-    place, has a Jaccard similarity of 0.75 or more by shingles of five words. Lines of fewer
-    than LEAST_WORDS words, blank ones too, stay. A null text stays null and has no lines; an
+    place, has a Jaccard similarity of 0.75 or more by shingles of five words; a line
+    of fewer words is one shingle, so it goes if an earlier one has the same words. Blank lines
+    stay. A null text stays null and has no lines; an
     empty one has one. Ids must be distinct for a text's lines to be told apart: of rows that
     repeat an id, lines of the same number share their fate. Other columns are kept, but for
     any that are named as the two new ones.

@@ -5,7 +5,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from ledgerlens.llm import embedding_dedup  # noqa: E402
+from ledgerlens.llm import embedding_dedup, line_dedup  # noqa: E402
 
 
 def near(x, cosine, rng):
@@ -45,3 +45,9 @@ def test_embedding_dedup_finds_pairs_across_shards(spark, monkeypatch):
     got = links_of(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
     want = (x @ x.T >= embedding_dedup.LEAST_COSINE).sum(1) - 1
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.97 * want.sum()
+
+
+def test_line_dedup_takes_out_short_lines_that_repeat(spark):
+    rows = [(1, "one\ntwo words\n\nONE\n犬も歩けば棒に当たる"), (2, "two  Words\nthree words here\n\n犬も歩けば棒に当たる\ntwo"), (3, "three words here")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("one\ntwo words\n\n犬も歩けば棒に当たる", 1), 2: ("three words here\n\ntwo", 2), 3: ("", 1)}
