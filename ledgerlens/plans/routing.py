@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import routing as R
@@ -47,10 +47,12 @@ def memory_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(R.memory_type(F.col("d")).alias("type")).agg(F.count("*").alias("n"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
+    """Documents with labels set before them: their heads, as the SQL twins have them, or ``text``."""
+    text = F.substring("text", 1, 400) if text is None else text
     k = F.col("doc_id") % 5
     lead = F.when(k == 0, "Decision: ").when(k == 1, "## Failure\n").when(k == 2, "**Outcome**: ").when(k == 3, "workaround for ").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, F.substring("text", 1, 400)).alias("d"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, text).alias("d"))
 
 
 @query(
@@ -122,7 +124,7 @@ def preflight_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A decision for each task from its concepts, memories and directives."""
     concepts = skill_concept_scores(spark, sf_dir).groupBy("task").agg(F.max("score").alias("best"), F.count("*").alias("n"))
     directives = _directives(spark, sf_dir).groupBy("task").agg(F.max(F.col("can_force").cast("int")).alias("forced"), F.max(F.when(F.col("class") == "semantic_directive_match", F.col("score"))).alias("sem"))
-    notes = _tasks(_labelled(spark, sf_dir)).withColumn("kind", R.memory_type(F.col("d")))
+    notes = _tasks(_labelled(spark, sf_dir, F.col("text")).withColumn("kind", R.memory_type(F.col("d"))))
     memory = notes.withColumn("s", R.memory_score(F.col("task"), F.col("d"), F.col("kind"))).where("s > 0").groupBy("task").agg(F.max("s").alias("mbest"), F.max_by("kind", "s").alias("mtype"), F.count("*").alias("n_memory"))
     rows = spark.createDataFrame([(t,) for t in TASKS], "task string").join(concepts, "task", "left").join(directives, "task", "left").join(memory, "task", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -1,11 +1,13 @@
 """Nothing is left out: pairs across the parts of a shard, pairs across shards, short lines, names of wrappers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
 from ledgerlens.llm import embedding_dedup, line_dedup  # noqa: E402
+from ledgerlens.plans import pairs, routing  # noqa: E402
 
 
 def near(x, cosine, rng):
@@ -51,3 +53,16 @@ def test_line_dedup_takes_out_short_lines_that_repeat(spark):
     rows = [(1, "one\ntwo words\n\nONE\n犬も歩けば棒に当たる"), (2, "two  Words\nthree words here\n\n犬も歩けば棒に当たる\ntwo"), (3, "three words here")]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("one\ntwo words\n\n犬も歩けば棒に当たる", 1), 2: ("three words here\n\ntwo", 2), 3: ("", 1)}
+
+
+def write(folder, **tables):
+    for name, rows in tables.items():
+        pd.DataFrame(rows).to_parquet(folder / f"{name}.parquet")
+    return str(folder)
+
+
+def test_preflight_reads_whole_documents(spark, tmp_path):
+    text = "some words of no use " * 40 + "paint the red plate"
+    at = write(tmp_path, part=[{"p_partkey": 1, "p_name": "qqq zzz", "p_size": 1}], documents=[{"doc_id": 4, "text": text}])
+    got = {r.task: r.best_score for r in routing.preflight_decision(spark, at).collect()}
+    assert got["paint the red plate"] == 2.0
