@@ -48,7 +48,7 @@ p AS (SELECT *, lower(rule) LIKE '%always%' AS pos, lower(rule) LIKE '%never%' A
 SELECT DISTINCT a.id AS d1, b.id AS d2 FROM p a JOIN p b ON a.id < b.id AND ((a.pos AND b.neg) OR (a.neg AND b.pos)) AND (a.tr = b.tr OR (a.scope = b.scope AND a.scope <> 'general'))"""
 )
 def directive_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J11; the directives are those of the first 600 parts, a registry's size."""
+    """J11; the directives are those of the first 600 parts, as in the SQL."""
     k = F.col("p_partkey") % 5
     d = table(spark, sf_dir, "part").where("p_partkey <= 600").select(F.col("p_partkey").alias("id"), F.when(k == 0, "Always paint it").when(k == 1, "never paint it").otherwise("paint it").alias("rule"), F.when(F.col("p_size") % 10 == 0, "general").otherwise(F.concat(F.lit("size"), F.col("p_size").cast("string"))).alias("scope"), F.array("p_brand").alias("triggers"))
     return P.directive_conflicts(d)
@@ -127,12 +127,12 @@ def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def event_concept_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest names for each distinct summary, evidence first in the ratio. The
-    names are a registry of bounded size and become literals of the plan."""
+    names are a table: every summary meets every name."""
     from ..functions.similarity import ratio_udf
 
-    names = [r["name"] for r in _distinct_names(spark, sf_dir).orderBy("ord").limit(64).collect()]
-    terms = event_ledger(spark, sf_dir).select("summary").distinct().where(F.length("summary") < 40)
-    rows = terms.withColumn("name", F.explode(F.array(*map(F.lit, names)))).withColumn("s", F.round(ratio_udf(F.lower("summary"), F.lower("name")), 6))
+    names = _distinct_names(spark, sf_dir).select("name")
+    terms = event_ledger(spark, sf_dir).select("summary").distinct()
+    rows = terms.crossJoin(names).withColumn("s", F.round(ratio_udf(F.lower("summary"), F.lower("name")), 6))
     from ..operators.ranking import top_k
 
     return top_k(rows, 3, F.desc("s"), F.asc("name"), partition=["summary"]).select("summary", "rank", "name", F.col("s").alias("similarity"))

@@ -95,13 +95,14 @@ def source_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT task, id FROM tk, d WHERE scope = 'global' OR contains(task, title) OR (p3 AND contains(task, 'workflow'))""".replace("SELECT task, id FROM tk, d", "SELECT task, id FROM tk, (SELECT *, id % 3 = 0 AS p3, string_split(title, ' ') AS w FROM d) d").replace("OR contains(task, title)", "OR (len(list_filter(w, lambda x: list_contains(string_split(task, ' '), x) AND x <> 'review')) >= 2)")
 )
 def directive_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which directives match each task (a registry of 400)."""
-    return _directives(spark, sf_dir).select("task", "id")
+    """Which directives match each task (the first 400, as in the SQL)."""
+    return _directives(spark, sf_dir, 400).select("task", "id")
 
 
-def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _directives(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Parts as directives, all of them or those of keys up to ``most``, for each task."""
     k = F.col("p_partkey")
-    d = table(spark, sf_dir, "part").where(k <= 400).select(
+    d = table(spark, sf_dir, "part").where(F.lit(True) if most is None else k <= most).select(
         k.alias("id"),
         F.col("p_name").alias("title"),
         F.when(k % 3 == 0, F.concat(F.lit("workflow for the "), "p_name")).otherwise("keep it").alias("rule"),
