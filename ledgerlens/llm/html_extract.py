@@ -11,6 +11,7 @@ hosts together.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,7 +33,7 @@ _FENCES = frozenset("ul ol dl table menu".split())
 _ASIDE = frozenset("ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
 _ARTICLE = frozenset("article articlebody content entry main post story".split())
 
-GAMMA, PRIOR_PAGES, LEAST = 0.9, 8, 0.2
+GAMMA, PRIOR_PAGES, LEAST, WRAPS = 0.9, 8, 0.2, 0.8
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -127,16 +128,21 @@ def host_of(url: pd.Series) -> pd.Series:
     return url.fillna("").str.extract(r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", expand=False).fillna("").str.lower()
 
 
+def article(path: str) -> float:
+    """The weight that an article's name on a path gives it in the tree: 1 where there is none."""
+    return 4.0 if _ARTICLE & set(_TOKEN.findall(path)) else 1.0
+
+
 def prior(path: str) -> float:
-    """The weight that the names along a path give it: 1 where they say nothing."""
-    weight = 1.0
-    for style in path.split("/"):
-        tokens = set(_TOKEN.findall(style))
-        if tokens & _ASIDE:
-            return 0.1  # wins over an article around it
-        if tokens & _ARTICLE:
-            weight = 4.0
-    return weight
+    """The weight that the names along a path give it where text share has no say: 1 where they
+    say nothing."""
+    return 0.1 if asides(path) else article(path)
+
+
+def asides(path: str) -> list[str]:
+    """The nodes along a path, below the body, whose own names say that they stand beside the main text."""
+    steps = path.split("/")
+    return ["/".join(steps[: k + 1]) for k, x in enumerate(steps) if x.split(".")[0] not in ("html", "body") and _ASIDE & set(_TOKEN.findall(x))]
 
 
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,13 +197,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def low_branches(tree: DataFrame) -> DataFrame:
     """(host, low array<string>): the paths of each host to take out. A node's importance is
-    weighed with that of the same path over all hosts as PRIOR_PAGES pages, then by its names."""
+    weighed with that of the same path over all hosts as PRIOR_PAGES pages, then by an article's name."""
     everywhere = tree.where("host = ''").select("path", F.col("importance").alias("overall"))
     seen = tree.where("host != ''").join(everywhere, "path")
     weighed = (F.col("m") * F.col("importance") + PRIOR_PAGES * F.col("overall")) / (F.col("m") + PRIOR_PAGES)
-    named = F.udf(prior, "double")
+    named = F.udf(article, "double")
     names = seen.select("path").distinct().withColumn("prior", named("path"))
-    low = seen.join(names, "path").where((weighed * F.col("prior") < LEAST) & (F.col("prior") < 2) & F.col("path").contains("body"))
+    low = seen.join(names, "path").where((weighed * F.col("prior") < LEAST) & F.col("path").contains("body"))
     return low.groupBy("host").agg(F.collect_set("path").alias("low"))
 
 
@@ -216,18 +222,24 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights: dict[str, float] = {}
+        named: dict[str, list[str]] = {}
         for b in batches:
             texts = []
             for html, low in zip(b["html"], b["low"], strict=True):
                 out, gone = [], set() if low is None else set(low)
-                for path, text in Page(html or "").blocks:
-                    if path not in weights:
-                        weights[path] = prior(path)
+                blocks, below = Page(html or "").blocks, Counter()
+                for path, text in blocks:
+                    if path not in named:
+                        named[path] = asides(path)
+                    below.update(dict.fromkeys(named[path], len(text)))
+                # a node that holds most of the page's text wraps it, whatever its name
+                total = sum(len(text) for _, text in blocks)
+                aside = {k for k, n in below.items() if n < WRAPS * total}
+                for path, text in blocks:
                     at = path
                     while at and at not in gone:
                         at = at.rpartition("/")[0]
-                    if not at and weights[path] >= LEAST:
+                    if not at and aside.isdisjoint(named[path]):
                         out.append(text)
                 texts.append("\n".join(out))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})

@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from ledgerlens.llm import embedding_dedup, line_dedup  # noqa: E402
+from ledgerlens.llm import embedding_dedup, html_extract, line_dedup  # noqa: E402
 from ledgerlens.plans import pairs, routing  # noqa: E402
 
 
@@ -78,3 +78,11 @@ def test_directives_and_names_are_not_capped(spark, tmp_path):
     part = [*part, {"p_partkey": 999, "p_name": got[0].summary, "p_size": 1}]  # after the first 64 names
     best = pairs.event_concept_matches(spark, write(tmp_path, part=part)).where("rank = 1").head()
     assert best.name == best.summary and best.similarity == 1.0
+
+
+def test_html_names_do_not_override_text_share_and_entropy(spark):
+    main = "<main><h1>Title {i}</h1><p>text {i} and more of it, long enough to be the most of this page</p><div class=x>the same on all</div></main>"
+    form = "<body class='has-sidebar'><form id=aspnet>" + main + "<div class=ad>buy {i}</div></form></body>"
+    rows = [(i, f"http://h.example/{i}", form.format(i=i)) for i in range(40)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\ntext {i} and more of it, long enough to be the most of this page" for i in range(40)}
