@@ -14,7 +14,6 @@ from ledgerlens.llm import langid_crf, line_dedup, ngram_join, packing, toxicity
 from ledgerlens.llm.shared import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_LANGUAGE_SCORE = 0.4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, and those of which no learned language has a share
-    of LEAST_LANGUAGE_SCORE of the words (op3)."""
+    """Rejects documents that op3 names no language for. A score is the share of one language,
+    so a document spread over several known ones stays, however low its best."""
     crf = langid_crf.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = langid_crf.identify(docs, crf, tuple(COLUMNS))
-    return found.where((F.col("lang_pred") != langid_crf.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(COLUMNS)
+    return found.where(F.col("lang_pred") != langid_crf.UNKNOWN).select(COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

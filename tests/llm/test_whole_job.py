@@ -86,3 +86,14 @@ def test_html_names_do_not_override_text_share_and_entropy(spark):
     rows = [(i, f"http://h.example/{i}", form.format(i=i)) for i in range(40)]
     got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Title {i}\ntext {i} and more of it, long enough to be the most of this page" for i in range(40)}
+
+
+def test_pipeline_keeps_code_switched_documents(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL AND n_chars > 2000").orderBy("doc_id")
+    first = docs.toPandas().groupby("lang")["text"].first()
+    mixed = " ".join(" ".join(t.split()[:60]) for t in first)
+    rows = [(1, mixed, "en", "s", len(mixed)), (2, "12 34 !", "en", "s", 7)]
+    kept = p.keep_known_languages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf_dir)
+    assert len(first) == 4 and [r.doc_id for r in kept.collect()] == [1]
