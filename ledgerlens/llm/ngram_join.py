@@ -31,51 +31,82 @@ def _reaching_out(sets: DataFrame, slack: int | None) -> DataFrame:
 
 
 def incidence(sets: DataFrame) -> DataFrame:
-    """(cid, root, n, g, w, before): classes by columns of n-grams.
+    """(cid, root, n, own, g, w, before): classes by columns of n-grams.
 
     N-grams that exactly the same classes have are one column g of weight w. Columns of a class
-    stand in order of rarity, after its n-grams that no other group has; ``before`` counts what
-    stands before a column. Only columns are kept that begin among the first n-grams of which
-    any linked class must share one.
+    stand in order of rarity, after its ``own`` n-grams that no other group has; ``before``
+    counts what stands before a column. Only columns are kept that begin among the first
+    n-grams of which any linked class must share one.
     """
     rows = sets.select("cid", "root", "n", F.explode("tokens").alias("s"))
     mark = F.xxhash64("cid", F.lit(3)).cast("decimal(38,0)")
     grams = rows.groupBy("s").agg(F.count("*").alias("df"), F.sum(mark).alias("mark"), F.min("root").alias("x"), F.max("root").alias("y"))
     grams = grams.where("x != y").select("s", "df", F.xxhash64("df", "mark").alias("g"))
     columns = rows.join(grams, "s").groupBy("cid", "root", "n", "df", "g").agg(F.count("*").alias("w"))
-    own = Window.partitionBy("cid")
-    ahead = F.coalesce(F.sum("w").over(own.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = columns.withColumn("before", F.col("n") - F.sum("w").over(own) + ahead)
-    return materialize(placed.where(F.col("before") <= F.col("n") - F.floor((3 * F.col("n") + 3) / 4)).select("cid", "root", "n", "g", "w", "before"), "incidence")
+    of = Window.partitionBy("cid")
+    ahead = F.coalesce(F.sum("w").over(of.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = columns.withColumn("own", F.col("n") - F.sum("w").over(of)).withColumn("before", F.col("own") + ahead)
+    return materialize(placed.where(F.col("before") <= F.col("n") - F.floor((3 * F.col("n") + 3) / 4)).select("cid", "root", "n", "own", "g", "w", "before"), "incidence")
+
+
+def product(rows: DataFrame) -> DataFrame:
+    """(a, b): the pairs of classes of different groups whose counted overlap leaves a link
+    possible, from the incidence multiplied with its transpose.
+
+    Of two linked sets the smaller has a common column among its first seventh; of two equal
+    sizes the one with more n-grams of its own, which has fewer columns there. A block is one
+    column and two groups. Blocks whose bounds (sizes, and how large a set the best placed
+    member can reach) leave no link possible are dropped before members are expanded, blocks
+    within a group are never formed. Each product that the bounds let pass adds to its pair's
+    count; what stands after the last common column bounds the rest.
+    """
+    n, left = F.col("n"), F.col("n") - F.col("before")
+    key = F.struct("n", (-F.col("own")).alias("o"), "cid")
+    reach = 7 * left - 3 * n  # 3 * size of the largest set it may still link with
+    small = rows.where(7 * F.col("before") <= n)
+    bounds = lambda k: [F.min("n").alias(f"least_{k}"), F.max("n").alias(f"most_{k}"), F.max(reach).alias(f"reach_{k}")]
+    lows = small.groupBy("g", F.col("root").alias("ra")).agg(F.min(key).alias("low"), *bounds("a"))
+    tops = rows.groupBy("g", F.col("root").alias("rb")).agg(F.max(key).alias("top"), *bounds("b"))
+    blocks = lows.join(tops, "g").where("ra != rb AND low < top AND reach_a >= 3 * least_b AND reach_b >= 3 * least_a AND 4 * most_a >= 3 * least_b AND 4 * most_b >= 3 * least_a")
+    blocks = blocks.select("g", "ra", "rb", "top", "least_b", "most_b", "reach_b")
+    a = small.select("g", F.col("root").alias("ra"), key.alias("ka"), F.col("w"), F.col("before").alias("i"), reach.alias("reach"))
+    met = blocks.join(a, ["g", "ra"]).where("ka < top AND reach >= 3 * least_b AND 3 * ka.n <= reach_b AND 4 * ka.n >= 3 * least_b AND 4 * most_b >= 3 * ka.n")
+    b = rows.select("g", F.col("root").alias("rb"), key.alias("kb"), F.col("before").alias("j"))
+    pairs = met.select("g", "rb", "ka", "w", "i").join(b, ["g", "rb"]).where((F.col("ka") < F.col("kb")) & sj.may_link(F.col("ka.n"), F.col("kb.n"), F.col("i"), F.col("j")))
+    ends = [F.max(F.col(at) + F.col("w")).alias(at) for at in ("i", "j")]
+    counted = pairs.groupBy(F.col("ka.cid").alias("a"), F.col("kb.cid").alias("b"), F.col("ka.n").alias("n"), F.col("kb.n").alias("m")).agg(F.sum("w").alias("c"), *ends)
+    # past the last columns that met, at most the shorter rest can still be shared
+    rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    return counted.where(7 * (F.col("c") + rest) >= 3 * (F.col("n") + F.col("m"))).select("a", "b")
+
+
+def centres(sets: DataFrame) -> DataFrame:
+    """Of each group the set that shares most with the others of its group, written out."""
+    rows = sets.select("cid", "root", F.explode("tokens").alias("s"))
+    common = rows.groupBy("root", "s").agg(F.count("*").alias("c")).where("c > 1")
+    shared = rows.join(common, ["root", "s"]).groupBy("root", "cid").agg(F.sum("c").alias("c"))
+    alone = sets.select("root", "cid", F.lit(0).cast("long").alias("c"))
+    best = shared.unionByName(alone).groupBy("root").agg(F.max(F.struct("c", "cid")).alias("best")).select(F.col("best.cid").alias("cid"))
+    return materialize(sets.join(best, "cid"), "centres", "none")
 
 
 def missing_links(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """All links between classes of different groups, given the groups found so far.
+    """Links that join all groups which any link joins, given the groups found so far.
 
     Classes with too few n-grams in common with other groups are left out first, which leaves
-    few. The incidence of the others is multiplied with its transpose by blocks of one column
-    and two groups; blocks within a group are never formed, so a large group of near copies
-    costs its size and not its square. Each product that the length and positional bounds let
-    pass adds to its pair's count; pairs whose counted overlap and the most that the rest can
-    add fall short of the bound are discarded, others verified.
+    few. Then the centres of groups meet, one of each: a class that is near the middle of a
+    large family joins it by one link. What is still apart meets whole, all classes of a group
+    with those of every other. Candidates of both rounds are verified exactly.
     """
     sets = sets.join(roots, "cid", "left").select("cid", "n", F.coalesce("root", "cid").alias("root"), "tokens")
     sets = _reaching_out(_reaching_out(sets, SLACK), None)
-    rows = incidence(sets)
-    # of two linked sets the smaller (by size, then name) has a common column among its first 1/7
-    small = rows.where(7 * F.col("before") <= F.col("n"))
-    key = F.struct("n", "cid")
-    lows = small.groupBy("g", F.col("root").alias("ra")).agg(F.min(key).alias("low"))
-    tops = rows.groupBy("g", F.col("root").alias("rb")).agg(F.max(key).alias("top"))
-    blocks = lows.join(tops, "g").where("ra != rb AND low < top").select("g", "ra", "rb")
-    a = small.select("g", F.col("root").alias("ra"), F.col("cid").alias("a"), F.col("n").alias("n"), F.col("w").alias("w"), F.col("before").alias("i"))
-    b = rows.select("g", F.col("root").alias("rb"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("before").alias("j"))
-    product = blocks.join(a, ["g", "ra"]).join(b, ["g", "rb"]).where((F.struct("n", F.col("a").alias("k")) < F.struct(F.col("m").alias("n"), F.col("b").alias("k"))) & sj.may_link(F.col("n"), F.col("m"), F.col("i"), F.col("j")))
-    counted = product.groupBy("a", "b").agg(F.sum("w").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.col("i") + F.col("w")).alias("i"), F.max(F.col("j") + F.col("w")).alias("j"))
-    # past the last columns that met, at most the shorter rest can still be shared
-    rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    counted = counted.where(7 * (F.col("c") + rest) >= 3 * (F.col("n") + F.col("m")))
-    return sj.verify(counted.select("a", "b"), sets)
+    first = sj.verify(product(incidence(centres(sets))), sets)
+    group = sets.select("cid", "root")
+    joined = first.join(group.toDF("a", "ra"), "a").join(group.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    merged = materialize(sj.components(joined).select(F.col("cid").alias("root"), F.col("root").alias("whole")), "merged")
+    sets = sets.join(merged, "root", "left").select("cid", "n", F.coalesce("whole", "root").alias("root"), "tokens")
+    sets = _reaching_out(sets, None)
+    return first.unionByName(sj.verify(product(incidence(sets)), sets))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
