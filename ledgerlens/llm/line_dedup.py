@@ -37,14 +37,14 @@ def repeated_classes(sets: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, drop array<int>): the numbers, from 0, of each text's lines to take out."""
     units = sj.scan(docs, True, SLACK, LEAST_WORDS, id_col, text_col)
-    left = sj.survivors(units, SLACK)
+    places = sj.Places(units)
+    found = sj.classes(units, places, SLACK)
     lines = materialize(units.select("id", "line", "cid"), "lines")
-    firsts = lines.groupBy("cid").agg(F.min(sj.place(lines)).alias("first"), F.count("*").alias("c"))
     drop_table(units)
-    sets = sj.full_sets(docs, left, True, LEAST_WORDS, id_col=id_col, text_col=text_col)
+    sets = sj.full_sets(docs, found.where("open"), True, LEAST_WORDS, id_col=id_col, text_col=text_col)
     late = repeated_classes(sets).withColumn("late", F.lit(True))
-    marked = firsts.join(late, "cid", "left").where("c > 1 or late").select("cid", "first", "late")
-    gone = lines.join(marked, "cid").where(F.col("late") | (sj.place(lines) != F.col("first")))
+    marked = found.select("cid", "pos", "c").join(late, "cid", "left").where("c > 1 or late").select("cid", "pos", "late")
+    gone = lines.join(marked, "cid").where(F.col("late") | (places.of() != F.col("pos")))
     return materialize(gone.groupBy("id").agg(F.collect_set("line").alias("drop")), "dropped-lines")
 
 
@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key, drop = (f"_{name}_{uuid.uuid4().hex}" for name in ("id", "drop"))  # no column of docs
     gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(key), F.col("drop").alias(drop))
-    if gone.count() <= broadcast_rows:
+    if (gone.agg(F.sum(F.size(drop) + 1)).head()[0] or 0) <= broadcast_rows:
         gone = F.broadcast(gone)
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col(key)), "left")
     lines = F.split(F.col(text_col), "\n", -1)

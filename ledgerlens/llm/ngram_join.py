@@ -119,7 +119,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
     units = sj.scan(source, False, SLACK, id_col="id", text_col="_text")
-    left = sj.survivors(units, SLACK)
+    left = sj.classes(units, sj.Places(units), SLACK).where("open")
     rows = materialize(units.select("id", "cid", "n"), "rows")
     drop_table(units)
     sets = sj.full_sets(source, left, False, id_col="id", text_col="_text")

@@ -6,7 +6,7 @@ Two classes link when 4 * overlap >= 3 * union. Everything below runs on classes
 
 1. ``scan`` writes for each unit its class, size and the smallest values of its set. Two
    linked sets of n and m share at least ``common(n), common(m)``, the lesser, among these.
-2. ``survivors`` counts for each class how many of those no other class has; a class that
+2. ``classes`` counts for each class how many of those no other class has; a class that
    is left with too few can link with none. Most of a corpus ends here.
 3. ``full_sets`` reads the whole sets of what is left, once for each class.
 4. ``pivot_links`` brings classes with equal minima of hashes to the earliest of them and
@@ -40,21 +40,45 @@ _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # letters A-Z i
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x5851F42D4C957F2D
+_BLOCK = 1 << 20  # bytes that are hashed at a time: what the tables below hold, however long a text is
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def _power_tables() -> list[np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = []
+    if not _powers:
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            t = np.full(size, U(b))
+            t = np.full(_BLOCK + 1, U(b))
             t[0] = U(1)
             _powers.append(np.multiply.accumulate(t))
     return _powers
 
 
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes of the words data[begin[i]:end[i]], in ascending order of place: by blocks of whole words, and
+    a word that is longer than a block by parts."""
+    up, down = _power_tables()
+    out = np.empty(len(begin), U)
+    i = 0
+    while i < len(begin):
+        base = begin[i]
+        j = int(np.searchsorted(end, base + _BLOCK, "right"))
+        if j > i:
+            part = data[base : end[j - 1]]
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+            out[i:j] = (sums[end[i:j] - base] - sums[begin[i:j] - base]) * down[begin[i:j] - base]
+        else:
+            j, total, scale = i + 1, 0, 1
+            for c in range(base, end[i], _BLOCK):
+                part = data[c : min(c + _BLOCK, end[i])]
+                total += int((_BYTE[part] * up[: len(part)]).sum()) * scale
+                scale = scale * int(up[_BLOCK]) % (1 << 64)
+            out[i] = U(total % (1 << 64))
+        i = j
+    return mix(out)
+
+
 def shingle_sets(data: np.ndarray, edges: np.ndarray, lines: bool, words_least: int = 0) -> tuple[np.ndarray, ...]:
     """The sets of the documents data[edges[i]:edges[i + 1]] (UTF-8 bytes), or of their lines.
 
@@ -77,10 +101,7 @@ def shingle_sets(data: np.ndarray, edges: np.ndarray, lines: bool, words_least:
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(begin):
         return none, none, none, np.zeros(0, U)
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-    w = mix((sums[end] - sums[begin]) * down[begin])
+    w = word_hashes(data, begin, end)
     doc = np.searchsorted(edges, begin, "right") - 1
     if lines:
         breaks = np.concatenate([[0], np.cumsum(data == 10)])
@@ -112,6 +133,9 @@ def shingle_sets(data: np.ndarray, edges: np.ndarray, lines: bool, words_least:
             live = count[short] > k
             s = np.where(live, mix(s * U(0xD1342543DE82EF95) + w[np.minimum(start[short] + k, len(w) - 1)]), s)
         h, owner = np.concatenate([h, s]), np.concatenate([owner, short])
+    if len(start) == 1:
+        h = np.unique(h)
+        return doc[start[keep]], (line[start[keep]] if lines else np.zeros(int(keep.sum()), np.int64)), np.full(int(keep.sum()), len(h)), h
     order = np.argsort(h)
     owner = owner[order]
     again = np.argsort(owner.astype(np.uint16) if len(start) < 1 << 16 else owner, kind="stable")
@@ -192,41 +216,57 @@ def scan(docs: DataFrame, lines: bool, slack: int, words_least: int = 0, id_col:
     return materialize(rows.mapInArrow(run, f"id {kind.simpleString()}, line int, cid long, n int, prefix array<long>"), "units", "none")
 
 
-def place(units: DataFrame) -> Column:
-    """Where a unit stands: a value that orders units by id and line. Integral ids make it one
-    number, which aggregates by hash; others a struct."""
-    if isinstance(units.schema["id"].dataType, IntegralType):
-        return F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
-    return F.struct("id", "line")
-
-
-def id_and_line(pos: Column, kind: DataType) -> list[Column]:
-    """The id and line of a place."""
-    if isinstance(kind, IntegralType):
-        id_ = F.floor(pos / F.lit(1 << 31).cast("decimal(10,0)"))
-        line = pos - id_.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
-        return [id_.cast(kind).alias("id"), line.cast("int").alias("line")]
-    return [pos["id"].alias("id"), pos["line"].alias("line")]
-
-
-def survivors(units: DataFrame, slack: int) -> DataFrame:
-    """(cid, n, pos, id, line) of the classes that may link with another; pos is the place where
-    the class stands first. Counting is by partial sums: no task holds a shingle's units."""
+class Places:
+    """One value that orders the units of a table by id and line. Integral ids that leave room
+    for the line numbers make a long of both, others a decimal, ids of other types a struct."""
+
+    def __init__(self, units: DataFrame):
+        self.kind, self.bits = units.schema["id"].dataType, None
+        if isinstance(self.kind, IntegralType):
+            least, most, line = units.agg(F.min("id"), F.max("id"), F.max("line")).head()
+            bits = int(line or 0).bit_length()
+            if (least or 0) >= 0 and int(most or 0).bit_length() + bits < 63:
+                self.bits = bits
+
+    def of(self) -> Column:
+        """The place of a row with id and line."""
+        if self.bits is not None:
+            return F.shiftleft(F.col("id").cast("long"), self.bits) + F.col("line")
+        if isinstance(self.kind, IntegralType):
+            return F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+        return F.struct("id", "line")
+
+    def back(self, pos: Column) -> list[Column]:
+        """The id and line of a place."""
+        if self.bits is not None:
+            return [F.shiftright(pos, self.bits).cast(self.kind).alias("id"), pos.bitwiseAND(F.lit((1 << self.bits) - 1).cast("long")).cast("int").alias("line")]
+        if isinstance(self.kind, IntegralType):
+            id_ = F.floor(pos / F.lit(1 << 31).cast("decimal(10,0)"))
+            line = pos - id_.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+            return [id_.cast(self.kind).alias("id"), line.cast("int").alias("line")]
+        return [pos["id"].alias("id"), pos["line"].alias("line")]
+
+
+def classes(units: DataFrame, places: Places, slack: int) -> DataFrame:
+    """(cid, n, pos, c, open, id, line) of the classes that several units have or that may link
+    with another (open); pos is the place where the class stands first. Counting is by partial
+    sums: no task holds a shingle's units."""
     shingles = units.select("cid", F.explode("prefix").alias("s"))
     lone = shingles.groupBy("s").agg(F.min("cid").alias("cid"), F.max("cid").alias("_other")).where("cid = _other")
     lone = lone.groupBy("cid").agg(F.count("*").alias("lone"))
-    classes = units.groupBy("cid").agg(F.first("n").alias("n"), F.min(place(units)).alias("pos"))
+    found = units.groupBy("cid").agg(F.first("n").alias("n"), F.min(places.of()).alias("pos"), F.count("*").alias("c"))
     n = F.col("n")
     need = F.floor((3 * n + 3) / 4)
     prefix = n - need + 1 + F.floor(n * slack / 20)
     least = 1 + F.floor(need * slack / 20)
-    return materialize(classes.join(lone, "cid", "left").where(prefix - F.coalesce("lone", F.lit(0)) >= least).select("cid", "n", "pos", *id_and_line(F.col("pos"), units.schema["id"].dataType)), "survivors")
+    found = found.join(lone, "cid", "left").withColumn("open", prefix - F.coalesce("lone", F.lit(0)) >= least)
+    return materialize(found.where("open OR c > 1").select("cid", "n", "pos", "c", "open", *places.back(F.col("pos"))), "classes")
 
 
 def full_sets(docs: DataFrame, left: DataFrame, lines: bool, words_least: int = 0, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes (cid, n, pos, tokens array<long>) of the classes left, from the text where each
-    stands first (twice if rows repeat an id). Their list is broadcast only if it has at most
-    ``broadcast_rows`` rows."""
+    stands first (twice if rows repeat an id); of a text only the lines asked for are read.
+    Their list is broadcast only if it has at most ``broadcast_rows`` rows of three numbers."""
     want = left.groupBy("id").agg(F.collect_list(F.struct("cid", "line", "pos")).alias("want"))
     if left.count() <= broadcast_rows:
         want = F.broadcast(want)
@@ -237,21 +277,22 @@ def full_sets(docs: DataFrame, left: DataFrame, lines: bool, words_least: int =
         for batch in batches:
             wanted = batch.column(0)
             for a, z, data, edges in text_slices(batch, "_text"):
-                doc, line, n, h = shingle_sets(data, edges, lines, words_least)
-                cid = class_ids(n, h)
                 asked = wanted.slice(a, z - a)
-                sizes = np.diff(asked.offsets.to_numpy())
                 flat = asked.flatten()
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                # a class is taken where it is asked for: at its document and line
-                here = mix(mix(cid.view(U) + doc.astype(U)) + line.astype(U))
-                there = mix(mix(flat.field(0).to_numpy().view(U) + owner.astype(U)) + flat.field(1).to_numpy().astype(U))
-                order = np.argsort(there)
-                at = np.minimum(np.searchsorted(there[order], here), max(len(there) - 1, 0))
-                ok = there[order][at] == here if len(there) else np.zeros(len(here), bool)
+                owner = np.repeat(np.arange(z - a), np.diff(asked.offsets.to_numpy()))
+                begin, end = edges[owner], edges[owner + 1]
+                if lines:
+                    breaks = np.flatnonzero(data == 10)
+                    at = np.searchsorted(breaks, begin) + flat.field(1).to_numpy()
+                    bounds = np.concatenate([[-1], breaks, [len(data)]])
+                    begin, end = np.maximum(begin, bounds[np.minimum(at, len(breaks))] + 1), np.minimum(end, bounds[np.minimum(at, len(breaks)) + 1])
+                size = np.maximum(end - begin, 0)
+                part = data[np.repeat(begin, size) + _ragged(size)]
+                unit, _, n, h = shingle_sets(part, np.concatenate([[0], np.cumsum(size)]), False, words_least)
+                cid = class_ids(n, h)
+                ok = cid == flat.field(0).to_numpy()[unit]  # rows that repeat an id may have other texts
                 starts = np.concatenate([[0], np.cumsum(n[ok])]).astype(np.int32)
-                pos = flat.field(2).take(pa.array(order[at[ok]]))
-                yield pa.RecordBatch.from_arrays([pa.array(cid[ok]), pa.array(n[ok].astype(np.int32)), pos, pa.ListArray.from_arrays(pa.array(starts), pa.array(h[np.repeat(ok, n)].view(np.int64)))], ["cid", "n", "pos", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(cid[ok]), pa.array(n[ok].astype(np.int32)), flat.field(2).take(pa.array(unit[ok])), pa.ListArray.from_arrays(pa.array(starts), pa.array(h[np.repeat(ok, n)].view(np.int64)))], ["cid", "n", "pos", "tokens"])
 
     kind = left.schema["pos"].dataType.simpleString()
     return materialize(rows.mapInArrow(run, f"cid long, n int, pos {kind}, tokens array<long>"), "sets", "none")
