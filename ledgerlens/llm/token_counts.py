@@ -45,7 +45,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     The content is normalised only as far as counts allow: a null text is the empty
     text; everything else is kept as it is, since case and white space change counts.
     Key: SHA-256 of the UTF-8 text, and the digest of the tokenizer's version. Repeated
-    rows and ids give a row each; other columns are ignored; an empty table gives none.
+    rows and ids give a row each, null ids stay null; very long texts are counted whole; other
+    columns are ignored; an empty table gives none.
 
     Rows meet their counts by a join on the digest, whose large groups Spark can split.
     Texts are shuffled once, after each task has merged the copies it has.
@@ -62,7 +63,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
         misses = misses.join(known, "_digest", "left_anti")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = worker_state(("counts", tokenizer_path), lambda: _counter(tokenizer_path))
+        count = worker_state(("counts", version), lambda: _counter(tokenizer_path))
         for b in batches:
             texts = b["_text"].tolist()
             yield pd.DataFrame({"text_digest": b["_digest"], "tokenizer_digest": version, "n_tokens": [n for s in by_bytes(texts, 1 << 20) for n in count(texts[s])]})
