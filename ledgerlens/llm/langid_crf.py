@@ -287,9 +287,10 @@ class Labeller:
 
 def fit(docs: DataFrame, train_rows: int = 2000) -> WordCrf:
     """Learns from at most ``train_rows`` rows with a language whose crc32(doc_id) mod 3 is
-    not 1: those of the smallest hashes of doc_id, so the sample is the same at every run."""
+    not 1: those of the smallest hashes of doc_id, so the sample is the same at every run. Texts
+    beyond ``bounded_sample``'s length and sum take no part in learning."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    rows = bounded_sample(rows.select("doc_id", "text", "lang"), "doc_id", train_rows)
+    rows = bounded_sample(rows.select("doc_id", "text", "lang"), "doc_id", train_rows, "text")
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -298,8 +299,10 @@ def identify(docs: DataFrame, crf: WordCrf, keep: tuple[str, ...] = ("doc_id",))
 
     score is the mean marginal of the predicted language over all words of the text, so
     code-switched texts score lower. Null, empty and letterless texts are ``und`` with score
-    0, and so is every text if nothing was learned. Repeated rows give a row each; other
-    columns are ignored.
+    0, and so is every text if nothing was learned; of languages with equal shares the first by
+    name is taken. Null ids stay null; repeated rows and ids give a row each; very long texts
+    are labelled whole, in blocks of words; other columns are ignored, whatever their names; an
+    empty table gives no rows.
     """
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"

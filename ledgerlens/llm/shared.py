@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import numpy as np
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
@@ -62,17 +62,30 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> list[Row]:
+def bounded_sample(df: DataFrame, key: str, rows: int, text: str | None = None, longest: int = 1 << 18, chars: int = 1 << 26) -> list[Row]:
     """At most ``rows`` rows of df, those of the least hashes of key, the same at every run.
 
-    The rows are counted first, so that only about as many as are kept come to the driver.
+    The rows are counted first, so that tasks sort only about as many as are kept; where few
+    keys repeat often the share that is looked at grows until there are enough. Of rows with a
+    column ``text`` only those of at most ``longest`` characters count, and as many of them as
+    ``chars`` characters hold, so the driver gets a bounded number of rows and bytes.
     """
+    if text:
+        df = df.where(F.length(text) <= longest)
+    h, rest = F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("_h"), F.xxhash64(*df.columns)
     n = df.count()
-    if n > rows:
-        share = int((rows + 3 * rows**0.5) / n * (1 << 30))
-        df = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share)
-    found = df.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(1 << 30))).collect()
-    return sorted(found, key=lambda r: tuple(str(x).rjust(24) for x in (r["_h"], r[key])))[:rows]
+    share = 1 << 30 if n <= rows else int((rows + 3 * rows**0.5) / n * (1 << 30))
+    while True:
+        first = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share).withColumns({"_h": h, "_r": rest}).orderBy("_h", "_r").limit(rows)
+        if text:
+            upto = Window.orderBy("_h", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            first = first.withColumn("_sum", F.sum(F.length(text)).over(upto)).where(F.col("_sum") <= chars)
+        found = first.collect()
+        full = text and found and max(r["_sum"] for r in found) + longest > chars
+        if len(found) >= min(rows, n) or full or share >= 1 << 30:
+            break
+        share = min(1 << 30, 4 * share + 1)
+    return sorted(found, key=lambda r: tuple(str(x).rjust(24) for x in (r["_h"], r[key])))
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

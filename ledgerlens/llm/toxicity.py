@@ -130,6 +130,9 @@ def train(texts: list[str], toxic: list[int], keep: int = 3000, penalty: float =
 
     r, c, v = matrix(texts)
     pairs = [x for t in texts for x in swapped(t)]
+    # the terms alone as well, so that a feature which only some terms of a row have is penalised
+    # where no labelled sentence names a group
+    pairs += [(a, b) for row in IDENTITY_TERMS for a, b in zip(row, row[1:] + row[:1], strict=True)]
     pr, pc, pv = matrix([a for a, _ in pairs])
     qr, qc, qv = matrix([b for _, b in pairs])
     pr, pc, pv = np.concatenate([pr, qr]), np.concatenate([pc, qc]), np.concatenate([pv, -qv])
@@ -169,22 +172,26 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 4000) -> ToxicityModel:
     """Learns from at most ``train_rows`` labelled rows whose crc32(doc_id) mod 5 is not 0:
-    those of the smallest hashes of doc_id."""
+    those of the smallest hashes of doc_id. Texts beyond ``bounded_sample``'s length and sum
+    take no part in learning."""
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     chosen = bounded_sample(marks, "doc_id", train_rows)
     spark = docs.sparkSession
     found = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], marks.schema)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(found), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (str(r["doc_id"]).rjust(24), r["text"]))[:train_rows]
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(found), "doc_id")
+    rows = bounded_sample(rows, "doc_id", train_rows, "text")  # ids may repeat
+    rows = sorted(rows, key=lambda r: (str(r["doc_id"]).rjust(24), r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds score and predicted to the columns ``keep`` of every row.
 
-    Null and empty texts get the score of a text without words. Repeated rows give a row
-    each; other columns are ignored; an empty table gives no rows.
+    Null and empty texts get the score of a text without words. Null ids stay null; repeated
+    rows and ids give a row each; equal texts have equal scores; very long texts are scored
+    whole, their words one by one; other columns are ignored, whatever their names; an empty
+    table gives no rows.
     """
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
