@@ -56,8 +56,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of fewer words is one shingle, so it goes if an earlier one has the same words. Blank lines
     stay. A null text stays null and has no lines; an
     empty one has one. Ids must be distinct for a text's lines to be told apart: of rows that
-    repeat an id, lines of the same number share their fate. Other columns are kept, but for
-    any that are named as the two new ones.
+    repeat an id, or have none, lines of the same number share their fate. Very long texts and
+    lines are read whole, hashed by blocks. Other columns are kept, but for any that are named
+    as the two new ones; an empty table gives no rows.
     """
     key, drop = (f"_{name}_{uuid.uuid4().hex}" for name in ("id", "drop"))  # no column of docs
     gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(key), F.col("drop").alias(drop))

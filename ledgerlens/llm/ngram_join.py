@@ -114,8 +114,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and the smallest id that is reachable by links of similarity 0.75 or more.
 
     Null and wordless texts have empty sets and link with nothing; with fewer than 5 words a
-    text is one shingle; equal texts, and rows that repeat an id, link; other columns are
-    ignored; an empty table gives no rows.
+    text is one shingle; equal texts, and rows that repeat an id, link; null ids are ids like
+    others that equal nothing, so a group of such rows alone has a null component; very long
+    texts are read whole, hashed by blocks; other columns are ignored, whatever their names; an
+    empty table gives no rows.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
     units = sj.scan(source, False, SLACK, id_col="id", text_col="_text")

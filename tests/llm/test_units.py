@@ -135,7 +135,21 @@ def test_counterfactual_penalty_draws_identity_terms_together():
 def test_page_blocks():
     page = html_extract.Page("<body><nav><a href='/x'>m</a></nav><div class='post 12'><p>A &amp; b<p>c <b>d</b><br>e<script>var t='</p>'</script></div><p>x &lt")
     assert [t for _, t in page.blocks] == ["m", "A & b", "c d e", "x <"]
-    assert html_extract.prior("html/body/div.ad") < 1 < html_extract.prior("html/body/article/p")
+    # a head ends at the first tag that cannot stand in it, and html and body may be left out
+    assert [t for _, t in html_extract.Page("<html><head><title>t</title><body><p>hello world</p></body></html>").blocks] == ["hello world"]
+    assert [t for _, t in html_extract.Page("<title>t</title><p>one<p>two").blocks] == ["one", "two"]
+    assert html_extract.main_text("<nav>a</nav><form><p>long enough text</p><p>x</p></form>", {"nav"}, {"form"}) == "long enough text\nx"
+
+
+def test_word_hashes_by_blocks(monkeypatch):
+    text = b"a bb " + b"x" * 300 + b" ccc" * 50 + b" Y" * 9
+    data = np.frombuffer(text, np.uint8)
+    begin = np.array([i for i in range(len(text)) if text[i] != 32 and (i == 0 or text[i - 1] == 32)])
+    end = np.array([i + 1 for i in range(len(text)) if text[i] != 32 and (i + 1 == len(text) or text[i + 1] == 32)])
+    whole = setjoin.word_hashes(data, begin, end)
+    monkeypatch.setattr(setjoin, "_BLOCK", 64)
+    monkeypatch.setattr(setjoin, "_powers", [])
+    assert (setjoin.word_hashes(data, begin, end) == whole).all() and len(set(whole.tolist())) == 5
 
 
 def test_graph_search_recall():

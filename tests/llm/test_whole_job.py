@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from ledgerlens.llm import embedding_dedup, html_extract, line_dedup  # noqa: E402
+from ledgerlens.llm import embedding_dedup, html_extract, line_dedup, shared  # noqa: E402
 from ledgerlens.plans import pairs, routing  # noqa: E402
 
 
@@ -88,6 +88,45 @@ def test_html_names_do_not_override_text_share_and_entropy(spark):
     assert got == {i: f"Title {i}\ntext {i} and more of it, long enough to be the most of this page" for i in range(40)}
 
 
+def test_html_style_tree_decides_without_names(spark):
+    """Neutral names: what repeats goes, and so does what is little beside the main branch; copies
+    of a page don't make its text repeat."""
+    rng = np.random.default_rng(2)
+    some = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 900, n))
+    page = "<html><head><title>t</title><body><div class=qa><span><a href='/h'>Home</a> <a href='/n'>News</a></span></div><div class=qb>Buy {a} now</div><div class=qc><h1>Title {i}</h1><p>{b}<p>more {c}</div><div class=qd>Impressum</div></body></html>"
+    rows, want = [], {}
+    for i in range(40):
+        a, b, c = some(1), some(60), some(30)
+        rows.append((i, f"http://n.example/{i}", page.format(i=i, a=a, b=b, c=c)))
+        want[i] = f"Title {i}\n{b}\nmore {c}"
+    rows += [(100 + k, f"http://n.example/copy{k}", rows[3][2]) for k in range(60)]
+    want |= {100 + k: want[3] for k in range(60)}
+    out = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == want
+
+
+def test_bounded_sample_with_few_or_hot_keys(spark):
+    few = spark.range(20000).selectExpr("id % 10 AS doc_id", "cast(id AS string) AS text")
+    assert len(shared.bounded_sample(few, "doc_id", 2000, "text")) == 2000
+    hot = spark.range(20000).selectExpr("if(id < 19000, 7, id) AS doc_id", "'x' AS text")
+    got = shared.bounded_sample(hot, "doc_id", 500, "text")
+    assert len(got) == 500 and got == shared.bounded_sample(hot, "doc_id", 500, "text")
+    long = spark.createDataFrame([(k, "y" * 1000) for k in range(100)], "doc_id long, text string")
+    assert len(shared.bounded_sample(long, "doc_id", 50, "text", chars=10_000)) == 10
+    assert shared.bounded_sample(long, "doc_id", 50, "text", longest=999) == [] == shared.bounded_sample(long.limit(0), "doc_id", 5, "text")
+
+
+def test_pipeline_line_stage_drops_near_copies_by_lines(spark):
+    import corpus_pipeline as p
+
+    lines = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(20)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[:18] + ["only here and nowhere else"])), (3, "\n".join(["fresh words of a third one"] * 40)), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 3: ("fresh words of a third one", 26), 4: (None, None), 5: ("", 0)}
+    assert p.drop_repeated_lines(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_keeps_code_switched_documents(spark, sf_dir):
     import corpus_pipeline as p
 
