@@ -14,6 +14,7 @@ from ledgerlens.llm import langid_crf, line_dedup, ngram_join, packing, toxicity
 from ledgerlens.llm.shared import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_LOST, LEAST_KEPT = 250, 0.25  # characters of about fifty words; what a similarity of 0.75 leaves
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +33,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that match an earlier line, and documents of which no word is left;
-    documents that lose nothing stay as they are (op7). n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs.select(COLUMNS))
+    """Takes out lines that match an earlier line (op7), and documents of which no word is left
+    or that are near copies by lines: they lose at least LEAST_LOST characters and keep less than
+    LEAST_KEPT of their distinct lines' characters, so what they have of their own is too little
+    to be told from what others have. A document's own repeated lines don't count for that.
+    Documents that lose nothing stay as they are; null texts stay; n_chars follows the text."""
+    lines = F.split("text", "\n", -1)
+    own = docs.select(COLUMNS).withColumn("_own", F.length(F.array_join(F.array_distinct(lines), "")))
+    out = line_dedup.dedup_lines(own)
     touched = F.col("n_removed") > 0
-    out = out.where(~touched | F.col("text").rlike(r"\S"))
+    left = F.length(F.translate("text", "\n", ""))
+    copied = (F.col("_own") - left >= LEAST_LOST) & (left < LEAST_KEPT * F.col("_own"))
+    out = out.where(~touched | (F.col("text").rlike(r"\S") & ~copied))
     return out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
