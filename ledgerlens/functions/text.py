@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -43,6 +43,11 @@ def stem(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "(?:ing|ed|es|(?<!s)s)$", "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
 def slug(c: Column) -> Column:
     """F13"""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -99,20 +104,35 @@ def identifiers(c: Column) -> Column:
 
 def symbols(c: Column, most: int = 128) -> Column:
     """F16: the first identifiers of three letters or more, compared without case."""
-    found = F.regexp_extract_all(c, F.lit(r"\b([A-Za-z_]\w{2,})\b"), F.lit(1))
-    keep = F.filter(found, lambda x, i: F.array_position(F.transform(found, F.lower), F.lower(x)) == i + 1)
-    return F.slice(keep, 1, most)
+    return F.slice(unique_ci(F.regexp_extract_all(c, F.lit(r"\b([A-Za-z_]\w{2,})\b"), F.lit(1))), 1, most)
+
+
+def unique_ci(items: Column) -> Column:
+    """D-5: each string once, compared without case, in order and in its first spelling. Sorted
+    by spelling and put back in order, so a long list costs little more than its length."""
+    ranked = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = F.element_at(F.transform(F.array(ranked), lambda r: F.filter(r, lambda e, j: (j == 0) | (F.get(r, j - 1)["k"] != e["k"]))), 1)
+    return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
+
+
+# Words that say nothing about a source.
+STOP_WORDS = "the a an of to in on for with from by at as is are was were be been being and or but if then than that this it its not no how why what where who which do does did will would could should can may".split()
 
 
 def components_of(c: Column) -> Column:
-    """the parts of snake and camel case names in lower case."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+)"), F.lit(1)), F.lower)
+    """words and the parts of snake and camel case names in lower case, each once, without
+    stop words and single letters."""
+    parts = F.regexp_extract_all(c, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+)"), F.lit(1))
+    both = F.transform(F.concat(F.regexp_extract_all(c, F.lit(r"(\w+)"), F.lit(1)), parts), F.lower)
+    return F.filter(F.array_distinct(both), lambda x: (F.length(x) > 1) & ~x.isin(*STOP_WORDS))
 
 
 def wiki_links(c: Column) -> Column:
-    """the targets of [[target]] and [[type::target]] as (type, target)."""
+    """the targets of [[target]], [[type:target]] and either with |label, as (type, target)."""
     raw = F.regexp_extract_all(c, F.lit(r"\[\[([^\]\[]+)\]\]"), F.lit(1))
-    return F.transform(raw, lambda x: F.struct(F.when(F.contains(x, F.lit("::")), F.trim(F.substring_index(x, "::", 1))).otherwise(F.lit("relates_to")).alias("type"), F.trim(F.substring_index(x, "::", -1)).alias("target")))
+    named = F.transform(raw, lambda x: F.trim(F.substring_index(x, "|", 1)))
+    typed = lambda x: F.contains(x, F.lit(":"))
+    return F.transform(named, lambda x: F.struct(F.when(typed(x), F.trim(F.substring_index(x, ":", 1))).otherwise(F.lit("relates_to")).alias("type"), F.when(typed(x), F.trim(F.regexp_replace(x, "^[^:]*:", ""))).otherwise(x).alias("target")))
 
 
 def front_matter(c: Column) -> Column:
@@ -124,9 +144,46 @@ def front_matter(c: Column) -> Column:
 
 def section(c: Column, title: str) -> Column:
     """The text under a markdown heading of level two."""
-    return F.trim(F.regexp_extract(c, rf"(?si)(?:\A|\n)##\s+{re.escape(title)}\s*\n(.*?)(?=\n##\s|\z)", 1))
+    return strip(F.regexp_extract(c, rf"(?si)(?:\A|\n)##\s+{re.escape(title)}\s*\n(.*?)(?=\n##\s|\z)", 1))
 
 
 def parse_time(c: Column) -> Column:
     """epoch seconds or ISO 8601, null for anything else; without a zone it is UTC."""
     return F.coalesce(F.timestamp_seconds(c.try_cast("double")), F.try_to_timestamp(c))
+
+
+def phrase_normalized(c: Column) -> Column:
+    """lower case, plain quotes, : and ; as commas, no other punctuation, no stop words."""
+    plain = F.regexp_replace(F.translate(F.lower(c), "\u2018\u2019\u201c\u201d:;", "''\"\",,"), r"[^\p{L}\p{N}_\s,'-]", " ")
+    words = F.filter(F.split(F.trim(plain), r"[\s,]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    return F.array_join(words, " ")
+
+
+def title_of(slugged: Column) -> Column:
+    """a title from a slug."""
+    return F.initcap(F.regexp_replace(slugged, "[-_]+", " "))
+
+
+def canonical_json(m: Column) -> Column:
+    """F36, D-2: a map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+
+
+def is_text(content: Column) -> Column:
+    """whether bytes look like text: no NUL and valid UTF-8 in the first 4 KiB."""
+    head = F.substring(content, 1, 4096)
+    return F.is_valid_utf8(head.cast("string")) & ~F.contains(F.hex(head), F.lit("\x00")) & (F.instr(head.cast("string"), "\x00") == 0)
+
+
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are worked out once for each row: unlike those of a projection they
+    are not written again into every expression and filter above, which would make plans of
+    many rules grow without bound."""
+    one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+    rows = df.select(*[c for c in df.columns if c not in columns], one.alias("_settled"))
+    return rows.select(*[c for c in df.columns if c not in columns], *[F.col(f"_settled.{k}").alias(k) for k in columns])
+
+
+def as_list(c: Column) -> Column:
+    """a list from text that commas split; null and empty give an empty one."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")

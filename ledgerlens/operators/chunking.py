@@ -27,9 +27,12 @@ def line_windows(docs: DataFrame, id_col: str, text: Column, size: int = 120, ov
 
 def header_chunks(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """A chunk for each heading of level 1 to 4 with what follows it; text before the
-    first heading is a chunk titled Introduction. Splitting keeps the heading lines, so a
-    chunk is a piece of its document's own row."""
-    pieces = F.split(text, r"\n(?=#{1,4}\s)", -1)
-    rows = docs.select(F.col(id_col), F.posexplode(pieces).alias("chunk_idx", "document")).where(F.trim("document") != "")
+    first heading is a chunk titled Introduction. Front matter and headings that nothing
+    follows are left out; a text of which nothing is left then is one chunk titled Full
+    Document. Splitting keeps the heading lines, so a chunk is a piece of its document's row."""
+    body = F.regexp_replace(text, r"(?s)\A---\s*\n.*?\n(?:---|\.\.\.)\s*(?:\n|\z)", "")
+    pieces = F.filter(F.split(body, r"\n(?=#{1,4}\s)", -1), lambda p: F.trim(F.regexp_replace(p, r"\A\s*#{1,4}\s[^\n]*", "")) != "")
+    whole = F.when(F.trim(text) != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.col(id_col), (F.size(pieces) == 0).alias("_whole"), F.posexplode(F.when(F.size(pieces) > 0, pieces).otherwise(whole)).alias("chunk_idx", "document"))
     title = F.regexp_extract("document", r"^#{1,4}\s+([^\n]*)", 1)
-    return rows.select(id_col, "chunk_idx", F.when(title == "", "Introduction").otherwise(F.trim(title)).alias("title"), "document", F.length("document").cast("long").alias("n_chars"))
+    return rows.select(id_col, "chunk_idx", F.when(F.col("_whole"), "Full Document").when(title == "", "Introduction").otherwise(F.trim(title)).alias("title"), "document", F.length("document").cast("long").alias("n_chars"))

@@ -7,13 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_phrase, lexical_overlap, normalize, strip_fences, unique_tokens
+from ..functions.text import contains_phrase, lexical_overlap, normalize, unique_tokens
+from .memory import memory_type  # noqa: F401
 
 # Weights of the scorers.
 TRIGGER, TITLE, SKILL_TAG, CONCEPT_TAG, ALIAS, OVERLAP, MEMORY, PENALTY = 6.0, 5.0, 4.0, 3.0, 3.0, 2.0, 2.0, 4.0
 MEMORY_TYPES = {"decision": 3.0, "failure": 2.5, "outcome": 2.0}
 BAD_SKILL, BAD_CONCEPT = ["rejected", "deprecated", "superseded", "stale"], ["deprecated", "stale", "missing_file"]
-REQUIRED, SUGGEST = 8.0, 4.0
 STATUS_FACTOR = {"canonical": 1.3, "validated": 1.1, "emerging": 0.9, "candidate": 0.7, "needs_review": 0.5}
 
 
@@ -53,25 +53,6 @@ def memory_score(task: Column, text: Column, kind: Column) -> Column:
     return F.when(_overlaps(task, text, 0.15), MEMORY * factor).otherwise(0.0)
 
 
-def _named(word: str) -> str:
-    return rf"(?i)(?:^|\n)\s*#{{1,6}}\s*{word}\b|(?:^|\n)\s*(?:[-*]\s*)?(?:\*\*|__)?{word}(?:\*\*|__)?\s*:"
-
-
-def memory_type(document: Column) -> Column:
-    """headings, bold and plain labels first, then the shape of the text."""
-    t = strip_fences(document)
-    return (
-        F.when(t.rlike(_named("failure")) | t.rlike(r"(?i)\bdo-not-repeat\b|\bbreaking\b"), "failure")
-        .when(t.rlike(_named("decision")), "decision")
-        .when(t.rlike(_named("outcome")), "outcome")
-        .when(t.rlike(r"(?i)\bworkaround\b"), "workaround")
-        .when(t.rlike(r"(?i)\b(prefer|like|always|never|don't|hate|style|convention)\b"), "preference")
-        .when(t.rlike(r"(?i)\b(last time|previously|tried|attempted|before)\b"), "episodic")
-        .when(t.rlike(r"(?i)^\s*\$ |exit code"), "command_log")
-        .otherwise("observation")
-    )
-
-
 def rerank(base: Column, document: Column, kind: Column, targets: dict, status: Column, confidence: Column, evidence: Column) -> tuple[Column, Column]:
     """(boosts map, final score). ``targets`` holds what the query names, worked out once
     on the driver: paths, files, identifiers, phrases, words. Boosts by type count only above
@@ -154,43 +135,6 @@ def match_directives(df: DataFrame) -> DataFrame:
     return out.where("_s AND score > 0").select("task", "id", "score", "class", force.alias("can_force"))
 
 
-def decide(best: Column, best_is_memory: Column, best_type: Column, strong: Column, medium: Column, all_weak: Column, forced: Column, semantic4: Column, n_memory: Column, top5: Column, work: Column) -> Column:
-    """The first rule that fires; scalars of one task."""
-    return (
-        F.when(strong, "required")
-        .when((best >= REQUIRED) & (~best_is_memory | best_type.isin("decision", "failure", "outcome")), "required")
-        .when(forced, "required")
-        .when((best >= SUGGEST) & (~best_is_memory | ~all_weak), "suggest")
-        .when(medium & ~all_weak, "suggest")
-        .when(semantic4, "suggest")
-        .when(work >= 2, "suggest")
-        .when((n_memory >= 3) & ~all_weak & (top5 >= 8), "suggest")
-        .otherwise("noop")
-    )
-
-
-def source_type(path: Column) -> Column:
-    """What a path is, by its names; the first rule decides."""
-    p = F.lower(path)
-    name = F.element_at(F.split(p, "/"), -1)
-    return (
-        F.when(p.rlike(r"(^|/)(tests?|__tests__)/") | name.rlike(r"^test_|_test\.|\.spec\."), "test")
-        .when(name.rlike(r"^readme"), "readme")
-        .when(name.rlike(r"^(agents|claude|gemini)\.md$"), "agent_instruction")
-        .when(p.rlike(r"(^|/)docs?/") | name.rlike(r"\.(md|rst|txt)$"), "docs")
-        .when(name.rlike(r"\.(ya?ml|toml|ini|json|cfg)$"), "config")
-        .when(p.rlike(r"(^|/)(dist|build|generated)/"), "generated")
-        .when(name.rlike(r"adapter"), "adapter")
-        .when(name.rlike(r"service"), "service")
-        .when(name.rlike(r"client"), "client")
-        .otherwise("implementation")
-    )
-
-
-# Order of source types at equal scores.
-TYPE_PRIORITY = {"adapter": 10, "service": 10, "client": 10, "implementation": 9, "test": 8, "config": 7, "docs": 6, "readme": 5, "agent_instruction": 4, "generated": 2}
-
-
 def exclusion(path: Column, size: Column, binary: Column, ignored: list[str], most_bytes: int) -> Column:
     """Why a file is left out, by an ordered cascade; null for files that stay."""
     p = F.lower(path)

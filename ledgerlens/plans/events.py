@@ -114,13 +114,15 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {EVENTS_SQL}, q AS (SELECT event_id, seq, length(evidence) + 480 AS b FROM ev), c AS (SELECT *, row_number() OVER (ORDER BY seq DESC) AS n, sum(b) OVER (ORDER BY seq DESC) AS s FROM q),
-k AS (SELECT event_id, max(CASE WHEN n > 20 OR s > 9000 THEN 1 ELSE 0 END) OVER (ORDER BY seq DESC) = 0 AS kept, n FROM c) SELECT event_id, kept FROM k WHERE n <= 40"""
+k AS (SELECT event_id, max(CASE WHEN n > 20 OR s > 9000 THEN 1 ELSE 0 END) OVER (ORDER BY seq DESC) = 0 AS kept, n FROM c) SELECT event_id, kept FROM k"""
 )
 def queue_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 40 events of a queue, under caps of 20 rows and 9,000 bytes. The
-    newest rows come by top-k, so the window runs over 40 rows."""
-    newest = event_ledger(spark, sf_dir).select("event_id", "seq", (F.length("evidence") + 480).alias("b")).orderBy(F.desc("seq")).limit(40)
-    return E.keep_within_caps(newest, F.col("b"), 20, 9000, F.desc("seq")).select("event_id", "kept")
+    """Which events of a queue stay under caps of 20 rows and 9,000 bytes. No row
+    beyond the newest 20 can, so the window runs over those, which come by top-k."""
+    queue = event_ledger(spark, sf_dir).select("event_id", "seq", (F.length("evidence") + 480).alias("b"))
+    newest = queue.orderBy(F.desc("seq")).limit(20)
+    kept = E.keep_within_caps(newest, F.col("b"), 20, 9000, F.desc("seq")).select("event_id", "kept")
+    return queue.join(F.broadcast(kept), "event_id", "left").select("event_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 @query(

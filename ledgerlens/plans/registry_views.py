@@ -40,10 +40,10 @@ def embedding_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(e, "doc_id", "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, count(*) AS n_chunks, CAST(sum(least(length(text), 1000)) AS BIGINT) AS chars FROM documents WHERE source IS NOT NULL AND source <> '' GROUP BY source")
+@query("SELECT source, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE source IS NOT NULL AND source <> '' GROUP BY source")
 def chunk_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, S27"""
-    return table(spark, sf_dir, "documents").where("source IS NOT NULL AND source != ''").groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.least(F.length("text"), F.lit(1000))).cast("long").alias("chars"))
+    return table(spark, sf_dir, "documents").where("source IS NOT NULL AND source != ''").groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
 @query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, array_to_string(list_slice(l, 2, 4), chr(10)) AS body, CAST(greatest(least(len(l), 4) - 1, 0) AS INTEGER) AS n_lines, len(l) > 4 AS truncated FROM l")

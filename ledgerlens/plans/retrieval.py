@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, ranking
+from ..sources.store import index_of
 from ..sources.tables import table
 from .registry import query
 
@@ -51,10 +52,12 @@ SELECT chunk_id, round(0.75 * s / (SELECT max(s) FROM raw) + 0.15 + 0.05, 6) AS
 """
 )
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of four lines, BM25 over all of them, recency 1, medium importance, top 5."""
-    scored = ranking.sparse_scores(document_chunks(spark, sf_dir).select("chunk_id", "document"), first_words(spark, sf_dir))
+    """Chunks of four lines, BM25 over all of them, recency 1, medium importance, top 5. The first
+    search of a table writes its index; searches read the buckets of their words."""
+    index = index_of(spark, "chunks-4-1", f"{sf_dir}/documents.parquet", lambda: document_chunks(spark, sf_dir))
+    scored = index.sparse_scores(first_words(spark, sf_dir))
     score = ranking.blend(None, F.col("sparse"), F.lit(1.0), ranking.importance(F.lit("medium")))
-    return ranking.top_k(scored.where("sparse > 0").select("chunk_id", F.round(score, 6).alias("score")), 5, F.desc("score"), F.asc("chunk_id"))
+    return ranking.top_k(scored.select("chunk_id", F.round(score, 6).alias("score")), 5, F.desc("score"), F.asc("chunk_id"))
 
 
 STAT_TERMS = ["the", "and", "of", "die", "der", "que", "de", "zzzz"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import routing as R
+from ..operators import source_search as S
 from ..operators.ranking import top_k
 from ..sources.tables import EVENTS_SQL, event_ledger, table
 from .registry import query
@@ -37,72 +38,96 @@ def skill_concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || substr(text, 1, 400) AS d, length(CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || text) AS n FROM documents),
+    rf"""WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || text AS d, length(CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || text) AS n FROM documents),
 k AS (SELECT doc_id, d, CASE doc_id % 5 WHEN 0 THEN 'decision' WHEN 1 THEN 'failure' WHEN 2 THEN 'outcome' WHEN 3 THEN 'workaround' ELSE CASE WHEN regexp_matches(d, '(?i)\b(prefer|like|always|never|don''t|hate|style|convention)\b') THEN 'preference' WHEN regexp_matches(d, '(?i)\b(last time|previously|tried|attempted|before)\b') THEN 'episodic' ELSE 'observation' END END AS type FROM m)
 SELECT type, count(*) AS n FROM k GROUP BY type"""
 )
 def memory_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F26 over the heads of documents with labels set before them."""
+    """F26 over documents with labels set before them."""
     d = _labelled(spark, sf_dir)
     return d.groupBy(R.memory_type(F.col("d")).alias("type")).agg(F.count("*").alias("n"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
-    """Documents with labels set before them: their heads, as the SQL twins have them, or ``text``."""
-    text = F.substring("text", 1, 400) if text is None else text
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with labels set before them."""
     k = F.col("doc_id") % 5
     lead = F.when(k == 0, "Decision: ").when(k == 1, "## Failure\n").when(k == 2, "**Outcome**: ").when(k == 3, "workaround for ").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, text).alias("d"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("d"))
 
 
 @query(
-    r"""WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || substr(text, 1, 400) AS d, CASE doc_id % 4 WHEN 0 THEN 'canonical' WHEN 1 THEN 'validated' WHEN 2 THEN 'emerging' ELSE 'candidate' END AS st, doc_id % 5 + 1 AS c, doc_id % 300 AS e FROM documents),
+    r"""WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || text AS d, CASE doc_id % 4 WHEN 0 THEN 'canonical' WHEN 1 THEN 'validated' WHEN 2 THEN 'emerging' ELSE 'candidate' END AS st, doc_id % 5 + 1 AS c, doc_id % 300 AS e FROM documents),
 k AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN 4.0 WHEN 1 THEN 5.0 WHEN 2 THEN 3.0 WHEN 3 THEN 5.0 ELSE 0.0 END AS typed, CASE WHEN contains(lower(d), 'that the') THEN 8.0 ELSE 0 END AS ph, CASE WHEN contains(lower(d), 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(lower(d), 'ing') THEN 1 ELSE 0 END + CASE WHEN contains(lower(d), 'ich') THEN 1 ELSE 0 END AS w FROM m),
-f AS (SELECT doc_id, round((0.2 + ph + least(2.0, 0.5 * w) + CASE WHEN ph > 0 OR w >= 2 THEN typed ELSE 0 END) * CASE WHEN e > 100 THEN greatest(0.3, 1 - (e - 100) / 500.0) ELSE 1.0 END * CASE st WHEN 'canonical' THEN 1.3 WHEN 'validated' THEN 1.1 WHEN 'emerging' THEN 0.9 ELSE 0.7 END * (0.5 + c / 10.0), 6) AS final_score FROM k)
+f AS (SELECT doc_id, round((0.2 + ph + least(2.0, 0.5 * w) + CASE WHEN length(d) > 1500 AND ph = 0 THEN -3.0 ELSE 0 END + CASE WHEN ph > 0 OR w >= 2 THEN typed ELSE 0 END) * CASE WHEN e > 100 THEN greatest(0.3, 1 - (e - 100) / 500.0) ELSE 1.0 END * CASE st WHEN 'canonical' THEN 1.3 WHEN 'validated' THEN 1.1 WHEN 'emerging' THEN 0.9 ELSE 0.7 END * (0.5 + c / 10.0), 6) AS final_score FROM k)
 SELECT doc_id, final_score FROM f WHERE final_score > 0 ORDER BY final_score DESC, doc_id LIMIT 20"""
 )
 def memory_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled heads of documents for a query that names a phrase and three words."""
+    """Labelled documents for a query that names a phrase and three words."""
     k = F.col("doc_id")
     status = F.element_at(F.array(*map(F.lit, ["canonical", "validated", "emerging", "candidate"])), (k % 4 + 1).cast("int"))
-    kind = R.memory_type(F.col("d"))
-    kind = F.when(kind.isin("preference", "episodic"), "observation").otherwise(kind)
-    _, final = R.rerank(F.lit(0.2), F.col("d"), kind, {"phrases": ["that the"], "words": ["tion", "ing", "ich"]}, status, k % 5 + 1, k % 300)
-    rows = _labelled(spark, sf_dir).select("doc_id", F.round(final, 6).alias("final_score")).where("final_score > 0")
+    docs = _labelled(spark, sf_dir).withColumn("kind", R.memory_type(F.col("d")))  # its own projection: it is used several times
+    _, final = R.rerank(F.lit(0.2), F.col("d"), F.col("kind"), {"phrases": ["that the"], "words": ["tion", "ing", "ich"]}, status, k % 5 + 1, k % 300)
+    rows = docs.select("doc_id", F.round(final, 6).alias("final_score")).where("final_score > 0")
     return top_k(rows, 20, F.desc("final_score"), F.asc("doc_id"))
 
 
+# The paths of pages as files: folders and endings by the words of the url.
+PATH = r"^[a-z]+://[^/]*/([^?#]*)"
+PATHS_SQL = r"""pg AS (SELECT page_id, html, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS p FROM pages),
+fl AS (SELECT page_id, html, CASE page_id % 11 WHEN 0 THEN 'docs/' || p || '.md' WHEN 1 THEN 'src/services/' || p || '.py' WHEN 2 THEN 'src/adapter_' || p || '.ts' WHEN 3 THEN 'tests/' || p || '.py' WHEN 4 THEN 'conf/' || p || '.toml' WHEN 5 THEN 'build/' || p || '.js' WHEN 6 THEN p || '/README.md' WHEN 7 THEN p || '/AGENTS.md' WHEN 8 THEN 'src/' || p || '/client.go' WHEN 9 THEN 'data/' || p || '.bin' ELSE 'src/' || p || '/main.rs' END AS rel_path FROM pg)"""
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as source files (page_id, rel_path, html); PATHS_SQL."""
+    p, k = F.regexp_extract("url", PATH, 1), F.col("page_id") % 11
+    forms = [("docs/", ".md"), ("src/services/", ".py"), ("src/adapter_", ".ts"), ("tests/", ".py"), ("conf/", ".toml"), ("build/", ".js"), ("", "/README.md"), ("", "/AGENTS.md"), ("src/", "/client.go"), ("data/", ".bin")]
+    path = F.concat(F.lit("src/"), p, F.lit("/main.rs"))
+    for i, (lead, end) in enumerate(forms):
+        path = F.when(k == i, F.concat(F.lit(lead), p, F.lit(end))).otherwise(path)
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("rel_path"), "html")
+
+
 @query(
-    """WITH t AS (SELECT page_id, html FROM pages),
-c AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'docs' WHEN 2 THEN 'test' ELSE 'config' END AS type, CASE WHEN contains(lower(html), 'tion') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(html), 'erheit') THEN 3.0 ELSE 0 END AS ev FROM t),
-s AS (SELECT page_id, type, CASE WHEN ev > 0 THEN ev + CASE type WHEN 'service' THEN 6.0 WHEN 'docs' THEN -8.0 WHEN 'test' THEN -10.0 ELSE -5.0 END ELSE 0 END AS score FROM c)
-SELECT page_id, type, score FROM s WHERE score > 0"""
+    rf"""WITH {PATHS_SQL}, l AS (SELECT page_id, lower(rel_path) AS p, parse_filename(lower(rel_path)) AS f, regexp_extract(parse_filename(lower(rel_path)), '\.[^.]*$') AS e, regexp_matches(lower(html), '(^|[^\w.])ther([^\w]|$)') AS idn FROM fl)
+SELECT CASE WHEN regexp_matches(p, '(^|/)(generated|cache|\.cache|__pycache__|build|dist|\.obsidian)/') THEN 'generated_or_cache'
+  WHEN f IN ('agents.md', 'claude.md') OR regexp_matches(p, '(^|/)\.agents/') THEN 'agent_instruction' WHEN f LIKE 'readme.%' THEN 'readme_doc' WHEN regexp_matches(p, '(^|/)docs/') THEN 'project_doc'
+  WHEN e IN ('.json', '.yaml', '.yml', '.toml', '.ini', '.cfg', '.conf') THEN 'config_file'
+  WHEN e IN ('.py', '.ts', '.js', '.tsx', '.jsx', '.rs', '.go', '.java', '.kt') THEN CASE
+    WHEN regexp_matches(p, '(^|/)tests/') OR starts_with(f, 'test_') OR regexp_matches(f, '_test\.(py|ts|js|tsx)$') THEN CASE WHEN idn THEN 'relevant_test' ELSE 'unrelated_test' END
+    WHEN regexp_matches(p, '(^|/)adapter') THEN 'adapter_code' WHEN regexp_matches(p, '(^|/)service') THEN 'service_code' WHEN regexp_matches(p, '(^|/)client') THEN 'client_code' ELSE 'implementation_code' END
+  ELSE 'unknown' END AS type, count(*) AS n, CAST(sum(length(p)) AS BIGINT) AS chars FROM l GROUP BY 1"""
 )
+def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files are by their paths."""
+    kind = S.source_type(F.col("rel_path"), S.has_identifier(F.col("html"), "ther"))
+    return page_files(spark, sf_dir).groupBy(kind.alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("rel_path")).cast("long").alias("chars"))
+
+
+@query()
 def source_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence of two words, a boost for code, penalties without intent."""
-    k = F.col("page_id") % 4
-    rel = F.when(k == 0, F.lit("src/a_service.py")).when(k == 1, F.lit("docs/a.md")).when(k == 2, F.lit("tests/test_a.py")).otherwise(F.lit("conf/a.toml"))
-    low = F.lower("html")
-    ev = F.when(F.contains(low, F.lit("tion")), 3.0).otherwise(0.0) + F.when(F.contains(low, F.lit("erheit")), 3.0).otherwise(0.0)
-    kind = R.source_type(rel)
-    shift = F.when(kind.isin("service", "adapter", "client"), 6.0).when(kind == "docs", -8.0).when(kind == "test", -10.0).when(kind == "config", -5.0).otherwise(5.0)
-    rows = table(spark, sf_dir, "pages").select("page_id", kind.alias("type"), F.when(ev > 0, ev + shift).otherwise(0.0).alias("score"))
-    return rows.where("score > 0")
+    """Every file that passes the gate, with its type and score, for a query
+    that names two words and asks to fix a service."""
+    intent = S.Intent.of("fix the service for tion erheit")
+    files = page_files(spark, sf_dir).select(F.col("page_id").alias("chunk_id"), "rel_path", F.col("html").alias("document"))
+    words = F.regexp_extract_all(F.lower("document"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    base = sum((F.when(F.array_contains(words, w), 0.25).otherwise(0.0) for w in intent.domain), F.lit(0.0))
+    ranked = S.gate(S.rank_sources(files.withColumn("base", base), intent), intent)
+    return ranked.select(F.col("chunk_id").alias("page_id"), F.col("source_type").alias("type"), "score")
 
 
 @query(
-    f"""WITH {TASKS_SQL}, d AS (SELECT p_partkey AS id, p_name AS title, CASE p_partkey % 3 WHEN 0 THEN 'workflow for the ' || p_name ELSE 'keep it' END AS rule, CASE WHEN p_partkey % 50 = 0 THEN 'global' ELSE 'shop' END AS scope, CASE WHEN p_partkey % 2 = 0 THEN 'critical' ELSE 'normal' END AS priority FROM part WHERE p_partkey <= 400)
+    f"""WITH {TASKS_SQL}, d AS (SELECT p_partkey AS id, p_name AS title, CASE p_partkey % 3 WHEN 0 THEN 'workflow for the ' || p_name ELSE 'keep it' END AS rule, CASE WHEN p_partkey % 50 = 0 THEN 'global' ELSE 'shop' END AS scope, CASE WHEN p_partkey % 2 = 0 THEN 'critical' ELSE 'normal' END AS priority FROM part)
 SELECT task, id FROM tk, d WHERE scope = 'global' OR contains(task, title) OR (p3 AND contains(task, 'workflow'))""".replace("SELECT task, id FROM tk, d", "SELECT task, id FROM tk, (SELECT *, id % 3 = 0 AS p3, string_split(title, ' ') AS w FROM d) d").replace("OR contains(task, title)", "OR (len(list_filter(w, lambda x: list_contains(string_split(task, ' '), x) AND x <> 'review')) >= 2)")
 )
 def directive_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which directives match each task (the first 400, as in the SQL)."""
-    return _directives(spark, sf_dir, 400).select("task", "id")
+    """Which directives match each task."""
+    return _directives(spark, sf_dir).select("task", "id")
 
 
-def _directives(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """Parts as directives, all of them or those of keys up to ``most``, for each task."""
+def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as directives, for each task."""
     k = F.col("p_partkey")
-    d = table(spark, sf_dir, "part").where(F.lit(True) if most is None else k <= most).select(
+    d = table(spark, sf_dir, "part").select(
         k.alias("id"),
         F.col("p_name").alias("title"),
         F.when(k % 3 == 0, F.concat(F.lit("workflow for the "), "p_name")).otherwise("keep it").alias("rule"),
@@ -120,20 +145,6 @@ def directive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _directives(spark, sf_dir)
 
 
-@query()
-def preflight_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A decision for each task from its concepts, memories and directives."""
-    concepts = skill_concept_scores(spark, sf_dir).groupBy("task").agg(F.max("score").alias("best"), F.count("*").alias("n"))
-    directives = _directives(spark, sf_dir).groupBy("task").agg(F.max(F.col("can_force").cast("int")).alias("forced"), F.max(F.when(F.col("class") == "semantic_directive_match", F.col("score"))).alias("sem"))
-    notes = _tasks(_labelled(spark, sf_dir, F.col("text")).withColumn("kind", R.memory_type(F.col("d"))))
-    memory = notes.withColumn("s", R.memory_score(F.col("task"), F.col("d"), F.col("kind"))).where("s > 0").groupBy("task").agg(F.max("s").alias("mbest"), F.max_by("kind", "s").alias("mtype"), F.count("*").alias("n_memory"))
-    rows = spark.createDataFrame([(t,) for t in TASKS], "task string").join(concepts, "task", "left").join(directives, "task", "left").join(memory, "task", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    best = F.greatest(z("best"), z("mbest"))
-    decision = R.decide(best, z("mbest") > z("best"), F.coalesce("mtype", F.lit("")), z("mbest") >= 6, z("mbest") >= 4, z("mbest") < 4, z("forced") == 1, z("sem") >= 4, z("n_memory"), z("mbest") * 5, F.lit(0))
-    return rows.select("task", best.cast("double").alias("best_score"), decision.alias("decision"))
-
-
 @query(
     f"""WITH {EVENTS_SQL}, l AS (SELECT user_id, CASE event_type WHEN 'failure' THEN 3 WHEN 'decision' THEN 3 WHEN 'validation' THEN 2 ELSE 1 END AS lv, CASE source WHEN 'chat' THEN 1.0 WHEN 'diff' THEN 2.0 ELSE 0.0 END AS sg FROM ev)
 SELECT user_id, CASE max(lv) WHEN 3 THEN 'strong' WHEN 2 THEN 'medium' ELSE 'weak' END AS max_level, CAST(sum(CASE WHEN lv = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_strong, CAST(sum(CASE WHEN lv = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_medium, round(least(sum(sg), 10.0), 6) AS score FROM l GROUP BY user_id"""

@@ -1,13 +1,11 @@
 """Nothing is left out: pairs across the parts of a shard, pairs across shards, short lines, names of wrappers."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
 from ledgerlens.llm import embedding_dedup, html_extract, line_dedup, shared  # noqa: E402
-from ledgerlens.plans import pairs, routing  # noqa: E402
 
 
 def near(x, cosine, rng):
@@ -55,31 +53,6 @@ def test_line_dedup_takes_out_short_lines_that_repeat(spark):
     assert got == {1: ("one\ntwo words\n\n犬も歩けば棒に当たる", 1), 2: ("three words here\n\ntwo", 2), 3: ("", 1)}
 
 
-def write(folder, **tables):
-    for name, rows in tables.items():
-        pd.DataFrame(rows).to_parquet(folder / f"{name}.parquet", coerce_timestamps="us")
-    return str(folder)
-
-
-def test_preflight_reads_whole_documents(spark, tmp_path):
-    text = "some words of no use " * 40 + "paint the red plate"
-    at = write(tmp_path, part=[{"p_partkey": 1, "p_name": "qqq zzz", "p_size": 1}], documents=[{"doc_id": 4, "text": text}])
-    got = {r.task: r.best_score for r in routing.preflight_decision(spark, at).collect()}
-    assert got["paint the red plate"] == 2.0
-
-
-def test_directives_and_names_are_not_capped(spark, tmp_path):
-    part = [{"p_partkey": k, "p_name": f"name{k} other{k}", "p_size": 1} for k in range(380, 460)]
-    events = [{"event_id": 3, "ts": pd.Timestamp("2024-01-01"), "user_id": 1, "event_type": "error", "value": 1.0, "props": '{"k": 7}'}]
-    at = write(tmp_path, part=part, events=events)
-    assert {r.id for r in routing.directive_scores(spark, at).collect() if r["class"] == "global_always_on_directive"} == {400, 450}
-    got = pairs.event_concept_matches(spark, at).collect()
-    assert [r["rank"] for r in got] == [1, 2, 3] and len(got[0].summary) >= 40
-    part = [*part, {"p_partkey": 999, "p_name": got[0].summary, "p_size": 1}]  # after the first 64 names
-    best = pairs.event_concept_matches(spark, write(tmp_path, part=part)).where("rank = 1").head()
-    assert best.name == best.summary and best.similarity == 1.0
-
-
 def test_html_names_do_not_override_text_share_and_entropy(spark):
     main = "<main><h1>Title {i}</h1><p>text {i} and more of it, long enough to be the most of this page</p><div class=x>the same on all</div></main>"
     form = "<body class='has-sidebar'><form id=aspnet>" + main + "<div class=ad>buy {i}</div></form></body>"

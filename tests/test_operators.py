@@ -50,7 +50,7 @@ def test_text_functions(spark):
     assert one(spark, T.token_estimate(F.lit(9)), a=1) == 3
     assert one(spark, F.size(T.phrases(F.split(F.col("a"), " "))), a="a b c d e") == 3
     assert dict(one(spark, T.front_matter(F.col("a")), a="---\nname: x y\nn: 3\n---\nbody")) == {"name": "x y", "n": "3"}
-    assert [tuple(r) for r in one(spark, T.wiki_links(F.col("a")), a="[[a]] [[depends_on::b c]]")] == [("relates_to", "a"), ("depends_on", "b c")]
+    assert [tuple(r) for r in one(spark, T.wiki_links(F.col("a")), a="[[a]] [[depends_on:b c]] [[d|shown]] [[mitigates:e|shown]]")] == [("relates_to", "a"), ("depends_on", "b c"), ("relates_to", "d"), ("mitigates", "e")]
     assert one(spark, T.identifiers(F.col("a")), a="call foo.bar and my_name in FooBar or camelCase MAX_N") == ["foo.bar", "my_name", "MAX_N", "FooBar", "camelCase"]
     assert one(spark, F.unix_timestamp(T.parse_time(F.col("a"))), a="2024-01-01T00:00:00Z") == 1704067200
     assert one(spark, F.unix_timestamp(T.parse_time(F.col("a"))), a="12.5") == 12
