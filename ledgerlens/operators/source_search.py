@@ -65,7 +65,7 @@ def source_type(path: Column, identified: Column) -> Column:
     begins = lambda x: p.rlike(f"(^|/){x}")
     code = F.when(test & identified, "relevant_test").when(test, "unrelated_test").when(begins("adapter"), "adapter_code").when(begins("service"), "service_code").when(begins("client"), "client_code").otherwise("implementation_code")
     return (
-        F.when(folder("generated", "cache", ".cache", "__pycache__", "build", "dist", ".obsidian"), "generated_or_cache")
+        F.when(p.rlike(r"(generated|cache|__pycache__|build|dist|\.obsidian)/"), "generated_or_cache")
         .when(name.isin("agents.md", "claude.md") | folder(".agents"), "agent_instruction")
         .when(name.startswith("readme."), "readme_doc")
         .when(folder("docs"), "project_doc")

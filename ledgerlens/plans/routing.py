@@ -88,8 +88,8 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {PATHS_SQL}, l AS (SELECT page_id, lower(rel_path) AS p, parse_filename(lower(rel_path)) AS f, regexp_extract(parse_filename(lower(rel_path)), '\.[^.]*$') AS e, regexp_matches(lower(html), '(^|[^\w.])ther([^\w]|$)') AS idn FROM fl)
-SELECT CASE WHEN regexp_matches(p, '(^|/)(generated|cache|\.cache|__pycache__|build|dist|\.obsidian)/') THEN 'generated_or_cache'
+    rf"""WITH {PATHS_SQL}, l AS (SELECT page_id, lower(rel_path) AS p, parse_filename(lower(rel_path)) AS f, regexp_extract(parse_filename(lower(rel_path)), '.(\.[^.]*)$', 1) AS e, regexp_matches(lower(html), '(^|[^\w.])ther([^\w]|$)') AS idn FROM fl)
+SELECT CASE WHEN regexp_matches(p, '(generated|cache|__pycache__|build|dist|\.obsidian)/') THEN 'generated_or_cache'
   WHEN f IN ('agents.md', 'claude.md') OR regexp_matches(p, '(^|/)\.agents/') THEN 'agent_instruction' WHEN f LIKE 'readme.%' THEN 'readme_doc' WHEN regexp_matches(p, '(^|/)docs/') THEN 'project_doc'
   WHEN e IN ('.json', '.yaml', '.yml', '.toml', '.ini', '.cfg', '.conf') THEN 'config_file'
   WHEN e IN ('.py', '.ts', '.js', '.tsx', '.jsx', '.rs', '.go', '.java', '.kt') THEN CASE
