@@ -1,5 +1,5 @@
 """Search over learned memory: what a query names, types of memory, boosts, gates, order
-(F26, F38, F44, F45, O1, P7, P8, P10, P17, P21 to P23, R4 to R6, R11, R14)."""
+(F26, F38, F45, O1, P7, P8, P10, P17, P21 to P23, R4 to R6, R11, R14)."""
 
 from __future__ import annotations
 

@@ -1,5 +1,5 @@
 """The registry of concepts: staleness, materialisation, cleaning and recovery (W2, A10, L4,
-L5, L10, L11, L13 to L16, L18 to L22, L25, L26, J12, J16, J23, P14, P15, P24, P27, S15, S30, F46)."""
+L10, L11, L13, L14, L16, L19 to L21, L25, J12, J16, J23, P14, P15, P24, P27, S15, S30, F46)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""From transcripts to events: extraction, reports, outcomes (F27, F28, L1, L2, L15, L33, P20,
+"""From transcripts to events: extraction, reports, outcomes (F27, F28, L1, L15, L33, P20,
 S14, T3, U2, W15)."""
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Skills: evidence, candidates and their life (J5, J22, F29, L17, L18, S22, S29, P16, D-9)."""
+"""Skills: evidence, candidates and their life (J5, F29, L17, L18, S22, S29, P16, D-9)."""
 
 from __future__ import annotations
 
