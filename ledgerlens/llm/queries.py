@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .ann_search import op10_ann_search
 from .bpe_codec import op9_bpe_codec
+from .decontamination import SQL as DECONTAMINATION_SQL
+from .decontamination import op13_benchmark_decontamination
 from .embedding_dedup import op8_embedding_near_dedup
 from .html_extract import op2_html_extraction
 from .langid_crf import op3_language_id
@@ -14,6 +16,7 @@ from .prefix_trie import SQL as PREFIX_TRIE_SQL
 from .prefix_trie import op11_conversation_prefix_trie
 from .token_counts import op5_token_counts
 from .toxicity import op6_toxicity
+from .whitening import op12_embedding_whitening
 
 QUERIES = {
     f.__name__: f
@@ -29,9 +32,11 @@ QUERIES = {
         op9_bpe_codec,
         op10_ann_search,
         op11_conversation_prefix_trie,
+        op12_embedding_whitening,
+        op13_benchmark_decontamination,
     )
 }
 
 # The others can't be written in SQL at the size of the tables: tokenizers, learned models,
 # graph searches, eigenvectors and iterated links are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op11_conversation_prefix_trie": PREFIX_TRIE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_conversation_prefix_trie": PREFIX_TRIE_SQL, "op13_benchmark_decontamination": DECONTAMINATION_SQL}
