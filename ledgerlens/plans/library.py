@@ -232,3 +232,25 @@ def name_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """names of parts by slug."""
     name = R.concept_text(F.col("p_name"), F.col("p_brand"), F.col("p_partkey").cast("string"))
     return table(spark, sf_dir, "part").groupBy(slug(name).alias("slug")).agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""WITH m AS (SELECT conv_id, CASE role WHEN 'user' THEN 'Decision: ' WHEN 'assistant' THEN 'Failure: ' ELSE '' END || regexp_replace(text, '\n', ' ', 'g') AS l FROM conversations),
+q AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN starts_with(l, 'D') THEN 'decision' ELSE 'failure' END AS t, trim(regexp_extract(l, '^(Decision|Failure): (.*)$', 2)) AS s FROM m WHERE starts_with(l, 'Decision: ') OR starts_with(l, 'Failure: ')),
+k AS (SELECT session_id, t, substr(trim(regexp_replace(lower(s), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80) AS c, lower(s) AS e, row_number() OVER (PARTITION BY session_id, t, substr(trim(regexp_replace(lower(s), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), lower(s)) AS i FROM q WHERE s <> '')
+SELECT session_id, count(*) AS n_events, CAST(count(*) AS INTEGER) AS n_reported, CASE WHEN count(*) FILTER (t = 'failure') > count(*) FILTER (t <> 'failure') THEN 'failure' ELSE 'success' END AS outcome, CAST(count(DISTINCT c) AS INTEGER) AS n_concepts FROM k WHERE i = 1 GROUP BY session_id"""
+)
+def reflect_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions reflected upon twice, in two halves and then all again: events, reports and outcomes of
+    each, as committed. The second time adds only what the first didn't have."""
+    from ..sources.reflection import Reflections
+    from ..sources.scratch import fresh
+
+    lead = F.when(F.col("role") == "user", "Decision: ").when(F.col("role") == "assistant", "Failure: ").otherwise("")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(lead, F.regexp_replace("text", "\n", " ")).alias("text"))
+    store = Reflections(spark, fresh(spark, "reflections"))
+    for part in (turns.where("conv_id % 2 = 0"), turns):
+        store.reflect(part)
+    reported = store.table("reports").select("session_id", F.size(R.report_events(F.col("content"))).alias("n_reported"))
+    n = store.table("events").groupBy("session_id").agg(F.count("*").alias("n_events"))
+    return n.join(reported, "session_id").join(store.table("outcomes").select("session_id", "outcome", F.size("referenced_concepts").alias("n_concepts")), "session_id")

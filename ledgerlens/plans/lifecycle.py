@@ -144,3 +144,25 @@ def skill_evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_ledger(spark, sf_dir).where("event_type = 'validation'").select("concept", "user_id", "event_id")
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 150).alias("user_id"), F.concat(F.lit("c"), (F.col("o_orderkey") % 100).cast("string")).alias("concept"), "o_orderstatus")
     return e.join(o, ["user_id", "concept"]).groupBy("concept").agg(F.count("*").alias("n_events"), F.count_if(F.col("o_orderstatus") == "F").alias("n_success"))
+
+
+MOVED_SQL = EVENTS_SQL.replace("ev AS (", "ev0 AS (", 1)
+
+
+@query(
+    f"""WITH {MOVED_SQL}, ev1 AS (SELECT * REPLACE (CASE WHEN concept = 'c3' AND regexp_matches(summary, 'review') THEN 'c7' WHEN concept = 'c12' THEN 'c40' ELSE concept END AS concept) FROM ev0),
+ev AS (SELECT * FROM ev1 UNION ALL SELECT * REPLACE ('c-new' AS concept) FROM ev1 WHERE regexp_matches(summary, '^failure of c2[0-9] was')), {REPLAY_SQL}
+SELECT concept, r.st AS status, CAST(r.c AS INTEGER) AS confidence, CAST(len(r.ss) AS INTEGER) AS session_count, CAST(r.e AS INTEGER) AS evidence_count FROM f"""
+)
+def reassign_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States after three re-assignments (by pattern from one concept, all of another, by pattern to a new one), of
+    which each replays only the concepts it touches: equal to a replay of the whole changed ledger."""
+    from ..sources.concepts import ConceptStates
+    from ..sources.scratch import fresh
+
+    store = ConceptStates(spark, fresh(spark, "concepts"), 16)
+    store.build(event_ledger(spark, sf_dir))
+    store.reassign("c7", "C3", "review")
+    store.reassign("c40", "c12")
+    store.reassign("C new", match="^failure of c2[0-9] was")
+    return store.states().select("concept", "s.status", "s.confidence", F.size("s.sessions").alias("session_count"), F.col("s.evidence").alias("evidence_count"))

@@ -22,6 +22,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def catalogue() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import events, indexes, library, lifecycle, pairs, registry_views, retrieval, routing, streams  # noqa: F401
+    from . import events, histories, indexes, library, lifecycle, pairs, registry_views, retrieval, routing, streams  # noqa: F401
 
     return QUERIES, ORACLE_SQL

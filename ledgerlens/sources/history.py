@@ -146,4 +146,4 @@ class History:
 
 def last_items(df: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Lists cut to their last items."""
-    return df.withColumns({c: F.slice(c, -F.least(F.size(c), F.lit(n)), F.least(F.size(c), F.lit(n))) for c, n in caps.items()}) if caps else df
+    return df.withColumns({c: F.slice(c, F.greatest(F.size(c) - n + 1, F.lit(1)), F.lit(n)) for c, n in caps.items()}) if caps else df
