@@ -136,10 +136,13 @@ def wiki_links(c: Column) -> Column:
 
 
 def front_matter(c: Column) -> Column:
-    """the key: value lines of a leading --- block, as a map; nested values stay text."""
+    """the key: value lines of a leading --- block, as a map; of a key that repeats the last
+    value counts, and nested values stay text."""
     block = F.regexp_extract(c, r"(?s)\A---\s*\n(.*?)\n(?:---|\.\.\.)\s*(?:\n|\z)", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[\w-]+\s*:"))
-    return F.map_from_entries(F.transform(F.array_distinct(lines), lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+)", 1), F.trim(F.regexp_extract(x, r"^[\w-]+\s*:(.*)$", 1)))))
+    entries = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+)", 1), F.trim(F.regexp_extract(x, r"^[\w-]+\s*:(.*)$", 1)))).cast("array<struct<k:string,v:string>>")
+    last = F.transform(F.array(entries), lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0))), lambda later: later["k"] == e["k"])))
+    return F.map_from_entries(F.element_at(last, 1))
 
 
 def section(c: Column, title: str) -> Column:
@@ -172,7 +175,7 @@ def canonical_json(m: Column) -> Column:
 def is_text(content: Column) -> Column:
     """whether bytes look like text: no NUL and valid UTF-8 in the first 4 KiB."""
     head = F.substring(content, 1, 4096)
-    return F.is_valid_utf8(head.cast("string")) & ~F.contains(F.hex(head), F.lit("\x00")) & (F.instr(head.cast("string"), "\x00") == 0)
+    return F.is_valid_utf8(head.cast("string")) & (F.instr(head.cast("string"), "\x00") == 0)
 
 
 def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -15,10 +15,13 @@ NO_TRIGGER = "the and for you that this with from your must never always rules r
 
 
 def discover(files: DataFrame, most_bytes: int = 262_144) -> DataFrame:
-    """The instruction files of (path, document), up to a size; of files of equal content
-    in several places the first by path."""
+    """The instruction files of (path, document), up to a size, each real path once: files of equal content in two
+    folders both hold, each for its own; where a column ``real_path`` says that several paths lead to one
+    file, the first of them does."""
     found = files.where(F.col("path").rlike(FILES) & (F.length("document") <= most_bytes)).withColumn("hash", F.sha2("document", 256))
-    return found.withColumn("_r", F.row_number().over(Window.partitionBy("hash").orderBy("path"))).where("_r = 1").drop("_r")
+    real = F.coalesce("real_path", "path") if "real_path" in files.columns else F.col("path")
+    first = found.groupBy(real.alias("_real")).agg(F.min("path").alias("path"))
+    return found.join(first.select("path"), "path", "left_semi").dropDuplicates(["path"])
 
 
 def triggers(section: Column, rule: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh
+
 STATE = "struct<sessions:array<string>,confidence:int,failures:int,evidence:int,status:string,transitions:int>"
 
 
@@ -29,7 +31,7 @@ def step(s: Column, e: Column, success: Column, failed: Column, score: Column) -
         .when((s["status"] == "needs_review") & high & (evidence >= 2), "validated")
         .when(s["status"] == "needs_review", "needs_review")
         .when((F.size(sessions) >= 5) & (conf >= 4), "canonical")
-        .when((evidence >= 2) | (s["status"] == "validated") | high, "validated")
+        .when((evidence >= 2) | (s["status"] == "validated"), "validated")
         .when((F.size(sessions) >= 1) & (evidence >= 1), "emerging")
         .otherwise("candidate")
     )
@@ -53,13 +55,48 @@ def replay(events: DataFrame, fitness: DataFrame | None = None) -> DataFrame:
     return rows.select("concept", s.alias("s"), F.element_at("h", -1)["session_id"].alias("last_session"))
 
 
+def resolve_lists(rows: DataFrame, registry: DataFrame, columns: list[str]) -> DataFrame:
+    """The lists of ``columns`` with each name in place of the concept it means: an id, else a name without
+    case, else an alias without case; of several concepts the least id, and a name that none has stays. Each
+    distinct name is looked up once."""
+    of = registry.select(F.col("concept_id").cast("string").alias("id"), "canonical_name", *(["aliases"] if "aliases" in registry.columns else []))
+    keys = [of.select(F.col("id").alias("k"), F.lit(0).alias("p"), "id"), of.select(F.lower("canonical_name").alias("k"), F.lit(1).alias("p"), "id")]
+    if "aliases" in of.columns:
+        keys.append(of.select(F.explode("aliases").alias("k"), F.lit(2).alias("p"), "id").withColumn("k", F.lower("k")))
+    known = keys[0]
+    for k in keys[1:]:
+        known = known.unionByName(k.select("k", "p", "id"))
+    each = known.where("k IS NOT NULL").groupBy("k").agg(F.min(F.struct("p", "id")).alias("m"))
+    names = None
+    for c in columns:
+        d = rows.select(F.explode(c).alias("n"))
+        names = d if names is None else names.unionByName(d)
+    names = names.where("n IS NOT NULL").select(F.col("n").cast("string").alias("n")).distinct()
+    exact = names.join(each.select(F.col("k").alias("n"), F.col("m").alias("x")), "n", "left")
+    found = exact.join(each.select(F.col("k").alias("_l"), F.col("m").alias("y")), F.lower("n") == F.col("_l"), "left")
+    best = F.when(F.col("x.p") == 0, F.col("x.id")).otherwise(F.coalesce("y.id", "n"))
+    mapped = found.select("n", best.alias("id"))
+    aside = fresh(rows.sparkSession, "named")
+    rows.withColumn("_row", F.monotonically_increasing_id()).write.parquet(aside)  # numbers must not change between the joins
+    keyed = rows.sparkSession.read.parquet(aside)
+    for c in columns:
+        pairs = keyed.select("_row", F.posexplode(c).alias("_i", "n")).withColumn("n", F.col("n").cast("string")).join(mapped, "n", "left")
+        lists = pairs.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "id"))), lambda x: x["id"]).alias("_ids"))
+        keyed = keyed.join(lists, "_row", "left").withColumn(c, F.coalesce("_ids", F.array().cast("array<string>"))).drop("_ids")
+    return keyed.drop("_row")
+
+
 def fitness(outcomes: DataFrame, registry: DataFrame) -> DataFrame:
-    """A2 over sessions (outcome, retrieved_concepts, referenced_concepts) and a registry
+    """A2 over sessions (outcome, retrieved_concepts, referenced_concepts, and goal_satisfaction where it is known) and a registry
     (concept_id, canonical_name, evidence_count): counts, score, and zero rows for concepts
-    that no session touched. Retrieved falls back on referenced where it is empty."""
+    that no session touched. Retrieved falls back on referenced where it is empty. What a session satisfied
+    counts for each concept that it referred to, whatever its outcome; unknown, it is 1 for a success, else 0.
+    The score is the sum of that over the sessions with a success or failure."""
     got = F.when(F.size("retrieved_concepts") > 0, F.col("retrieved_concepts")).otherwise(F.col("referenced_concepts"))
-    rows = outcomes.select("outcome", F.array_distinct(got).alias("got"), F.array_distinct("referenced_concepts").alias("used"))
-    rows = rows.select("outcome", "got", "used", F.explode(F.array_union("got", "used")).alias("concept_id"))
+    won = F.when(F.col("outcome") == "success", 1.0).otherwise(0.0)
+    satisfied = F.coalesce(F.col("goal_satisfaction"), won) if "goal_satisfaction" in outcomes.columns else won
+    rows = outcomes.select("outcome", satisfied.alias("sat"), F.array_distinct(got).alias("got"), F.array_distinct("referenced_concepts").alias("used"))
+    rows = rows.select("outcome", "sat", "got", "used", F.explode(F.array_union("got", "used")).alias("concept_id"))
     retrieved, referenced = F.array_contains("got", F.col("concept_id")), F.array_contains("used", F.col("concept_id"))
     counts = rows.groupBy("concept_id").agg(
         F.count_if(retrieved).alias("retrieved"),
@@ -67,7 +104,7 @@ def fitness(outcomes: DataFrame, registry: DataFrame) -> DataFrame:
         F.count_if(retrieved & ~referenced).alias("ignored"),
         F.count_if(referenced & (F.col("outcome") == "success")).alias("succ"),
         F.count_if(referenced & (F.col("outcome") == "failure")).alias("fail"),
-        F.sum(F.when(referenced & (F.col("outcome") == "success"), 1.0).otherwise(0.0)).alias("_sat"),
+        F.sum(F.when(referenced, F.col("sat")).otherwise(0.0)).alias("_sat"),
     )
     out = registry.join(counts, "concept_id", "full")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("retrieved", "referenced", "ignored", "succ", "fail")]

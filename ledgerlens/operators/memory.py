@@ -115,7 +115,7 @@ def _label(*labels: str) -> str:
 
 def memory_type(document: Column, title: Column | None = None) -> Column:
     """the type of a memory by its labels, then by the head of its text, then by its shape;
-    the first rule decides. Fences are left out."""
+    the first rule decides. Fences are left out. The patterns are fixed values."""
     t = strip_fences(F.concat_ws("\n", title, document) if title is not None else document)
     head = F.array_join(F.slice(F.split(F.regexp_replace(t, r"\A\s+", ""), "\n", 4), 1, 3), "\n")
     return (
@@ -209,10 +209,10 @@ def rerank(rows: DataFrame, targets: Targets, typed: str | None = None) -> DataF
 
 
 def order() -> list[Column]:
-    """O1: the order of results: score, base, then what a non-exact hit comes first by, decisions
-    and failures, logs last, ids."""
+    """O1: the order of results: score, base, then among equals those without an exact hit, decisions and failures,
+    those without signals, logs by their penalty, ids."""
     has = lambda k: F.map_contains_key("boosts", k)
-    return [F.desc("final_score"), F.desc("base"), has("exact_path_match"), has("exact_filename_match"), (~F.col("memory_type").isin("decision", "failure")), has("active_work_signal"), has("workflow_rule"), has("exact_phrase"), F.map_contains_key("penalties", "log"), F.col("id")]
+    return [F.desc("final_score"), F.desc("base"), has("exact_path_match"), has("exact_filename_match"), (~F.col("memory_type").isin("decision", "failure")), has("active_work_signal"), has("workflow_rule"), has("exact_phrase"), *[F.when(F.col("memory_type") == k, -LOG_PENALTY[k]).otherwise(0.0) for k in ("search_log", "command_log", "source_dump")], F.col("id")]
 
 
 def promote(rows: DataFrame, fields: list[str], metadata: str = "metadata") -> DataFrame:

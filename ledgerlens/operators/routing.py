@@ -14,7 +14,6 @@ from .memory import memory_type  # noqa: F401
 TRIGGER, TITLE, SKILL_TAG, CONCEPT_TAG, ALIAS, OVERLAP, MEMORY, PENALTY = 6.0, 5.0, 4.0, 3.0, 3.0, 2.0, 2.0, 4.0
 MEMORY_TYPES = {"decision": 3.0, "failure": 2.5, "outcome": 2.0}
 BAD_SKILL, BAD_CONCEPT = ["rejected", "deprecated", "superseded", "stale"], ["deprecated", "stale", "missing_file"]
-STATUS_FACTOR = {"canonical": 1.3, "validated": 1.1, "emerging": 0.9, "candidate": 0.7, "needs_review": 0.5}
 
 
 def _any_phrase(task: Column, phrases: Column, unless_in: Column | None = None) -> Column:
@@ -53,44 +52,6 @@ def memory_score(task: Column, text: Column, kind: Column) -> Column:
     return F.when(_overlaps(task, text, 0.15), MEMORY * factor).otherwise(0.0)
 
 
-def rerank(base: Column, document: Column, kind: Column, targets: dict, status: Column, confidence: Column, evidence: Column) -> tuple[Column, Column]:
-    """(boosts map, final score). ``targets`` holds what the query names, worked out once
-    on the driver: paths, files, identifiers, phrases, words. Boosts by type count only above
-    the floor: something named, or two words in common."""
-    low = F.lower(document)
-
-    def some(items: list[str]) -> Column:
-        out = F.lit(False)
-        for x in items:
-            out = out | F.contains(low, F.lit(x.lower()))
-        return out
-
-    path, file, phrase = some(targets.get("paths", [])), some(targets.get("files", [])), some(targets.get("phrases", []))
-    ids = sum((F.when(document.rlike(rf"(?<!\w){re.escape(i)}(?!\w)"), 1).otherwise(0) for i in targets.get("identifiers", [])), F.lit(0))
-    words = sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in targets.get("words", [])), F.lit(0))
-    floor = path | file | phrase | (ids >= 1) | (words >= 2)
-    typed = F.when(kind == "failure", 5.0).when(kind == "decision", 4.0).when(kind == "outcome", 3.0).when(kind == "workaround", 5.0).when(kind == "debug_note", 4.0).when(kind == "technical_handoff", 5.0).otherwise(0.0)
-    exact = path | file | phrase
-    parts = {
-        "path": F.when(path, 6.0).otherwise(0.0),
-        "file": F.when(file, 4.0).otherwise(0.0),
-        "phrase": F.when(phrase, 8.0).otherwise(0.0),
-        "identifier": F.when(ids >= 1, 2.5).otherwise(0.0),
-        "cooccurrence": F.when(ids >= 3, 7.0).when(ids == 2, 5.0).otherwise(0.0),
-        "topic": F.least(F.lit(2.0), 0.5 * words),
-        "type": F.when(floor, typed).otherwise(0.0),
-        "log": F.when(kind.isin("command_log", "search_log"), -5.0).when(kind == "source_dump", -6.0).otherwise(0.0),
-        "large": F.when((F.length(document) > 1500) & ~exact, -3.0).otherwise(0.0),
-    }
-    boosts = F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]), lambda k, v: v != 0)
-    total = base + sum(parts.values(), F.lit(0.0))
-    size = F.when(evidence > 100, F.greatest(F.lit(0.3), 1 - (evidence - 100) / 500)).otherwise(1.0)
-    factor = F.lit(1.0)
-    for k, v in STATUS_FACTOR.items():
-        factor = F.when(status == k, v).otherwise(factor)
-    return boosts, total * size * factor * (0.5 + confidence / 10)
-
-
 # Words that directive matching leaves out or counts for less.
 STOP = ["the", "and", "are", "was", "were", "for", "with", "from", "been", "being", "than", "that", "this", "its"]
 GENERIC = ["current", "project", "content", "work", "continue", "session", "context", "file", "task", "next", "now", "state", "review", "health", "memory", "agent", "start", "working", "pick", "left", "resume", "machine", "contract", "fix"]

@@ -18,7 +18,8 @@ from ..operators import source_search as SS
 from ..sources.store import index_of
 from ..sources.tables import EVENTS_SQL, REGISTRY_SQL, concept_registry, event_ledger, outcome_ledger, table
 from .registry import query
-from .retrieval import CHUNKS_SQL, _words, document_chunks, first_words
+from .retrieval import CHUNKS_SQL, _words, document_chunks
+from .routing import MEMORY_QUERY, RANK_ORDER, TYPE_SQL, ranked_sql
 
 
 @query(
@@ -32,14 +33,22 @@ def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{index.path}/terms").where("df >= 100").select("term", "df", F.lit(s["n"]).alias("n_chunks"), F.round(F.lit(s["avg"]), 6).alias("avg_len"))
 
 
-@query()
+@query(
+    rf"""WITH {CHUNKS_SQL}, ck AS (SELECT CAST(doc_id AS VARCHAR) || '#L' || CAST(start_line AS VARCHAR) AS id, document AS d FROM chunks),
+toks AS (SELECT id, {_words("d")} AS w FROM ck), qt AS (SELECT unnest({MEMORY_QUERY.split()!r}) AS term), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM toks),
+post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM toks) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+raw AS (SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(a, 1.0)))) AS s FROM post JOIN qt USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY id),
+k AS (SELECT id, d, round(0.75 * coalesce(s, 0) / (SELECT max(s) FROM raw) + 0.2, 9) AS base, {TYPE_SQL} AS type FROM ck LEFT JOIN raw USING (id)), {ranked_sql("k")}
+SELECT id, type AS memory_type, round(final, 6) AS final_score FROM best ORDER BY {RANK_ORDER} LIMIT 10"""
+)
 def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index's scores, re-ranked, gated and cut to the first ten."""
+    """Every chunk with the index's score for its base, re-ranked, gated, and the first ten. No chunk is left out
+    before ranking: what boosts add can be more than any base."""
     index = index_of(spark, "chunks-4-1", f"{sf_dir}/documents.parquet", lambda: document_chunks(spark, sf_dir))
-    task = first_words(spark, sf_dir)
-    found = document_chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "document").join(F.broadcast(index.sparse_scores(task).orderBy(F.desc("sparse"), "chunk_id").limit(1000)), F.col("id") == F.col("chunk_id"))
-    rows = found.select("id", "document", (0.75 * F.col("sparse") + 0.2).alias("base"), F.lit(None).cast("string").alias("scope"))
-    return M.search(rows, task, 10).select("id", "memory_type", F.round("final_score", 6).alias("final_score"))
+    chunks = document_chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "document")
+    scored = chunks.join(index.sparse_scores(MEMORY_QUERY).withColumnRenamed("chunk_id", "id"), "id", "left")
+    rows = scored.select("id", "document", F.round(0.75 * F.coalesce("sparse", F.lit(0.0)) + 0.2, 9).alias("base"), F.lit(None).cast("string").alias("scope"))
+    return M.search(rows, MEMORY_QUERY, 10).select("id", "memory_type", F.round("final_score", 6).alias("final_score"))
 
 
 @query()

@@ -166,3 +166,34 @@ def reassign_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.reassign("c40", "c12")
     store.reassign("C new", match="^failure of c2[0-9] was")
     return store.states().select("concept", "s.status", "s.confidence", F.size("s.sessions").alias("session_count"), F.col("s.evidence").alias("evidence_count"))
+
+
+# What sessions name: ids, names in capitals, aliases, and what no concept has.
+SAID_SQL = f"""
+{REGISTRY_SQL},
+said AS (SELECT o_orderkey AS s, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failure' ELSE 'abandoned' END AS outcome, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 11) / 10.0::DOUBLE END AS sat, l_quantity > 25 AS used,
+  CASE l_partkey % 4 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN upper(p_name) WHEN 2 THEN lower(p_brand) ELSE 'no such ' || (l_partkey % 7) END AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+keys AS (SELECT concept_id::VARCHAR AS k, 0 AS p, concept_id::VARCHAR AS id FROM rg UNION ALL SELECT lower(canonical_name), 1, concept_id::VARCHAR FROM rg UNION ALL SELECT lower(alias1), 2, concept_id::VARCHAR FROM rg UNION ALL SELECT lower(alias2), 2, concept_id::VARCHAR FROM rg),
+look AS (SELECT k, id FROM (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY p, id) AS r FROM keys) WHERE r = 1),
+res AS (SELECT s, outcome, sat, coalesce(id, n) AS concept_id, max(used::INT) AS used FROM said LEFT JOIN look ON k = lower(n) GROUP BY ALL),
+fr AS (SELECT concept_id, count(*) AS retrieved, CAST(sum(used) AS BIGINT) AS referenced, CAST(sum(CASE WHEN used = 1 AND outcome = 'success' THEN 1 ELSE 0 END) AS BIGINT) AS succ, CAST(sum(CASE WHEN used = 1 AND outcome = 'failure' THEN 1 ELSE 0 END) AS BIGINT) AS fail,
+  sum(CASE WHEN used = 1 THEN coalesce(sat, CASE WHEN outcome = 'success' THEN 1.0 ELSE 0.0 END) ELSE 0.0 END) AS total FROM res GROUP BY concept_id)
+"""
+
+
+@query(f"WITH {SAID_SQL} SELECT coalesce(rg.concept_id::VARCHAR, fr.concept_id) AS concept_id, coalesce(retrieved, 0) AS retrieved, coalesce(referenced, 0) AS referenced, coalesce(succ, 0) AS succ, coalesce(fail, 0) AS fail, CASE WHEN coalesce(succ, 0) + coalesce(fail, 0) > 0 THEN round(round(total / (succ + fail), 4), 3) ELSE 0.0 END AS fitness FROM rg FULL JOIN fr ON fr.concept_id = rg.concept_id::VARCHAR")
+def fitness_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitness from sessions that name concepts by id, by name and by alias without case, and some that nothing
+    has, with a goal's satisfaction where it is known."""
+    from ..sources.tables import table
+
+    o, items, p = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+    k = F.col("l_partkey")
+    said = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.upper("p_name")).when(k % 4 == 2, F.lower("p_brand")).otherwise(F.concat(F.lit("no such "), (k % 7).cast("string")))
+    lists = items.join(p, items.l_partkey == p.p_partkey).groupBy("l_orderkey").agg(F.collect_list(said).alias("retrieved_concepts"), F.collect_list(F.when(F.col("l_quantity") > 25, said)).alias("referenced_concepts"))
+    sat = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") % 11 / 10)
+    outcome = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failure").otherwise("abandoned")
+    sessions = o.join(lists, o.o_orderkey == lists.l_orderkey).select(outcome.alias("outcome"), sat.alias("goal_satisfaction"), "retrieved_concepts", "referenced_concepts")
+    registry = concept_registry(spark, sf_dir).withColumn("concept_id", F.col("concept_id").cast("string"))
+    f = L.fitness(L.resolve_lists(sessions, registry, ["retrieved_concepts", "referenced_concepts"]), registry)
+    return f.select("concept_id", "retrieved", "referenced", "succ", "fail", F.round("fitness", 3).alias("fitness"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import memory as M
 from ..operators import routing as R
 from ..operators import source_search as S
 from ..operators.ranking import top_k
@@ -37,6 +38,10 @@ def skill_concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("task", F.col("title").alias("concept"), F.round(score, 6).alias("score")).where("score > 0")
 
 
+TYPE_SQL = r"""CASE WHEN regexp_matches(d, '^Decision:') THEN 'decision' WHEN regexp_matches(d, '^## Failure\b') THEN 'failure' WHEN regexp_matches(d, '^\*\*Outcome\*\*:') THEN 'outcome' WHEN regexp_matches(d, '^workaround\b') THEN 'workaround'
+  WHEN regexp_matches(d, '(?i)\b(prefer|like|always|never|don''t|hate|style|convention)\b') THEN 'preference' WHEN regexp_matches(d, '(?i)\b(last time|previously|tried|attempted|before)\b') THEN 'episodic' ELSE 'observation' END"""
+
+
 @query(
     rf"""WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || text AS d, length(CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || text) AS n FROM documents),
 k AS (SELECT doc_id, d, CASE doc_id % 5 WHEN 0 THEN 'decision' WHEN 1 THEN 'failure' WHEN 2 THEN 'outcome' WHEN 3 THEN 'workaround' ELSE CASE WHEN regexp_matches(d, '(?i)\b(prefer|like|always|never|don''t|hate|style|convention)\b') THEN 'preference' WHEN regexp_matches(d, '(?i)\b(last time|previously|tried|attempted|before)\b') THEN 'episodic' ELSE 'observation' END END AS type FROM m)
@@ -55,20 +60,46 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("d"))
 
 
+MEMORY_QUERY = "what of the timeout error in ther reed"
+MEMORY_TOKENS = ["what", "timeout", "error", "ther", "reed"]
+_LONG = MEMORY_QUERY.split()
+MEMORY_PHRASES = [" ".join(_LONG[i : i + n]) for n in range(4, 8) for i in range(len(_LONG) - n + 1)]
+
+
+def ranked_sql(rows: str, scale: str = "1.0") -> str:
+    """The ranking of rows (id, d, base, type) for MEMORY_QUERY, which names no file, identifier or rule and is technical: the
+    words that a text has, its phrases, its type and its length decide."""
+    topic = " + ".join(rf"CASE WHEN regexp_matches(low, '(^|[^a-z0-9_.]){t}(s|es)?($|[^a-z0-9_.])') THEN 1 ELSE 0 END" for t in MEMORY_TOKENS)
+    semantic = " + ".join(f"CASE WHEN contains(low, '{t}') THEN 1 ELSE 0 END" for t in MEMORY_TOKENS)
+    phrase = " OR ".join(f"contains(pad, ' {p} ')" for p in MEMORY_PHRASES)
+    return rf"""
+rk0 AS (SELECT *, lower(d) AS low, ' ' || array_to_string(regexp_extract_all(lower(d), '[\p{{L}}\p{{N}}_]+'), ' ') || ' ' AS pad FROM {rows}),
+rk1 AS (SELECT *, {topic} AS topic, {semantic} AS sem, {phrase} AS ph, regexp_matches(d, '(?i)\bwe decided to\b') AS dec FROM rk0),
+rk2 AS (SELECT *, ph OR sem >= 2 AS eligible, length(d) > 1500 AND NOT ph AS large FROM rk1),
+rk3 AS (SELECT *, CASE WHEN ph THEN 8.0::DOUBLE ELSE 0 END + CASE WHEN eligible THEN CASE type WHEN 'decision' THEN 4.0 WHEN 'failure' THEN 5.0 WHEN 'outcome' THEN 3.0 ELSE 0 END ELSE 0 END + least(2.0, 0.5 * topic)
+  + CASE type WHEN 'workaround' THEN 5.0 WHEN 'technical_handoff' THEN 5.0 WHEN 'debug_note' THEN 4.0 ELSE 0 END + CASE WHEN dec THEN 5.0 ELSE 0 END AS boost, CASE WHEN large THEN 3.0::DOUBLE ELSE 0 END AS penalty FROM rk2),
+rk AS (SELECT *, (base + boost - penalty) * {scale} AS final FROM rk3),
+best AS (SELECT * FROM rk WHERE final > 0 AND (eligible OR type NOT IN ('decision', 'failure', 'outcome')))
+"""
+
+
+RANK_ORDER = "final DESC, base DESC, type NOT IN ('decision', 'failure'), ph, id"
+
+
 @query(
-    r"""WITH m AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || text AS d, CASE doc_id % 4 WHEN 0 THEN 'canonical' WHEN 1 THEN 'validated' WHEN 2 THEN 'emerging' ELSE 'candidate' END AS st, doc_id % 5 + 1 AS c, doc_id % 300 AS e FROM documents),
-k AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN 4.0 WHEN 1 THEN 5.0 WHEN 2 THEN 3.0 WHEN 3 THEN 5.0 ELSE 0.0 END AS typed, CASE WHEN contains(lower(d), 'that the') THEN 8.0 ELSE 0 END AS ph, CASE WHEN contains(lower(d), 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(lower(d), 'ing') THEN 1 ELSE 0 END + CASE WHEN contains(lower(d), 'ich') THEN 1 ELSE 0 END AS w FROM m),
-f AS (SELECT doc_id, round((0.2 + ph + least(2.0, 0.5 * w) + CASE WHEN length(d) > 1500 AND ph = 0 THEN -3.0 ELSE 0 END + CASE WHEN ph > 0 OR w >= 2 THEN typed ELSE 0 END) * CASE WHEN e > 100 THEN greatest(0.3, 1 - (e - 100) / 500.0) ELSE 1.0 END * CASE st WHEN 'canonical' THEN 1.3 WHEN 'validated' THEN 1.1 WHEN 'emerging' THEN 0.9 ELSE 0.7 END * (0.5 + c / 10.0), 6) AS final_score FROM k)
-SELECT doc_id, final_score FROM f WHERE final_score > 0 ORDER BY final_score DESC, doc_id LIMIT 20"""
+    rf"""WITH m AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'Decision: ' WHEN 1 THEN '## Failure' || chr(10) WHEN 2 THEN '**Outcome**: ' WHEN 3 THEN 'workaround for ' ELSE '' END || text AS d, (doc_id % 7) / 10.0::DOUBLE AS base,
+  CASE doc_id % 4 WHEN 0 THEN 1.3::DOUBLE WHEN 1 THEN 1.1 WHEN 2 THEN 0.9 ELSE 0.7 END AS st, doc_id % 5 + 1 AS c, doc_id % 300 AS e FROM documents),
+k AS (SELECT *, {TYPE_SQL} AS type FROM m), {ranked_sql("k", "CASE WHEN e > 100 THEN greatest(0.3::DOUBLE, 1 - (e - 100) / 500.0::DOUBLE) ELSE 1.0 END * st * (0.5::DOUBLE + c / 10.0::DOUBLE)")}
+SELECT id AS doc_id, type AS memory_type, round(boost, 6) AS boosts, round(penalty, 6) AS penalties, round(final, 6) AS final_score FROM best ORDER BY {RANK_ORDER} LIMIT 50"""
 )
 def memory_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents for a query that names a phrase and three words."""
-    k = F.col("doc_id")
+    """Labelled documents, ranked for a technical query: type, boosts, penalties, scaled score; the first 50."""
+    k = F.col("id")
     status = F.element_at(F.array(*map(F.lit, ["canonical", "validated", "emerging", "candidate"])), (k % 4 + 1).cast("int"))
-    docs = _labelled(spark, sf_dir).withColumn("kind", R.memory_type(F.col("d")))  # its own projection: it is used several times
-    _, final = R.rerank(F.lit(0.2), F.col("d"), F.col("kind"), {"phrases": ["that the"], "words": ["tion", "ing", "ich"]}, status, k % 5 + 1, k % 300)
-    rows = docs.select("doc_id", F.round(final, 6).alias("final_score")).where("final_score > 0")
-    return top_k(rows, 20, F.desc("final_score"), F.asc("doc_id"))
+    docs = _labelled(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("d").alias("document"), (F.col("doc_id") % 7 / 10).alias("base")).withColumns({"status": status, "confidence": k % 5 + 1, "evidence": k % 300})
+    total = lambda m: F.round(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x), 6)
+    found = M.search(docs, MEMORY_QUERY, 50)
+    return found.select(F.col("id").alias("doc_id"), "memory_type", total("boosts").alias("boosts"), total("penalties").alias("penalties"), F.round("final_score", 6).alias("final_score"))
 
 
 # The paths of pages as files: folders and endings by the words of the url.

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import exists
+from .scratch import exists, fresh
 
 EVENT = "event_id string, timestamp string, project string, session_id string, event_type string, concept_candidates array<string>, summary string, evidence string, confidence int, source string, source_type string, ingestion_eligible boolean, schema_version int, scope string"
 OUTCOME = "session_id string, outcome string, referenced_concepts array<string>, retrieved_concepts array<string>, reason string, goal_satisfaction double, timestamp string, project string, schema_version int"
@@ -149,27 +149,41 @@ def migrate(spark: SparkSession, path: str, out: str, upcasters: Upcasters | Non
     return good.groupBy(F.coalesce("schema_version", F.lit(1)).alias("version")).agg(F.count("*").alias("n"))
 
 
-def drain(spark: SparkSession, landing: str, ledger: str, checkpoint: str, files_per_trigger: int = 1000) -> None:
+def drain(spark: SparkSession, landing: str, ledger: str, checkpoint: str, files_per_trigger: int = 1000, rejected: str | None = None) -> None:
     """Moves pending events from a landing folder to the ledger: each file once, in
-    bounded batches, without ids that the ledger has."""
+    bounded batches, without ids that the ledger has. Events without id go to the folder ``rejected`` (beside the ledger if
+    none is named). ``streaming.sink.LedgerSink`` also survives a crash between its writes."""
+    aside = rejected or f"{ledger.rstrip('/')}-rejected"
 
     def take(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["event_id"])
+        nameless = batch.where("event_id IS NULL")
+        if not nameless.isEmpty():
+            nameless.write.mode("append").json(aside)
+        new = batch.where("event_id IS NOT NULL").dropDuplicates(["event_id"])
         if exists(spark, ledger):
-            fresh = fresh.join(spark.read.schema(EVENT).json(ledger).select("event_id").distinct(), "event_id", "left_anti").select(batch.columns)
-        fresh.write.mode("append").json(ledger)
+            new = new.join(spark.read.schema(EVENT).json(ledger).select("event_id").distinct(), "event_id", "left_anti").select(batch.columns)
+        new.write.mode("append").json(ledger)
 
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).json(landing).where("event_id IS NOT NULL")
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).json(landing)
     stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def hook_sink(ledger: str, most_rows: int = 5000, most_chars: int = 2000) -> Callable[[DataFrame, int], None]:
+def hook_sink(ledger: str, most_rows: int = 5000, most_chars: int = 2000, overflow: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer of shell results as pending events: secrets are redacted, evidence is cut and
-    a batch keeps its newest ``most_rows`` rows."""
+    a batch keeps its newest ``most_rows`` rows; older ones go to the folder ``overflow`` (beside the ledger if none is named)."""
     from ..functions.text import redact
 
+    rest = overflow or f"{ledger.rstrip('/')}-overflow"
+
     def take(batch: DataFrame, _: int) -> None:
         clean = batch.withColumn("evidence", F.substring(redact(F.col("evidence")), 1, most_chars)).withColumn("summary", redact(F.col("summary")))
-        clean.orderBy(F.desc("timestamp"), "event_id").limit(most_rows).write.mode("append").json(ledger)
+        aside = fresh(batch.sparkSession, "hooks")
+        clean.withColumn("_n", F.monotonically_increasing_id()).write.parquet(aside)  # each row keeps its number
+        rows = batch.sparkSession.read.parquet(aside)
+        newest = rows.orderBy(F.desc("timestamp"), "event_id", "_n").limit(most_rows)
+        newest.drop("_n").write.mode("append").json(ledger)
+        older = rows.join(newest.select("_n"), "_n", "left_anti").drop("_n")
+        if not older.isEmpty():
+            older.write.mode("append").json(rest)
 
     return take

@@ -312,3 +312,55 @@ def test_idle_concepts_are_told(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
         status.status_stream(stream, 7 * 86_400_000).writeStream.foreachBatch(lambda d, n, k=k: out.extend((k, r.concept, r.idle) for r in d.collect())).outputMode("update").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert ("old", True) in {x[1:] for x in out} and ("new", True) not in {x[1:] for x in out}
+
+
+def test_nothing_that_is_drained_vanishes(spark, tmp_path):
+    from ledgerlens.sources import ledgers
+
+    land, at = tmp_path / "land", f"{tmp_path}/ledger"
+    land.mkdir()
+    (land / "a.json").write_text('{"event_id": "1", "summary": "x"}\n{"summary": "no id"}\n{"event_id": "1", "summary": "x"}\n')
+    ledgers.drain(spark, str(land), at, str(tmp_path / "cp"))
+    assert spark.read.json(at).count() == 1 and [r.summary for r in spark.read.json(f"{at}-rejected").collect()] == ["no id"]
+    rows = spark.createDataFrame([(str(k % 3), "x", "y", str(k)) for k in range(7)], "event_id string, summary string, evidence string, timestamp string")
+    ledgers.hook_sink(f"{tmp_path}/hook", 4)(rows, 0)
+    kept, older = ({r.timestamp for r in spark.read.json(f"{tmp_path}/{n}").collect()} for n in ("hook", "hook-overflow"))
+    assert kept == {"3", "4", "5", "6"} and older == {"0", "1", "2"}
+
+
+def test_repeated_keys_and_like_files(spark):
+    from ledgerlens.functions.text import front_matter
+    from ledgerlens.operators.directives import discover
+
+    rows = spark.createDataFrame([("---\na: 1\nb: 2\na: 3\na: 3\n---\nx",), ("---\n---\n",), ("none",), (None,)], "t string")
+    assert [r[0] for r in rows.select(front_matter(F.col("t"))).collect()] == [{"b": "2", "a": "3"}, {}, {}, None]
+    files = spark.createDataFrame([("x/AGENTS.md", "same", None), ("y/AGENTS.md", "same", None), ("link/AGENTS.md", "same", "x/AGENTS.md"), ("z.md", "no", None)], "path string, document string, real_path string")
+    assert sorted(r.path for r in discover(files.drop("real_path")).collect()) == ["link/AGENTS.md", "x/AGENTS.md", "y/AGENTS.md"]
+    assert sorted(r.path for r in discover(files).collect()) == ["link/AGENTS.md", "y/AGENTS.md"]
+
+
+def test_fitness_counts_satisfaction_and_names(spark):
+    from ledgerlens.operators import lifecycle as L
+
+    registry = spark.createDataFrame([("c1", "Caching", ["cache", "Memo"], 3), ("c2", "Retry", ["memo"], 0)], "concept_id string, canonical_name string, aliases array<string>, evidence_count int")
+    sessions = [("success", None, ["c1"], ["CACHING", "memo"]), ("failure", 0.5, ["c2", "retry"], ["c2"]), ("failure", None, None, ["c2", "stranger"]), ("abandoned", 0.9, [], ["c1"])]
+    rows = spark.createDataFrame(sessions, "outcome string, goal_satisfaction double, retrieved_concepts array<string>, referenced_concepts array<string>")
+    named = L.resolve_lists(rows, registry, ["retrieved_concepts", "referenced_concepts"])
+    assert sorted(map(str, [r.referenced_concepts for r in named.collect()])) == ["['c1', 'c1']", "['c1']", "['c2', 'stranger']", "['c2']"]
+    got = {r.concept_id: (r.retrieved, r.referenced, r.succ, r.fail, r.fitness) for r in L.fitness(named, registry).collect()}
+    assert got["c1"] == (2, 2, 1, 0, 1.9)  # (1 + 0.9) / 1
+    assert got["c2"] == (2, 2, 0, 2, 0.25)  # (0.5 + 0) / 2
+    assert got["stranger"][:4] == (1, 1, 0, 1)
+
+
+def test_review_ends_by_fitness_alone(spark):
+    """Poor fitness holds a concept in review, whatever its evidence; high fitness lets it out."""
+    from ledgerlens.operators import lifecycle as L
+
+    e = spark.createDataFrame([("c", k, f"s{k}", "validation", "x") for k in range(8)] + [("d", 1, "s1", "decision", "")], "concept string, seq long, session_id string, event_type string, evidence string")
+    fit = lambda good, bad, score: spark.createDataFrame([("c", good, bad, score), ("d", good, bad, score)], "concept string, success int, failed int, score double")
+    status = lambda f: {r.concept: r.s.status for r in L.replay(e, f).collect()}
+    assert status(fit(0, 5, 0.1)) == {"c": "needs_review", "d": "needs_review"}
+    assert status(fit(0, 3, 0.1)) == {"c": "needs_review", "d": "needs_review"}  # it is held from its first event on
+    assert status(fit(0, 2, 0.1)) == {"c": "canonical", "d": "candidate"}
+    assert status(fit(2, 0, 1.0)) == {"c": "canonical", "d": "candidate"}  # without evidence fitness promotes nothing

@@ -296,7 +296,7 @@ def test_skills(spark):
 
 def test_directives(spark):
     doc = "---\nalways_on: true\ntriggers: [paint]\n---\nintro\n## Big Rules\n- [x] You must never delete src/*.py files\n```\n- never in code here\n```\n1. short\nplates should be red always"
-    files = spark.createDataFrame([("a/AGENTS.md", doc), ("b/AGENTS.md", doc), ("x.md", doc), ("r/rules/z.md", "- do not touch this thing")], "path string, document string")
+    files = spark.createDataFrame([("a/AGENTS.md", doc, None), ("b/AGENTS.md", doc, "a/AGENTS.md"), ("x.md", doc, None), ("r/rules/z.md", "- do not touch this thing", None)], "path string, document string, real_path string")
     assert rows(D.discover(files).select("path"), "path") == [("a/AGENTS.md",), ("r/rules/z.md",)]
     got = rows(D.parse(D.discover(files)).select("path", "line_no", "title", "rule", "scope", "priority", "globs", "always_on"), "path", "line_no")
     assert got == [("a/AGENTS.md", 7, "Big Rules", "You must never delete src/*.py files", "big_rules", "critical", ["src/*.py"], True), ("a/AGENTS.md", 12, "Big Rules", "plates should be red always", "big_rules", "normal", [], True), ("r/rules/z.md", 1, "General", "do not touch this thing", "general", "normal", [], False)]
