@@ -20,25 +20,35 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & finite & F.exists(v, lambda c: c != 0)
 
 
+def main_length(vectors: DataFrame, vector: str) -> int:
+    """The most frequent length of usable vectors, the shorter of two; 0 without any."""
+    most = vectors.where(usable(vector)).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").head()
+    return most["d"] if most else 0
+
+
 def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in values]) if len(values) else np.zeros((0, 0))
 
 
 def build_shards(vectors: DataFrame, shard_rows: int = SHARD, degree: int = 40, width: int = 80) -> DataFrame:
-    """(shard, vec_id, embedding, node, entry, nbrs) of all usable vectors, written out.
+    """(shard, row, vec_id, embedding, node, entry, nbrs) of all usable vectors, written out.
 
     Shards hold about ``shard_rows`` vectors, dealt by a hash of vec_id. Inner products become
     distances by one more component, which brings all vectors to one length. Equal vectors
-    of a shard are one node; rows that repeat a vec_id count once.
+    of a shard are one node; every row has a number of its own, so rows that repeat a vec_id each count.
+    Rows without vec_id, and vectors of another length than most have, take no part; other
+    columns are ignored, and an empty table has no shards.
     """
-    good = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    fits = F.col("vec_id").isNotNull() & usable("embedding") & (F.size("embedding") == main_length(vectors, "embedding"))
+    good = vectors.where(fits).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    good = materialize(good, "vectors")
     square = F.aggregate("embedding", F.lit(0.0), lambda s, c: s + c * c)
     n, most = good.agg(F.count("*"), F.max(square)).head()
     shards = max(1, -(-n // shard_rows))
     top = most or 0.0
 
     def graph(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_k=[tuple(v) for v in rows["embedding"]]).sort_values(["vec_id", "_k"]).drop_duplicates("vec_id").reset_index(drop=True)
+        rows = rows.sort_values(["vec_id", "row"]).reset_index(drop=True)
         x = _matrix(rows["embedding"])
         nodes, node = np.unique(x, axis=0, return_inverse=True)
         node = node.ravel()
@@ -46,10 +56,10 @@ def build_shards(vectors: DataFrame, shard_rows: int = SHARD, degree: int = 40,
         links, entry = build(np.column_stack([nodes, far]).astype(np.float32), degree, width)
         first = np.zeros(len(rows), bool)
         first[np.unique(node, return_index=True)[1]] = True
-        return pd.DataFrame({"shard": rows["shard"], "vec_id": rows["vec_id"], "embedding": rows["embedding"], "node": node, "entry": entry, "nbrs": [links[k][links[k] >= 0].tolist() if f else [] for k, f in zip(node, first, strict=True)]})
+        return pd.DataFrame({"shard": rows["shard"], "row": rows["row"], "vec_id": rows["vec_id"], "embedding": rows["embedding"], "node": node, "entry": entry, "nbrs": [links[k][links[k] >= 0].tolist() if f else [] for k, f in zip(node, first, strict=True)]})
 
     dealt = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return materialize(dealt.groupBy("shard").applyInPandas(graph, "shard int, vec_id long, embedding array<double>, node int, entry int, nbrs array<int>"), "graphs")
+    return materialize(dealt.groupBy("shard").applyInPandas(graph, "shard int, row long, vec_id long, embedding array<double>, node int, entry int, nbrs array<int>"), "graphs")
 
 
 def search(graphs: DataFrame, query_where: Column, k: int = 20, width: int = 80, block_rows: int = BLOCK) -> DataFrame:
@@ -57,7 +67,8 @@ def search(graphs: DataFrame, query_where: Column, k: int = 20, width: int = 80,
     others of largest inner product that beam searches of all shards find.
 
     Queries go in blocks of about ``block_rows``, each with every shard, so a task holds one
-    shard and one block. Of equal vectors the least vec_ids count.
+    shard and one block. Of equal vectors the least vec_ids count. A row is no candidate of its own;
+    others of its vec_id are, and each row of a repeated query id has its k.
     """
     queries = graphs.where(query_where)
     blocks = max(1, -(-queries.count() // block_rows))
@@ -68,12 +79,12 @@ def search(graphs: DataFrame, query_where: Column, k: int = 20, width: int = 80,
     asked = asked.withColumn("ask", F.lit(True)).withColumn("nbrs", F.array().cast("array<int>"))
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        none = pd.DataFrame({"asked": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         own, ask = rows[~rows["ask"]], rows[rows["ask"]]
         if not len(own) or not len(ask):
             return none
-        own = own.sort_values(["node", "vec_id"]).reset_index(drop=True)
-        x, q, ids = _matrix(own["embedding"]), _matrix(ask["embedding"]), own["vec_id"].to_numpy()
+        own = own.sort_values(["node", "vec_id", "row"]).reset_index(drop=True)
+        x, q, ids, places = _matrix(own["embedding"]), _matrix(ask["embedding"]), own["vec_id"].to_numpy(), own["row"].to_numpy()
         node = own["node"].to_numpy()
         begin = np.flatnonzero(np.diff(node, prepend=-1))
         count = np.diff(np.append(begin, len(node)))
@@ -87,14 +98,14 @@ def search(graphs: DataFrame, query_where: Column, k: int = 20, width: int = 80,
         norms = np.einsum("ij,ij->i", z, z)
         out = []
         for a in range(0, len(q), 512):
-            part, who = q[a : a + 512], ask["vec_id"].to_numpy()[a : a + 512]
+            part, who, asked_by = q[a : a + 512], ask["vec_id"].to_numpy()[a : a + 512], ask["row"].to_numpy()[a : a + 512]
             beam, _, _ = beam_search(z, norms, links, int(own["entry"].iloc[0]), np.column_stack([part, np.zeros(len(part))]).astype(np.float32), min(width, max(len(z), k)))
             r, c = np.nonzero(beam >= 0)
             found = beam[r, c]
             times = np.minimum(count[found], k + 1)  # the least vec_ids of a node's equal vectors
             step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             row, at = np.repeat(r, times), np.repeat(begin[found], times) + step
-            ok = ids[at] != who[row]
+            ok = places[at] != asked_by[row]
             row, at = row[ok], at[ok]
             score = np.einsum("ij,ij->i", x[at], part[row])
             order = np.lexsort((ids[at], -score, row))
@@ -102,11 +113,11 @@ def search(graphs: DataFrame, query_where: Column, k: int = 20, width: int = 80,
             n = np.bincount(row, minlength=len(part))
             rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             keep = rank < k
-            out.append(pd.DataFrame({"query_id": who[row[keep]], "vec_id": ids[at[keep]], "score": score[keep]}))
+            out.append(pd.DataFrame({"asked": asked_by[row[keep]], "query_id": who[row[keep]], "vec_id": ids[at[keep]], "score": score[keep]}))
         return pd.concat(out) if out else none
 
-    found = members.unionByName(asked).groupBy("shard", "block").applyInPandas(find, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = members.unionByName(asked).groupBy("shard", "block").applyInPandas(find, "asked long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

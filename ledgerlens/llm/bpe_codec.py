@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,18 +153,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """(id, ids array<int>, decoded string) per row; with ``digests``, (id, n_tokens,
     ids_sha256, decoded_sha256) in their place.
 
-    Null texts are empty: no ids, an empty decoding. Repeated rows and ids give a row
-    each, other columns are ignored, an empty table gives no rows. Nothing is shuffled:
+    Null texts are empty: no ids, an empty decoding. Very long texts are encoded whole. Repeated rows and ids give a row
+    each, null ids stay null, other columns are ignored, an empty table gives no rows. Nothing is shuffled:
     a worker's store of chunks is bounded and may forget, which costs encoding again and
     never changes a result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = chunk_codec(tokenizer_path)
         for b in batches:
-            keys, texts = b["_id"], b["_text"].tolist()
+            texts = b.column(1).to_pylist()
             for s in by_bytes(texts, 1 << 20):
                 rows = []
                 for ids in codec.encode([t or "" for t in texts[s]]):
@@ -174,13 +174,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                         rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
                     else:
                         rows.append((ids.tolist(), text))
-                out = pd.DataFrame(rows, columns=names)
-                out.insert(0, id_col, keys[s].to_numpy())
-                yield out
+                found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), *found], names=[id_col, *names])
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
+    types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInPandas(run, f"`{id_col}` {kind}, {kinds}")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {kinds}")
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

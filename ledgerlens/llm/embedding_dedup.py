@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ann_search import usable
+from .ann_search import main_length, usable
 from .graphs import beam_search, distances, medoid, robust_prune, unseen
 from .setjoin import components
 from .shared import bounded_sample, materialize
@@ -250,13 +250,13 @@ def _range_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, entry: in
 def near_duplicates(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Vectors that are null, zero or have null or non-finite components, and rows without a
-    label, link with nothing. Equal vectors of a label are one node with a weight and link
+    Vectors that are null, zero, of another length than most have or with null or non-finite
+    components, and rows without a label, link with nothing. Equal vectors of a label are one node with a weight and link
     with one another; a row that repeats a vec_id counts as a vector of its own. A null
     vec_id is a row with null ids. Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<double>"))
-    good = F.col("label").isNotNull() & usable("embedding") & F.col("vec_id").isNotNull()
+    good = F.col("label").isNotNull() & usable("embedding") & F.col("vec_id").isNotNull() & (F.size("embedding") == main_length(rows, "embedding"))
     nodes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
     # a vec_id may stand for several vectors: nodes are told apart by their content
     nodes = nodes.withColumn("node", F.xxhash64("label", "embedding", "first"))

@@ -20,15 +20,17 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches
+from .shared import materialize, small_batches, with_columns
 
 # Fixed vocabularies of HTML.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_NO_TEXT = frozenset("applet audio base button canvas col datalist embed head iframe input link map math meta noembed noframes noscript object option param script select source style svg template textarea title track video".split())
+_NO_TEXT = frozenset("applet audio base button canvas col datalist embed head iframe input link meta noembed noframes noscript option param script select source style svg template textarea title track video".split())
+_RAW = frozenset("script style template textarea title iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
@@ -50,8 +52,10 @@ _SPACE = re.compile(r"\s+")
 class Page(HTMLParser):
     """The blocks of a page in order, each with its style path: (path, text, linked characters)."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, shown: dict[str, int] | None = None):
+        """shown: hiding tags that hide nothing, each from the start of which number on, because nothing closes it."""
         super().__init__(convert_charrefs=True)
+        self.shown, self.starts, self.within = shown or {}, 0, Counter()
         self.open: list[str] = []
         self.styles: list[str] = []
         self.children: dict[str, list[str]] = {}
@@ -83,6 +87,7 @@ class Page(HTMLParser):
             self.hidden = ""
         if self.hidden:
             self.depth += tag == self.hidden
+            self.within[tag] += tag not in _VOID
             return
         if tag in ("html", "body"):
             self.flush()
@@ -92,7 +97,10 @@ class Page(HTMLParser):
             return
         if tag in _NO_TEXT:
             if tag not in _VOID:
-                self.hidden, self.depth = tag, 1
+                self.starts += 1
+                if self.starts < self.shown.get(tag, 1 << 62):
+                    self.hidden, self.depth = tag, 1
+                    self.within.clear()
             return
         if tag in _INLINE:
             if tag == "a" and (to := dict(attrs).get("href")):
@@ -127,6 +135,11 @@ class Page(HTMLParser):
                 self.hidden = self.hidden if self.depth else ""
             elif tag in ("head", "body", "html"):
                 self.hidden = ""
+            elif self.within[tag] > 0:
+                self.within[tag] -= 1
+            elif tag in self.open and tag not in _INLINE:  # what encloses the hidden part ends, and ends it too
+                self.hidden = ""
+                self.handle_endtag(tag)
         elif tag in ("html", "body"):
             self.pop_to(0)
         elif tag in self.open:
@@ -140,6 +153,17 @@ class Page(HTMLParser):
         pass
 
 
+def parse(html: str) -> Page:
+    """A page. If a tag that hides its content is never closed, it and those of its kind after it hide nothing, but for tags
+    whose content browsers take for raw text. A page is read once more for each such kind."""
+    shown: dict[str, int] = {}
+    while True:
+        page = Page(html, shown)
+        if page.hidden in ("", "head", *_RAW):
+            return page
+        shown[page.hidden] = page.starts
+
+
 def host_of(url: pd.Series) -> pd.Series:
     return url.fillna("").str.extract(r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", expand=False).fillna("").str.lower()
 
@@ -154,7 +178,7 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for host, html in zip(host_of(b["url"]), b["html"], strict=True):
-            page = Page(html or "")
+            page = parse(html or "")
             found = {(path, 1, xxhash.xxh64_intdigest(",".join(c)) >> 1): 0 for path, c in page.children.items()}
             found |= {(path, 2, xxhash.xxh64_intdigest(x) >> 1): 0 for path, x in page.targets}
             found |= {(path, 2, xxhash.xxh64_intdigest(x) >> 1): len(x) for path, x in page.blocks}
@@ -259,7 +283,7 @@ def main_text(html: str, low: set[str], beside: set[str]) -> str:
             path = path.rpartition("/")[0]
         return path
 
-    blocks = [(path, text) for path, text in Page(html).blocks if not top(path, low)]
+    blocks = [(path, text) for path, text in parse(html).blocks if not top(path, low)]
     size: Counter[str] = Counter()
     for path, text in blocks:
         size[top(path, beside)] += len(text)
@@ -273,7 +297,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Character references are decoded; white space inside a block becomes one space; blocks
     are joined in page order by a newline. Null and empty html give an empty text; a null or
     odd url gives a page the tree of all hosts alone; broken markup is closed as browsers do
-    (a head ends at the first tag that cannot stand in it); null ids stay null; repeated rows
+    (a head ends at the first tag that cannot stand in it, a form control or drawing with what
+    encloses it), and a control or drawing that nothing closes hides nothing; null ids stay null; repeated rows
     and ids give a row each, and copies of a page count once in the tree; very long pages are
     read whole, a batch of few pages at a time; an empty table gives no rows; extra columns
     are ignored.
@@ -283,13 +308,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(tops, "host", "left").select("page_id", "url", "html", "low", "beside")
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        as_set = lambda x: set() if x is None else set(x)
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(html or "", as_set(low), as_set(beside)) for html, low, beside in zip(b["html"], b["low"], b["beside"], strict=True)]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            texts = [main_text(html or "", set(low or ()), set(beside or ())) for html, low, beside in zip(*[b.column(c).to_pylist() for c in ("html", "low", "beside")], strict=True)]
+            yield with_columns(b, slice(0, b.num_rows), ("page_id", "url"), text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
 
-    return rows.mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

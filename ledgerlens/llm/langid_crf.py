@@ -7,11 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, by_bytes, mix, small_batches, worker_state
+from .shared import bounded_sample, by_bytes, mix, small_batches, with_columns, worker_state
 
 _WORD = re.compile(r"[^\W\d_]+")
 DIMS = 1 << 16
@@ -307,24 +307,22 @@ def identify(docs: DataFrame, crf: WordCrf, keep: tuple[str, ...] = ("doc_id",))
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker_state(("crf", key), lambda: Labeller(crf))
         for b in batches:
-            texts = b[text].tolist()
+            texts = b.column(text).to_pylist()
             for s in by_bytes(texts, 1 << 19):
-                out = b.loc[b.index[s], list(keep)].reset_index(drop=True)
-                share = own.shares(texts[s]) if crf.labels else np.zeros((len(out), 1))
+                share = own.shares(texts[s]) if crf.labels else np.zeros((len(texts[s]), 1))
                 best = share.argmax(1)
                 ok = np.array([has_letter(t) for t in texts[s]], bool) & (share.max(1) > 0)
-                out["lang_pred"] = [crf.labels[k] if y else UNKNOWN for k, y in zip(best, ok, strict=True)]
-                out["score"] = np.where(ok, np.minimum(share.max(1), 1.0), 0.0)
-                yield out
+                found = [crf.labels[k] if y else UNKNOWN for k, y in zip(best, ok, strict=True)]
+                yield with_columns(b, s, keep, lang_pred=pa.array(found, pa.string()), score=pa.array(np.where(ok, np.minimum(share.max(1), 1.0), 0.0)))
 
     key = uuid.uuid4().hex
     small_batches(docs.sparkSession)
     text = "text" if "text" in keep else "_text"
     rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

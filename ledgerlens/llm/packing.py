@@ -6,11 +6,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, materialize, small_batches
+from .shared import by_bytes, materialize, small_batches, with_columns
 from .wordbpe import word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -89,7 +89,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     """The pieces of every document: its ids, then end_id, cut only beyond capacity.
     ``nth`` numbers the pieces of one length within ``part``, a task of the scan."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
@@ -97,7 +97,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
         seen = np.zeros(capacity + 1, np.int64)
         step = 4 * capacity
         for b in batches:
-            ids, texts = b["doc_id"].to_numpy(), b["text"].tolist()
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows = []
             for s in by_bytes(texts, 1 << 19):
                 for doc, data in zip(ids[s], encoder.encode([t or "" for t in texts[s]]), strict=True):
@@ -107,16 +107,18 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
                         n = len(own) // 4
                         rows.append((doc, piece, at // 4, n, zlib.crc32(own), part, seen[n]))
                         seen[n] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            if rows:
+                kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "part": pa.int32(), "nth": pa.int64()}
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts count as empty (one piece that holds end_id alone); rows that repeat a
-    doc_id are packed each; other columns are ignored; an empty table gives no rows.
+    doc_id, or have none, are packed each; very long texts are cut to pieces of the capacity; other columns are ignored; an empty table gives no rows.
     Bins depend on the lengths only, so the driver plans them from the number of pieces
     of each length, at most ``capacity`` rows whatever the input. A piece finds its place
     by its number among the pieces of its length: its number within its task plus the
@@ -133,22 +135,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     starts = per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     placed = pieces.join(starts, ["part", "length"])
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, begin, first, _, uses, offset = table
         edges = np.searchsorted(n, np.arange(capacity + 2))
         for b in batches:
-            length, rank = b["length"].to_numpy(), (b["nth"] + b["before"]).to_numpy()
-            at = np.zeros(len(b), np.int64)
+            length, rank = b.column("length").to_numpy(), b.column("nth").to_numpy() + b.column("before").to_numpy()
+            at = np.zeros(b.num_rows, np.int64)
             for own in np.unique(length):
                 rows, lo, hi = length == own, edges[own], edges[own + 1]
                 at[rows] = lo + np.searchsorted(begin[lo:hi], rank[rows], "right") - 1
             k = rank - begin[at]
-            out = b[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
-            out["sequence_id"] = first[at] + k // uses[at]
-            out["offset"] = offset[at] + k % uses[at] * length
-            yield out
+            yield with_columns(b, slice(0, b.num_rows), ("doc_id", "piece", "start", "length", "ids_crc32"), sequence_id=pa.array(first[at] + k // uses[at]), offset=pa.array(offset[at] + k % uses[at] * length))
 
-    return placed.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op4_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

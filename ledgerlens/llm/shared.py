@@ -14,10 +14,11 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +123,12 @@ def by_bytes(texts: list, budget: int) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def with_columns(batch: pa.RecordBatch, rows: slice, keep: Iterable[str], **new: pa.Array) -> pa.RecordBatch:
+    """Rows of a batch with the columns ``keep`` as they are, nulls and whole numbers too, and new ones."""
+    part = batch.slice(rows.start, rows.stop - rows.start)
+    return pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *new.values()], names=[*keep, *new])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)

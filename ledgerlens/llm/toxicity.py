@@ -8,12 +8,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid_crf import words_of
-from .shared import bounded_sample, by_bytes, small_batches, worker_state
+from .shared import bounded_sample, by_bytes, small_batches, with_columns, worker_state
 
 # Terms that name a group. Within a row they can stand for each other.
 IDENTITY_TERMS = (
@@ -197,20 +197,18 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
     key = uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker_state(("toxicity", key), lambda: Scorer(model))
         for b in batches:
-            texts = b[text].tolist()
+            texts = b.column(text).to_pylist()
             for s in by_bytes(texts, 1 << 20):
-                out = b.loc[b.index[s], list(keep)].reset_index(drop=True)
-                out["score"] = own.score(texts[s])
-                out["predicted"] = (out["score"] >= 0.5).astype("int32")
-                yield out
+                score = np.asarray(own.score(texts[s]), np.float64)
+                yield with_columns(b, s, keep, score=pa.array(score), predicted=pa.array((score >= 0.5).astype(np.int32)))
 
     small_batches(docs.sparkSession)
     text = "text" if "text" in keep else "_text"
     rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
