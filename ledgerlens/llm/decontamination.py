@@ -13,7 +13,6 @@ everything beyond ASCII. Words are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-import hashlib
 import io
 import json
 import uuid

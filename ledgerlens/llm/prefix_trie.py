@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .shared import drop_table, materialize, small_batches
 
-BLOCK_ROWS = 1 << 16  # turns of a path, or ids of a list, that meet in one group
+BLOCK_ROWS = 1 << 16  # turns of a path that meet in one group
+ID_RANGE = 1 << 12  # ids of a list that meet in one row
 HEAD, FAMILY = 6, 100
 KEY = ["depth", "x", "y"]
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -98,12 +99,12 @@ def prefixes(paths: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame,
     return full, edge.select("conv", "blk")
 
 
-def ends_digests(ends: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def ends_digests(ends: DataFrame, id_range: int = ID_RANGE) -> DataFrame:
     """(KEY, ends_sha256) over (KEY, conv): the digest of each node's conversations that end
     there. Ids are distinct, so a range of them has a bounded number; a node's ranges stream through its digest."""
-    small_batches(ends.sparkSession, 64)
+    small_batches(ends.sparkSession)
     ids = F.array_join(F.array_sort(F.collect_list("conv")), ",")
-    ranges = ends.groupBy(*KEY, F.floor(F.col("conv") / block_rows).alias("range")).agg(ids.alias("ids"))
+    ranges = ends.groupBy(*KEY, F.floor(F.col("conv") / id_range).alias("range")).agg(ids.alias("ids"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, h, out = None, None, []
@@ -171,7 +172,7 @@ def prefix_trie(conversations: DataFrame, block_rows: int = BLOCK_ROWS) -> DataF
     )
     nodes = materialize(nodes, "nodes")
     parents = _owner_of_parent(marked.where("depth = d0 - 1").select(*KEY, "conv"), nodes)
-    ends = ends_digests(marked.where("depth = len").select(*KEY, "conv"), block_rows)
+    ends = ends_digests(marked.where("depth = len").select(*KEY, "conv"), min(block_rows, ID_RANGE))
     out = nodes.join(ends, KEY, "left").join(parents.withColumnRenamed("conv", "conv_id"), ["conv_id", "depth"], "left")
     return out.select(
         "conv_id",
