@@ -76,6 +76,22 @@ def of_concept(candidates: Column, name: str) -> Column:
     return F.exists(candidates, lambda c: slug(c) == slug(F.lit(name)))
 
 
+def unassigned(events: DataFrame) -> DataFrame:
+    """Events that no concept is named for."""
+    return events.where(F.coalesce(F.size("concept_candidates"), F.lit(-1)) <= 0)
+
+
+def evidence_of(candidates: DataFrame, events: DataFrame, most: int = 5) -> DataFrame:
+    """(candidate, n_found, evidence) of candidates (candidate, source_event_ids): how many of their events are there, and the
+    evidence of the first ``most`` by seq. Ids that repeat count once; candidates without any have 0 and an empty list."""
+    ids = candidates.select("candidate", F.explode(F.array_distinct("source_event_ids")).alias("event_id"))
+    last = events.groupBy("event_id").agg(F.max_by(F.struct("seq", "evidence"), "seq").alias("e"))
+    found = ids.join(last, "event_id").select("candidate", "e.*")
+    first = found.withColumn("_r", F.row_number().over(Window.partitionBy("candidate").orderBy("seq"))).groupBy("candidate").agg(F.count("*").alias("n_found"), F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.struct("seq", "evidence")))).alias("_e"))
+    out = candidates.select("candidate").join(first, "candidate", "left")
+    return out.select("candidate", F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce(F.transform("_e", lambda x: x["evidence"]), F.array().cast("array<string>")).alias("evidence"))
+
+
 def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by a total order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

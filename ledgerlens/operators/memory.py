@@ -208,6 +208,13 @@ def rerank(rows: DataFrame, targets: Targets, typed: str | None = None) -> DataF
     return settle(rows, {"final_score": final}).drop("_path", "_file", "_stem", "_phrase", "_rule", "_ids", "_topic", "_semantic", "_active", "_exact", "_signal")
 
 
+def with_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Candidates (concept_id, ...) with status, confidence and evidence of their concept in the registry (concept_id, status,
+    confidence, evidence), by which ``rerank`` scales their score; null, and not scaled, without one."""
+    known = registry.groupBy("concept_id").agg(F.max(F.struct("status", "confidence", "evidence")).alias("_c")).select("concept_id", "_c.*")
+    return rows.drop("status", "confidence", "evidence").join(known, "concept_id", "left")
+
+
 def order() -> list[Column]:
     """O1: the order of results: score, base, then among equals those without an exact hit, decisions and failures,
     those without signals, logs by their penalty, ids."""

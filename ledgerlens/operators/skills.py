@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import as_list, front_matter, section, slug
+from ..functions.text import as_list, front_matter, normalize, section, slug
 
 # Words that open a trigger or a behaviour, and the states of a skill.
 TRIGGER_WORDS, BEHAVIOR_WORDS = "when|if|during|whenever|upon", "should|must|recommend|always|start with|ensure|avoid|prefer"
@@ -46,27 +46,64 @@ def evidence_outcomes(events: DataFrame, outcomes: DataFrame) -> DataFrame:
     return same.unionByName(dated)
 
 
-def candidates(concepts: DataFrame, events: DataFrame, outcomes: DataFrame, taken: DataFrame | None = None, limit: int = 10, strict: bool = True) -> DataFrame:
-    """Concepts (concept, title, confidence) that their events make a skill: three pieces
-    of evidence, confidence 3 and, if strict, one success among their outcomes, a trigger and a
-    behaviour. The last row of an event id counts (D-9). Skills in ``taken`` (slug, evidence
-    array) hold back candidates of their slug or of half their evidence. The strongest first."""
+def evidence_counts(events: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(concept, n_pairs, n_success): how many pairs ``evidence_outcomes`` has for each concept, and how many of them
+    with a success. Events and outcomes of a day are counted before they meet, so a day with very many of
+    both costs no more than its rows."""
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    won = F.when(F.col("outcome") == "success", 1).otherwise(0)
+    e = events.select("concept", "event_id", "session_id", "day").dropDuplicates(["concept", "event_id"])
+    named = outcomes.where(has("session_id")).select("session_id", F.explode(F.array_distinct("concepts")).alias("concept"), won.alias("w"))
+    named = named.groupBy("session_id", "concept").agg(F.count("*").alias("o"), F.sum("w").alias("w"))
+    same = e.where(has("session_id")).groupBy("session_id", "concept").agg(F.count("*").alias("n")).join(named, ["session_id", "concept"])
+    same = same.select("concept", (F.col("n") * F.col("o")).alias("n_pairs"), (F.col("n") * F.col("w")).alias("n_success"))
+    days = outcomes.where(has("day")).groupBy("day").agg(F.count("*").alias("o"), F.sum(won).alias("w"), F.count_if(~has("session_id")).alias("bare_o"), F.sum(F.when(~has("session_id"), won).otherwise(0)).alias("bare_w"))
+    mine = e.where(has("day")).groupBy("concept", "day").agg(F.count_if(~has("session_id")).alias("bare"), F.count_if(has("session_id")).alias("held")).join(days, "day")
+    dated = mine.select("concept", (F.col("bare") * F.col("o") + F.col("held") * F.col("bare_o")).alias("n_pairs"), (F.col("bare") * F.col("w") + F.col("held") * F.col("bare_w")).alias("n_success"))
+    return same.unionByName(dated).groupBy("concept").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_success").alias("n_success")).where("n_pairs > 0")
+
+
+# Where skills come from, and what the two ways ask for.
+SKILL_SOURCES = ["chat", "chat-fallback", "agent_structured"]
+STRICT = {"events": 2, "successes": 1, "trigger": 8, "behavior": 12}
+RELAXED = {"summary": 21, "trigger": 4, "behavior": 6}
+
+
+def candidates(concepts: DataFrame, events: DataFrame, outcomes: DataFrame, taken: DataFrame | None = None, limit: int = 10, relaxed: bool = True) -> DataFrame:
+    """Concepts (concept, title, and status) that their events make a skill. Events of other sources than SKILL_SOURCES
+    don't count, where they have one; the last row of an event id counts (D-9).
+
+    Strictly: two events, one success among their outcomes, a trigger of 8 and a behaviour of 12 characters;
+    confidence high from three events on, else medium. Concepts that fail this and are candidates or
+    emerging may come with low confidence (``relaxed``): one event with a summary of over 20 characters, whose texts
+    give a trigger of 4 and a behaviour of 6. Skills in ``taken`` (slug, evidence array, and fingerprint) hold back candidates of their
+    slug, of half their evidence or of their fingerprint, the normalised trigger and behaviour. The strongest first.
+    """
+    if "source" in events.columns:
+        events = events.where(F.col("source").isin(SKILL_SOURCES))
     last = events.groupBy("concept", "event_id").agg(F.max_by(F.struct("summary", "evidence", "session_id", "day", "seq"), "seq").alias("r")).select("concept", "event_id", "r.*")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "summary", "evidence"))), lambda x: F.concat_ws(". ", x["summary"], x["evidence"]))
-    found = last.groupBy("concept").agg(texts.alias("texts"), F.sort_array(F.collect_list("event_id")).alias("ids"))
-    wins = evidence_outcomes(last, outcomes).where("outcome = 'success'").groupBy("concept").agg(F.count("*").alias("n_success"))
-    rows = concepts.join(found, "concept").join(wins, "concept", "left").select("concept", slug(F.col("title")).alias("slug"), "title", "confidence", "ids", F.size("ids").cast("long").alias("n_events"), F.coalesce("n_success", F.lit(0)).alias("n_success"), trigger(F.col("texts")).alias("trigger"), behavior(F.col("texts")).alias("behavior"))
-    rows = rows.where((F.col("n_events") >= 3) & (F.col("confidence") >= 3))
-    if strict:
-        rows = rows.where("n_success >= 1 AND trigger != '' AND behavior != ''")
-    rows = rows.withColumn("fingerprint", F.sha2(F.concat_ws("|", "slug", "ids"), 256))
+    texts = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("seq", "summary", "evidence")))), lambda x: F.concat_ws(". ", x["summary"], x["evidence"]))
+    told = F.coalesce(F.length("summary"), F.lit(0)) >= RELAXED["summary"]
+    found = last.groupBy("concept").agg(texts(F.lit(True)).alias("_all"), texts(told).alias("_told"), F.sort_array(F.collect_list("event_id")).alias("_ids"), F.sort_array(F.collect_list(F.when(told, F.col("event_id")))).alias("_told_ids"))
+    wins = evidence_counts(last, outcomes).select("concept", "n_success")
+    rows = concepts.join(found, "concept").join(wins, "concept", "left").withColumn("n_success", F.coalesce("n_success", F.lit(0)))
+    rows = rows.withColumns({"_t": trigger(F.col("_all")), "_b": behavior(F.col("_all")), "_rt": trigger(F.col("_told")), "_rb": behavior(F.col("_told"))})
+    strict = (F.size("_ids") >= STRICT["events"]) & (F.col("n_success") >= STRICT["successes"]) & (F.length("_t") >= STRICT["trigger"]) & (F.length("_b") >= STRICT["behavior"])
+    loose = F.lit(relaxed) & (F.size("_told_ids") >= 1) & (F.length("_rt") >= RELAXED["trigger"]) & (F.length("_rb") >= RELAXED["behavior"])
+    loose = loose & F.col("status").isin("candidate", "emerging") if "status" in concepts.columns else F.lit(False)
+    rows = rows.withColumn("_strict", strict).where(F.col("_strict") | loose)
+    pick = lambda a, b: F.when(F.col("_strict"), F.col(a)).otherwise(F.col(b))
+    rows = rows.select("concept", slug(F.col("title")).alias("slug"), "title", F.col("_ids").alias("ids"), pick("_ids", "_told_ids").alias("_own"), F.size("_ids").cast("long").alias("n_events"), "n_success", pick("_t", "_rt").alias("trigger"), pick("_b", "_rb").alias("behavior"), F.when(~F.col("_strict"), "low").when(F.size("_ids") >= 3, "high").otherwise("medium").alias("confidence"))
+    rows = rows.withColumn("fingerprint", normalize(F.concat("trigger", "behavior")))
     if taken is not None:
         rows = rows.join(taken.select("slug").distinct(), "slug", "left_anti")
-        old = taken.select(F.col("slug").alias("_t"), F.explode("evidence").alias("_e")).distinct()
-        mine = rows.select("slug", "n_events", F.explode("ids").alias("_e"))
-        half = mine.join(old, "_e").groupBy("slug", "n_events", "_t").agg(F.count("*").alias("c")).where("2 * c >= n_events").select("slug").distinct()
+        if "fingerprint" in taken.columns:
+            rows = rows.join(taken.where("fingerprint IS NOT NULL").select("fingerprint").distinct(), "fingerprint", "left_anti")
+        old = taken.select(F.col("slug").alias("_s"), F.explode("evidence").alias("_e")).distinct()
+        mine = rows.select("slug", F.size("_own").alias("_n"), F.explode("_own").alias("_e"))
+        half = mine.join(old, "_e").groupBy("slug", "_n", "_s").agg(F.count("*").alias("c")).where("2 * c >= _n").select("slug").distinct()
         rows = rows.join(half, "slug", "left_anti")
-    return rows.orderBy(F.desc("n_success"), F.desc("n_events"), "slug").limit(limit)
+    return rows.drop("_own").orderBy(F.desc("n_success"), F.desc("n_events"), "slug").limit(limit)
 
 
 def may_become(old: Column, new: Column) -> Column:

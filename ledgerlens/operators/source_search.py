@@ -204,8 +204,8 @@ def search_status(chunks: DataFrame, results: DataFrame) -> str:
     return "no_relevant_source_results" if results.isEmpty() else "ok"
 
 
-def read_range(files: DataFrame, path: str, start: int, end: int, most_lines: int = 400, most_chars: int = 20_000, content_hash: str | None = None) -> DataFrame:
-    """(rel_path, start_line, end_line, body, warnings) of lines start to end of a file
+def read_range(files: DataFrame, path: str | None, start: int, end: int, most_lines: int = 400, most_chars: int = 20_000, content_hash: str | None = None) -> DataFrame:
+    """(rel_path, start_line, end_line, body, warnings) of lines start to end of a file, or of each if no path is named,
     (rel_path, document), cut at the caps with a warning, and warned of if its hash is
     another than the one that was indexed."""
     lines = F.split("document", "\n", -1)
@@ -217,4 +217,5 @@ def read_range(files: DataFrame, path: str, start: int, end: int, most_lines: in
         F.when(F.size(part) == 0, "out_of_range"),
         F.when(F.lit(content_hash is not None) & (F.sha2("document", 256) != F.lit(content_hash or "")), "stale_hash"),
     ))
-    return files.where(F.col("rel_path") == path).select("rel_path", F.lit(start).alias("start_line"), (F.lit(start - 1) + F.size(part)).alias("end_line"), F.substring(body, 1, most_chars).alias("body"), warnings.alias("warnings"))
+    found = files if path is None else files.where(F.col("rel_path") == path)
+    return found.select("rel_path", F.lit(start).alias("start_line"), (F.lit(start - 1) + F.size(part)).alias("end_line"), F.substring(body, 1, most_chars).alias("body"), warnings.alias("warnings"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
 from ..operators import events as E
+from ..operators import sessions as S
 from ..sources.tables import EVENTS_SQL, event_ledger, table
 from .registry import query
 
@@ -140,8 +140,7 @@ def report_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MARKED_SQL = "m AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '- [x] Decision: ' WHEN 'assistant' THEN '2. exp : ' ELSE 'note ' END || text AS line FROM conversations)"
-MARKER = r"(?i)^\s*(?:-\s*(?:\[[ xX/]\]\s*)?|[*]\s*(?:\[[ xX/]\]\s*)?|\d+\.\s*|\[[ xX/]\]\s*)?(observation|obs|decision|dec|outcome|out|hypothesis|hyp|experiment|exp|failure|fail|risk|validation|val)\s*:\s*([^\n]+)"
-FULL_NAME = {"obs": "observation", "dec": "decision", "out": "outcome", "hyp": "hypothesis", "exp": "experiment", "fail": "failure", "val": "validation"}
+MARKER = S.LEAD + "(" + "|".join(sorted(S.MARKS, key=len, reverse=True)) + r")\s*:\s*([^\n]+)"
 
 
 @query(
@@ -150,17 +149,13 @@ SELECT conv_id, turn, CASE t WHEN 'dec' THEN 'decision' WHEN 'exp' THEN 'experim
 )
 def marker_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that name what they are; bullets, check boxes and numbers before it."""
-    from ..sources.tables import mapped
-
     lead = F.when(F.col("role") == "user", "- [x] Decision: ").when(F.col("role") == "assistant", "2. exp : ").otherwise("note ")
-    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("line"))
-    t = F.lower(F.regexp_extract("line", MARKER, 1))
-    p = m.select("conv_id", "turn", F.coalesce(mapped(t, FULL_NAME), t).alias("event_type"), F.trim(F.regexp_extract("line", MARKER, 2)).alias("summary"))
-    return p.where("event_type != '' AND summary != ''")
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("text"))
+    return S.marked_lines(m).select("conv_id", "turn", "event_type", "summary")
 
 
-VERBS = {"fix": "fix", "fixed": "fix", "add": "addition", "added": "addition", "remove": "removal", "removed": "removal", "decide": "decision", "decided": "decision", "fail": "failure", "failed": "failure", "implement": "implementation", "implemented": "implementation", "refactor": "refactoring", "refactored": "refactoring", "migrate": "migration", "migrated": "migration", "validate": "validation", "validated": "validation"}
-VERB = r"(?i)^\s*(?:-\s*(?:\[[ xX/]\]\s*)?|[*]\s*(?:\[[ xX/]\]\s*)?|\d+\.\s*|\[[ xX/]\]\s*)?(" + "|".join(sorted(VERBS, key=len, reverse=True)) + r")\s+([^\n]+)"
+VERBS = S.VERBS
+VERB = S.LEAD + "(" + "|".join(sorted(VERBS, key=len, reverse=True)) + r")\s+([^\n]+)"
 
 
 @query(
@@ -170,21 +165,17 @@ SELECT conv_id, turn, CASE v {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VERB
 )
 def verb_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lines that begin with a verb of work."""
-    from ..sources.tables import mapped
-
     lead = F.when(F.col("role") == "user", "* Fixed ").when(F.col("role") == "assistant", "Decided ").otherwise("")
-    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("line"))
-    tail = F.regexp_replace(F.trim(F.regexp_extract("line", VERB, 2)), "[.!]+$", "")
-    p = m.select("conv_id", "turn", mapped(F.lower(F.regexp_extract("line", VERB, 1)), VERBS).alias("event_type"), F.substring(slug(tail), 1, 80).alias("concept"))
-    return p.where("event_type IS NOT NULL AND concept != ''")
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("text"))
+    return S.verb_lines(m).select("conv_id", "turn", "event_type", "concept")
 
 
 @query("SELECT conv_id, md5(string_agg(CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Agent: ' ELSE 'System: ' END || text, chr(10) ORDER BY turn)) AS digest, count(*) AS n_turns FROM conversations GROUP BY conv_id")
 def transcript_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S14"""
-    who = F.when(F.col("role") == "user", "User: ").when(F.col("role") == "assistant", "Agent: ").otherwise("System: ")
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat(who, "text").alias("line"))))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.md5(F.array_join("t.line", "\n")).alias("digest"), F.size("t").cast("long").alias("n_turns"))
+    turns = table(spark, sf_dir, "conversations")
+    n = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"))
+    return S.render(turns).join(n, "conv_id").select("conv_id", F.md5("text").alias("digest"), "n_turns")
 
 
 @query(

@@ -136,3 +136,26 @@ def hybrid_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dense.join(index.sparse_scores(text), "chunk_id", "left")
     score = ranking.blend(F.col("dense"), F.coalesce("sparse", F.lit(0.0)), F.lit(1.0), ranking.importance(F.lit("medium")))
     return ranking.top_k(rows.select("chunk_id", F.round("dense", 6).alias("dense"), F.round(score, 6).alias("score")), 25, F.desc("score"), F.asc("chunk_id"))
+
+
+@query(
+    rf"""WITH {EVENTS_SQL}, e AS (SELECT event_id, CASE WHEN seq % 9 = 0 THEN '' WHEN seq % 2 = 0 THEN (SELECT p_name FROM part WHERE p_partkey = seq % 10) ELSE 'note ' || seq || ' on ' || concept END AS t FROM ev WHERE seq % 3 = 0),
+x AS (SELECT p_partkey AS id, p_name AS t FROM part WHERE p_partkey < 40),
+es AS (SELECT event_id, unnest({slots_sql("t")}) AS s FROM e WHERE t <> ''), xs AS (SELECT id, unnest({slots_sql("t")}) AS s FROM x),
+ev1 AS (SELECT event_id, s.s AS s, sum(s.w) AS v FROM es GROUP BY ALL), xv AS (SELECT id, s.s AS s, sum(s.w) AS v FROM xs GROUP BY ALL),
+en AS (SELECT event_id, sqrt(sum(v * v)) AS n FROM ev1 GROUP BY ALL), xn AS (SELECT id, sqrt(sum(v * v)) AS n FROM xv GROUP BY ALL),
+d AS (SELECT event_id, xv.id, round(sum(ev1.v * xv.v) / max(en.n) / max(xn.n), 9) AS c FROM ev1 JOIN xv USING (s) JOIN en USING (event_id) JOIN xn ON xn.id = xv.id GROUP BY event_id, xv.id),
+b AS (SELECT event_id, max(c) AS c FROM d GROUP BY event_id)
+SELECT CASE WHEN t = '' THEN 'no_evidence' WHEN coalesce(c, 0) >= 0.75 THEN 'reassign' ELSE 'low_similarity' END AS state, count(*) AS n, round(sum(CASE WHEN c >= 0.75 THEN c ELSE 0 END), 4) AS score FROM e LEFT JOIN b USING (event_id) GROUP BY 1"""
+)
+def split_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a general concept, told apart by what their evidence is nearest to."""
+    from ..operators.reading import split_general as split
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("canonical_name"))
+    k = F.col("seq")
+    e = event_ledger(spark, sf_dir).where("seq % 3 = 0").withColumn("_p", k % 10)
+    named = e.join(F.broadcast(p.where("concept_id < 10").select(F.col("concept_id").alias("_p"), "canonical_name")), "_p", "left")
+    text = F.when(k % 9 == 0, "").when(k % 2 == 0, F.col("canonical_name")).otherwise(F.concat(F.lit("note "), k.cast("string"), F.lit(" on "), F.col("concept")))
+    found = split(named.select("event_id", text.alias("evidence")), p.where("concept_id < 40"), slot_embedder(64, SYNONYMS))
+    return found.groupBy("state").agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("score") >= 0.75, F.col("score")).otherwise(0.0)), 4).alias("score"))

@@ -16,7 +16,7 @@ from ..operators import sessions as S
 from ..operators import skills as K
 from ..operators import source_search as SS
 from ..sources.store import index_of
-from ..sources.tables import EVENTS_SQL, REGISTRY_SQL, concept_registry, event_ledger, outcome_ledger, table
+from ..sources.tables import EVENTS_SQL, REGISTRY_SQL, concept_registry, event_ledger, table
 from .registry import query
 from .retrieval import CHUNKS_SQL, _words, document_chunks
 from .routing import MEMORY_QUERY, RANK_ORDER, TYPE_SQL, ranked_sql
@@ -86,27 +86,48 @@ def staleness_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum("sessions_since"), F.lit(0)).cast("long").alias("sessions"))
 
 
+EVIDENCE_SQL = f"""{EVENTS_SQL}, e AS (SELECT DISTINCT concept, event_id, CASE WHEN seq % 4 = 0 THEN '' ELSE CAST(seq % 1500 + 1 AS VARCHAR) END AS s, CAST(seq % 50 AS VARCHAR) AS d, source FROM ev),
+o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS s, CAST(o_orderkey % 50 AS VARCHAR) AS d, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS ok, 'c' || CAST(o_orderkey % 100 AS VARCHAR) AS concept FROM orders),
+od AS (SELECT d, s = '' AS bare, count(*) AS n, sum(ok) AS ok FROM o GROUP BY ALL)"""
+
+
+def evidence_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events and outcomes, some without a session, on fifty days; EVIDENCE_SQL."""
+    e = event_ledger(spark, sf_dir).select("concept", "event_id", "source", "summary", "evidence", "seq", F.when(F.col("seq") % 4 == 0, "").otherwise((F.col("seq") % 1500 + 1).cast("string")).alias("session_id"), (F.col("seq") % 50).cast("string").alias("day"))
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("seq"), F.when(k % 5 == 0, "").otherwise(k.cast("string")).alias("session_id"), (k % 50).cast("string").alias("day"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failure").alias("outcome"), F.array(F.concat(F.lit("c"), (k % 100).cast("string"))).alias("concepts"))
+    return e, o
+
+
 @query(
-    f"""WITH {EVENTS_SQL}, e AS (SELECT DISTINCT concept, event_id, CASE WHEN seq % 4 = 0 THEN '' ELSE CAST(seq % 1500 + 1 AS VARCHAR) END AS s, CAST(seq % 50 AS VARCHAR) AS d FROM ev),
-o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS s, CAST(o_orderkey % 50 AS VARCHAR) AS d, o_orderstatus = 'F' AS ok, 'c' || CAST(o_orderkey % 100 AS VARCHAR) AS concept FROM orders WHERE o_orderdate >= DATE '1997-01-01'),
-j AS (SELECT e.concept, event_id, o_orderkey, ok FROM e JOIN o ON e.s <> '' AND e.s = o.s AND e.concept = o.concept UNION ALL SELECT e.concept, event_id, o_orderkey, ok FROM e JOIN o ON e.d = o.d AND (e.s = '' OR o.s = ''))
-SELECT concept, count(*) AS n_pairs, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_success FROM j GROUP BY concept"""
+    f"""WITH {EVIDENCE_SQL},
+j AS (SELECT e.concept, 1 AS n, ok FROM e JOIN o ON e.s <> '' AND e.s = o.s AND e.concept = o.concept UNION ALL SELECT e.concept, n, ok FROM e JOIN od ON e.d = od.d AND (e.s = '' OR bare))
+SELECT concept, CAST(sum(n) AS BIGINT) AS n_pairs, CAST(sum(ok) AS BIGINT) AS n_success FROM j GROUP BY concept"""
 )
 def skill_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events meet outcomes of their session that name the concept, else of their day."""
-    e = event_ledger(spark, sf_dir).select("concept", "event_id", F.when(F.col("seq") % 4 == 0, "").otherwise((F.col("seq") % 1500 + 1).cast("string")).alias("session_id"), (F.col("seq") % 50).cast("string").alias("day"))
-    k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= DATE '1997-01-01'").select(k.alias("seq"), F.when(k % 5 == 0, "").otherwise(k.cast("string")).alias("session_id"), (k % 50).cast("string").alias("day"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failure").alias("outcome"), F.array(F.concat(F.lit("c"), (k % 100).cast("string"))).alias("concepts"))
-    return K.evidence_outcomes(e, o).groupBy("concept").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("outcome") == "success").alias("n_success"))
+    return K.evidence_counts(*evidence_rows(spark, sf_dir))
 
 
-@query()
+@query(
+    rf"""WITH {EVIDENCE_SQL}, x AS (SELECT * FROM e WHERE source IN ('chat', 'chat-fallback')),
+j AS (SELECT x.concept, ok FROM x JOIN o ON x.s <> '' AND x.s = o.s AND x.concept = o.concept UNION ALL SELECT x.concept, ok FROM x JOIN od ON x.d = od.d AND (x.s = '' OR bare)),
+n AS (SELECT concept, CAST(substr(concept, 2) AS INTEGER) AS k, count(*) AS n FROM x GROUP BY concept), w AS (SELECT concept, sum(ok) AS w FROM j GROUP BY concept),
+c AS (SELECT n.*, CASE WHEN k % 3 = 2 THEN 0 ELSE coalesce(w, 0) END AS w, CASE k % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'emerging' ELSE 'validated' END AS st FROM n LEFT JOIN w USING (concept)),
+r AS (SELECT concept, CASE WHEN k % 5 = 4 THEN 'If so' ELSE 'When the run of ' || concept || ' fails' END AS trigger, CASE WHEN k % 5 = 4 THEN 'Avoid it.' ELSE 'Should read the whole log.' END AS behavior,
+  CASE WHEN n >= 2 AND w >= 1 AND k % 5 <> 4 THEN CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END WHEN st <> 'validated' THEN 'low' END AS confidence, n AS n_events, w AS n_success FROM c)
+SELECT 'skill-of-' || concept AS slug, n_events, CAST(n_success AS BIGINT) AS n_success, trigger, behavior, confidence FROM r WHERE confidence IS NOT NULL"""
+)
 def skill_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts of the ledger as skills, without the strict rules."""
-    e = event_ledger(spark, sf_dir)
-    o = outcome_ledger(spark, sf_dir).select(F.col("session_id").alias("seq"), F.col("session_id").cast("string").alias("session_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "outcome", F.transform("retrieved_concepts", lambda x: F.concat(F.lit("c"), (x % 100).cast("string"))).alias("concepts"))
-    concepts = e.select("concept").distinct().select("concept", F.concat(F.lit("Skill of "), "concept").alias("title"), F.lit(3).alias("confidence"))
-    return K.candidates(concepts, e, o, None, 10, False).select("slug", "n_events", "n_success", "trigger")
+    """L17, F29, J5, D-9: concepts of the ledger as skills: strictly where outcomes speak for them, else by the relaxed way."""
+    e, o = evidence_rows(spark, sf_dir)
+    k = F.substring("concept", 2, 9).cast("int")
+    said = F.when(k % 5 == 4, "If so, avoid it, for the whole run").otherwise(F.concat(F.lit("When the run of "), "concept", F.lit(" fails, you should read the whole log")))
+    e = e.withColumn("summary", said).withColumn("evidence", F.lit(""))
+    e = e.where(k % 3 != 2).unionByName(e.where(k % 3 == 2).withColumn("session_id", F.lit("none")).withColumn("day", F.lit("")))
+    status = F.when(k % 4 == 0, "candidate").when(k % 4 == 1, "emerging").otherwise("validated")
+    concepts = e.select("concept").distinct().select("concept", F.concat(F.lit("Skill of "), "concept").alias("title"), status.alias("status"))
+    return K.candidates(concepts, e, o, None, 1_000_000).select("slug", "n_events", "n_success", "trigger", "behavior", "confidence")
 
 
 @query(
@@ -263,3 +284,171 @@ def reflect_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reported = store.table("reports").select("session_id", F.size(R.report_events(F.col("content"))).alias("n_reported"))
     n = store.table("events").groupBy("session_id").agg(F.count("*").alias("n_events"))
     return n.join(reported, "session_id").join(store.table("outcomes").select("session_id", "outcome", F.size("referenced_concepts").alias("n_concepts")), "session_id")
+
+
+LINES_SQL = f"""{EVENTS_SQL}, l AS (SELECT *, CASE WHEN seq % 50 = 0 THEN 'malformed' WHEN seq % 51 = 0 THEN 'empty' ELSE 'event' END AS kind, CASE WHEN scope = 'user' THEN 'user' ELSE 'project' END AS book FROM ev)"""
+
+
+@query(
+    f"""WITH {LINES_SQL}
+SELECT 'events' AS name, CAST(count(*) AS BIGINT) AS n FROM l WHERE kind = 'event' UNION ALL SELECT 'of the user', count(*) FROM l WHERE kind = 'event' AND book = 'user'
+UNION ALL SELECT 'quarantine', count(*) FROM l WHERE kind = 'malformed' UNION ALL SELECT 'lines', count(*) FROM l WHERE book = 'project' UNION ALL SELECT 'empty', count(*) FROM l WHERE book = 'project' AND kind = 'empty'
+UNION ALL SELECT 'malformed', count(*) FROM l WHERE book = 'project' AND kind = 'malformed' UNION ALL SELECT 'confidence', CAST(sum(CASE WHEN seq % 2 = 0 THEN 1 ELSE confidence END) AS BIGINT) FROM l WHERE kind = 'event'
+UNION ALL SELECT 'version 1 before', count(*) FROM l WHERE kind = 'event' AND book = 'project' AND seq % 2 = 0 UNION ALL SELECT 'version 2 after', count(*) FROM l WHERE kind = 'event' AND book = 'project'
+UNION ALL SELECT 'appended', count(*) FROM l WHERE kind = 'event' UNION ALL SELECT 'found', 1 UNION ALL SELECT 'tail', 5"""
+)
+def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written as JSON lines of two versions in a project's and a
+    user's book, with corrupt and empty lines; read back, brought to the latest version, migrated, appended to."""
+    from ..sources import ledgers
+    from ..sources.scratch import fresh
+
+    at = fresh(spark, "books")
+    k = F.col("seq")
+    event = F.struct("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "session_id", "event_type", F.array("concept").alias("concept_candidates"), "summary", "evidence", F.when(k % 2 == 1, F.col("confidence")).alias("confidence"), "source", F.when(k % 2 == 1, 2).alias("schema_version"))
+    raw = F.when(k % 50 == 0, F.concat(F.lit('{"event_id": '), k.cast("string"))).when(k % 51 == 0, F.lit("")).otherwise(F.to_json(event))
+    lines = event_ledger(spark, sf_dir).select("scope", raw.alias("value"))
+    user = F.coalesce(F.col("scope") == "user", F.lit(False))
+    for name, which in (("project", ~user), ("user", user)):
+        lines.where(which).select("value").write.text(f"{at}/{name}")
+    good, bad = ledgers.read_events(spark, f"{at}/project", f"{at}/user")
+    before = ledgers.migrate(spark, f"{at}/project", f"{at}/new")
+    after = ledgers.read_events(spark, f"{at}/new")[0]
+    valid = good.withColumn("scope", F.coalesce("scope", F.lit("project")))
+    ledgers.append(valid.where("scope = 'user'"), f"{at}/all")
+    ledgers.append_missing(valid, ledgers.read_events(spark, f"{at}/all")[0], f"{at}/all")
+    counts = ledgers.line_counts(ledgers.read_lines(spark, f"{at}/project")).head()
+    some = good.head()["event_id"]
+    n = lambda name, df, c=F.count("*"): df.agg(F.lit(name).alias("name"), c.cast("long").alias("n"))
+    parts = [
+        n("events", good),
+        n("of the user", good, F.count_if(F.col("scope") == "user")),
+        n("quarantine", bad),
+        n("confidence", good, F.sum("confidence")),
+        n("version 1 before", before.where("version = 1"), F.sum("n")),
+        n("version 2 after", after.where("schema_version = 2")),
+        n("appended", ledgers.read_events(spark, f"{at}/all")[0]),
+        n("found", ledgers.find_event(good, some)),
+        n("tail", ledgers.tail(good, 5)),
+        spark.createDataFrame([("lines", counts["n_lines"]), ("empty", counts["n_empty"]), ("malformed", counts["n_malformed"])], "name string, n long"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(
+    f"""WITH {CHUNKS_SQL}, c AS (SELECT doc_id, start_line, length(document) AS n FROM chunks), d AS (SELECT doc_id, 1 AS start_line, length(text) AS n FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS source, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_chars FROM (SELECT * FROM c WHERE doc_id % 3 = 2 UNION ALL SELECT * FROM d WHERE doc_id % 3 = 1) GROUP BY doc_id"""
+)
+def chunk_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents in a store: upserted twice, those of a third of the sources deleted, those of another
+    third replaced by one chunk each."""
+    from ..sources.scratch import fresh
+    from ..sources.store import ChunkStore
+
+    chunks = document_chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").cast("string").alias("source"), "document")
+    store = ChunkStore(spark, fresh(spark, "chunk-store"), 8)
+    k = F.col("source").cast("long") % 3
+    store.upsert(chunks.where(k != 0))
+    store.upsert(chunks.withColumn("document", F.when(k == 0, F.lit("to be deleted")).otherwise(F.col("document"))))
+    store.delete(chunks.where(k == 0).select("source").distinct())
+    whole = table(spark, sf_dir, "documents").where("doc_id % 3 = 1").select(F.concat(F.col("doc_id").cast("string"), F.lit("#whole")).alias("chunk_id"), F.col("doc_id").cast("string").alias("source"), F.col("text").alias("document"))
+    store.replace_source(whole)
+    sizes = store.scan().groupBy("source").agg(F.sum(F.length("document")).alias("n_chars"))
+    return store.count_by_source().join(sizes, "source")
+
+
+@query(
+    f"""WITH {REGISTRY_SQL}, {EVENTS_SQL}, w AS (SELECT concept_id, canonical_name, confidence * evidence_count AS w FROM rg ORDER BY w DESC, concept_id LIMIT 10),
+s AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failure' ELSE 'abandoned' END AS o FROM orders ORDER BY o_orderkey DESC LIMIT 10),
+k AS (SELECT s_suppkey AS i, 's' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS slug, s_name FROM supplier WHERE s_suppkey % 2 = 0 ORDER BY 2 LIMIT 10),
+h AS (SELECT 'duplicate names' AS f, 'warn' AS l, count(*) AS n FROM (SELECT lower(trim(canonical_name)) FROM rg GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'no evidence', 'info', count(*) FROM rg WHERE evidence_count = 0
+  UNION ALL SELECT 'unassigned events', 'warn', count(*) FROM ev WHERE seq % 20 = 0 UNION ALL SELECT 'unknown concepts', 'error', count(DISTINCT concept) FROM ev WHERE seq % 20 <> 0 AND CAST(substr(concept, 2) AS BIGINT) NOT IN (SELECT concept_id FROM rg WHERE concept_id % 9 <> 0) UNION ALL SELECT 'stale concepts', 'warn', count(*) FROM rg WHERE concept_id % 3 = 0)
+SELECT 'project' AS scope, 'concepts' AS section, CAST(row_number() OVER (ORDER BY w DESC, concept_id) AS INTEGER) AS ord, canonical_name || ' (' || w || ')' AS text FROM w
+UNION ALL SELECT 'project', 'sessions', CAST(row_number() OVER (ORDER BY k DESC) AS INTEGER), k || ' ' || o FROM s UNION ALL SELECT 'recent', 'sessions', CAST(row_number() OVER (ORDER BY k DESC) AS INTEGER), k || ' ' || o FROM s
+UNION ALL SELECT 'skills', 'skills', CAST(row_number() OVER (ORDER BY slug) AS INTEGER), slug || ': ' || s_name FROM k UNION ALL SELECT 'health', 'health', CAST(row_number() OVER (ORDER BY f) AS INTEGER), l || ' ' || f || ' ' || n FROM h WHERE n > 0"""
+)
+def knowledge_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the four scopes reads."""
+    from ..operators import reading
+
+    r = concept_registry(spark, sf_dir)
+    registry = r.select(F.col("concept_id"), "canonical_name", "confidence", F.col("evidence_count").alias("evidence"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("session_id"), F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failure").otherwise("abandoned").alias("outcome"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("slug"), F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 2 == 0, "approved").otherwise("candidate").alias("status"))
+    e = event_ledger(spark, sf_dir).select(F.when(F.col("seq") % 20 != 0, F.substring("concept", 2, 9).cast("long")).alias("concept"))
+    stale = registry.select("concept_id", F.when(F.col("concept_id") % 3 == 0, "stale").alias("status"))
+    lost = registry.where("concept_id % 9 != 0")
+    health = reading.health_report(registry, e, stale).where("finding != 'unknown concepts'").unionByName(reading.health_report(lost, e, stale).where("finding = 'unknown concepts'"))
+    out = None
+    for scope in reading.SCOPES:
+        rows = reading.read_scope(scope, registry, o, s, health).select(F.lit(scope).alias("scope"), "section", "ord", "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, c AS (SELECT s_suppkey AS candidate, unnest(['e' || (s_suppkey * 3), 'e' || (s_suppkey * 5 + 1), 'e' || (s_suppkey * 3), 'gone']) AS event_id FROM supplier),
+f AS (SELECT DISTINCT candidate, c.event_id, seq, evidence FROM c JOIN ev USING (event_id))
+SELECT s_suppkey AS candidate, count(f.event_id) AS n_found, coalesce(string_agg(evidence, '|' ORDER BY seq), '') AS evidence FROM supplier LEFT JOIN f ON candidate = s_suppkey GROUP BY s_suppkey"""
+)
+def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence of candidates by the ids of their events; some repeat, some are gone."""
+    from ..operators.events import evidence_of
+
+    k = F.col("s_suppkey")
+    of = lambda x: F.concat(F.lit("e"), x.cast("string"))
+    c = table(spark, sf_dir, "supplier").select(k.alias("candidate"), F.array(of(k * 3), of(k * 5 + 1), of(k * 3), F.lit("gone")).alias("source_event_ids"))
+    found = evidence_of(c, event_ledger(spark, sf_dir).select("event_id", "seq", "evidence"))
+    return found.select("candidate", "n_found", F.array_join("evidence", "|").alias("evidence"))
+
+
+@query(
+    rf"""WITH {REGISTRY_SQL}, m AS (SELECT doc_id AS id, text AS d, (doc_id % 7) / 10.0::DOUBLE AS base, doc_id * 3 % (SELECT 2 * count(*) FROM part) AS cid FROM documents),
+k AS (SELECT m.*, {TYPE_SQL} AS type, coalesce(CASE rg.status WHEN 'canonical' THEN 1.3::DOUBLE WHEN 'validated' THEN 1.1 WHEN 'emerging' THEN 0.9 WHEN 'candidate' THEN 0.7 WHEN 'needs_review' THEN 0.5 END, 1.0) AS st,
+  coalesce(0.5::DOUBLE + rg.confidence / 10.0::DOUBLE, 1.0) AS cf, CASE WHEN rg.evidence_count * 10 > 100 THEN greatest(0.3::DOUBLE, 1 - (rg.evidence_count * 10 - 100) / 500.0::DOUBLE) ELSE 1.0 END AS sz FROM m LEFT JOIN rg ON rg.concept_id = cid), {ranked_sql("k", "sz * st * cf")}
+SELECT id AS doc_id, round(final, 6) AS final_score FROM rk"""
+)
+def registry_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents ranked for a query, their scores scaled by status, confidence and size of the concept that each belongs to; half
+    of them belong to none that the registry has."""
+    r = concept_registry(spark, sf_dir).select("concept_id", "status", "confidence", (F.col("evidence_count") * 10).alias("evidence"))
+    n = F.broadcast(table(spark, sf_dir, "part").agg((F.count("*") * 2).alias("_m")))
+    docs = table(spark, sf_dir, "documents").crossJoin(n).select(F.col("doc_id").alias("id"), F.col("text").alias("document"), (F.col("doc_id") % 7 / 10).alias("base"), (F.col("doc_id") * 3 % F.col("_m")).alias("concept_id"))
+    return M.rerank(M.with_registry(docs, r), M.Targets.of(MEMORY_QUERY)).select(F.col("id").alias("doc_id"), F.round("final_score", 6).alias("final_score"))
+
+
+@query(
+    f"""WITH f AS (SELECT o_orderkey AS k, o_totalprice % 10 AS best, o_orderkey % 3 = 2 AS memory, o_orderkey % 2 = 0 AS even FROM orders),
+d AS (SELECT CASE WHEN k % 101 = 0 THEN 'error: exception' WHEN k % 97 = 0 THEN 'blocked: project_unresolved' WHEN k % 13 = 0 AND k % 4 >= 3 THEN 'required: active_work_conflict' WHEN k % 13 = 0 THEN 'suggest: active_work' WHEN k % 11 = 0 THEN 'required: strong_memory'
+  WHEN best >= {P.REQUIRED} AND (NOT memory OR even) THEN 'required: strong_match' WHEN k % 17 = 0 THEN 'required: forcing_directive' WHEN k % 5 = 0 AND k % 3 = 0 THEN 'required: continuation_of_active_work'
+  WHEN best >= {P.SUGGEST} AND (NOT memory OR k % 4 < 2) THEN 'suggest: good_match' WHEN k % 7 = 0 AND k % 4 < 2 THEN 'suggest: medium_memory' WHEN k % 6 >= {P.SUGGEST} THEN 'suggest: semantic_directive' WHEN k % 5 >= 2 THEN 'suggest: active_work_signals'
+  WHEN k % 6 >= 3 AND k % 4 < 2 AND k % 12 >= {P.REQUIRED} THEN 'suggest: several_memories' WHEN k % 4 >= 3 THEN 'required: active_project_conflict' WHEN k % 4 = 2 THEN 'suggest: active_project_conflict' ELSE 'noop: no_relevant_context' END AS d FROM f)
+SELECT d AS decision, count(*) AS n FROM d GROUP BY d"""
+)
+def preflight_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade of rules over facts that orders stand for: which rule decides how often."""
+    k = F.col("o_orderkey")
+    facts = table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("task"),
+        (k % 101 == 0).alias("error"),
+        (k % 97 == 0).alias("blocked"),
+        (k % 13 == 0).alias("generic"),
+        (k % 4).alias("n_conflicts"),
+        (k % 3 == 0).alias("active_item"),
+        (k % 5 == 0).alias("continuation"),
+        (k % 11 == 0).alias("strong"),
+        (k % 7 == 0).alias("medium"),
+        (k % 4 >= 2).alias("all_weak"),
+        (F.col("o_totalprice") % 10).alias("best"),
+        F.element_at(F.array(*map(F.lit, ["skill", "concept", "memory"])), (k % 3 + 1).cast("int")).alias("best_kind"),
+        F.when(k % 2 == 0, "decision").otherwise("observation").alias("best_type"),
+        (k % 17 == 0).alias("forcing"),
+        (k % 6).cast("double").alias("semantic_directive"),
+        (k % 5).cast("double").alias("work_score"),
+        (k % 6).alias("n_memory"),
+        (k % 12).cast("double").alias("top5"),
+    )
+    return P.decide(facts).groupBy(F.concat_ws(": ", "decision", "reason").alias("decision")).agg(F.count("*").alias("n"))

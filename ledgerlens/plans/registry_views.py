@@ -46,12 +46,13 @@ def chunk_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("source IS NOT NULL AND source != ''").groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, array_to_string(list_slice(l, 2, 4), chr(10)) AS body, CAST(greatest(least(len(l), 4) - 1, 0) AS INTEGER) AS n_lines, len(l) > 4 AS truncated FROM l")
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, array_to_string(list_slice(l, 2, 4), chr(10)) AS b, greatest(least(len(l), 4) - 1, 0) AS n FROM l) SELECT doc_id, substr(b, 1, 20000) AS body, CAST(1 + n AS INTEGER) AS end_line, CASE WHEN n = 0 THEN 'out_of_range' WHEN length(b) > 20000 THEN 'truncated' ELSE '' END AS warnings FROM b")
 def bounded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 2 to 4 of every document, with a warning if more follow."""
-    lines = F.split("text", "\n", -1)
-    part = F.slice(lines, 2, 3)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(part, "\n").alias("body"), F.size(part).alias("n_lines"), (F.size(lines) > 4).alias("truncated"))
+    """Lines 2 to 4 of every document, with a warning if there are none or they are too long."""
+    from ..operators.source_search import read_range
+
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rel_path"), F.col("text").alias("document"))
+    return read_range(files, None, 2, 4).select(F.col("rel_path").alias("doc_id"), "body", "end_line", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query(r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, CAST(len(list_distinct(w)) AS INTEGER) AS n_unique, CAST(greatest(len(w) - 3, 0) + greatest(len(w) - 4, 0) + greatest(len(w) - 5, 0) + greatest(len(w) - 6, 0) AS INTEGER) AS n_phrases, CAST(greatest(len(w) - 1, 0) AS INTEGER) AS n_bigrams FROM w")
@@ -92,14 +93,22 @@ def checkpoint_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "conversations").select("conv_id", "turn"), 3, F.desc("turn"), partition=["conv_id"]).select("conv_id", "turn")
 
 
-@query("WITH s AS (SELECT o_custkey AS todo, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'in_progress' END AS st FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY todo, st ORDER BY id) AS r, sum(CASE WHEN st = 'in_progress' THEN 1 ELSE 0 END) OVER (PARTITION BY todo) AS busy FROM s) SELECT id, CASE WHEN st = 'pending' AND r = 1 AND busy = 0 THEN 'in_progress' ELSE st END AS status FROM r")
+@query(
+    """WITH s AS (SELECT o_custkey AS l, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'in_progress' END AS st FROM orders),
+n AS (SELECT *, CASE WHEN id % 5 = 0 THEN CASE st WHEN 'pending' THEN 'in_progress' WHEN 'in_progress' THEN 'completed' ELSE 'pending' END WHEN id % 7 = 0 THEN 'completed' ELSE st END AS new FROM s),
+f AS (SELECT *, bool_or((id % 5 = 0 OR id % 7 = 0) AND new = 'completed' AND st <> 'completed') OVER (PARTITION BY l) AS done, bool_or(new = 'in_progress') OVER (PARTITION BY l) AS busy, min(CASE WHEN new = 'pending' THEN id END) OVER (PARTITION BY l) AS nxt FROM n)
+SELECT id, CASE WHEN done AND NOT busy AND id = nxt THEN 'in_progress' ELSE new END AS status FROM f"""
+)
 def todo_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where nothing is in progress, the first pending item begins."""
+    """Lists of items, each fifth moved on by one state and each seventh completed; where something was completed and nothing is in
+    progress, the first pending item begins."""
+    from ..operators.active_work import todo_advance as advance
+
+    k = F.col("o_orderkey")
     s = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("in_progress")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("todo"), F.col("o_orderkey").alias("id"), s.alias("st"))
-    lists = rows.groupBy("todo").agg(F.min(F.when(F.col("st") == "pending", F.col("id"))).alias("first"), F.count_if(F.col("st") == "in_progress").alias("busy"))
-    starts = (F.col("busy") == 0) & (F.col("id") == F.col("first"))
-    return rows.join(lists, "todo").select("id", F.when(starts, "in_progress").otherwise(F.col("st")).alias("status"))
+    todos = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("list"), k.alias("ord"), k.alias("id"), s.alias("status"))
+    changes = todos.where("id % 5 = 0 OR id % 7 = 0").select("list", "id", F.when(F.col("id") % 5 == 0, "").otherwise("completed").alias("status"))
+    return advance(todos, changes).select("id", "status")
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, ranking
-from ..sources.store import index_of
+from ..sources.store import SearchIndex, index_of
 from ..sources.tables import table
 from .registry import query
 
@@ -95,6 +95,12 @@ ev AS (SELECT item_id, CASE WHEN hit.rank IS NULL THEN 0 ELSE 1 END AS hit_at_5,
 """
 
 
+def whole_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The stored index of whole documents; the first query of a table writes it."""
+    chunks = lambda: table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("document"))
+    return index_of(spark, "whole", f"{sf_dir}/documents.parquet", chunks)
+
+
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     items = bench.select("item_id", T.tokens(F.col("text")).alias("w"))
@@ -102,11 +108,11 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = items.where(F.size("w") >= 8).select("item_id", F.array_join(F.slice("w", 1, 8), " ").alias("key"))
     words = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
     relevant = words.select("doc_id", F.explode(T.ngrams(F.col("w"), 8)).alias("key")).join(key, "key").select("item_id", "doc_id").distinct()
-    post = ranking.postings(docs, "doc_id", "text", terms)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("a"))
-    weight = F.col("times") * ranking.bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("a"))
-    scored = terms.join(post, "term").join(df, "term").crossJoin(F.broadcast(stats)).groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    index = whole_index(spark, sf_dir)
+    stats = index.stats()
+    post, df = (spark.read.parquet(f"{index.path}/{kind}").drop("bucket") for kind in ("postings", "terms"))
+    weight = F.col("times") * ranking.bm25_weight(F.col("tf"), F.col("df"), F.lit(stats["n"]), F.col("dl"), F.lit(stats["avg"]))
+    scored = terms.join(df, "term").join(post, "term").withColumn("doc_id", F.col("chunk_id").cast("long")).groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     top = ranking.top_k(scored, 5, F.desc("score"), F.asc("doc_id"), partition=["item_id"])
     hits = top.join(relevant, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("rank"))
     cases = relevant.select("item_id").distinct().join(hits, "item_id", "left")
@@ -184,7 +190,8 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     and importance follow the id."""
     q = ranking.literal_vector(_vector(spark, sf_dir, 7))
     dense = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), ranking.cosine(F.col("embedding"), q).alias("dense"))
-    docs = ranking.sparse_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), first_words(spark, sf_dir), "text").select("doc_id", "sparse")
+    scores = whole_index(spark, sf_dir).sparse_scores(first_words(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(scores.select(F.col("chunk_id").cast("long").alias("doc_id"), "sparse"), "doc_id", "left").select("doc_id", F.coalesce("sparse", F.lit(0.0)).alias("sparse"))
     level = F.element_at(F.array(*map(F.lit, ["critical", "high", "medium", "low"])), (F.col("doc_id") % 4 + 1).cast("int"))
     d = F.coalesce("dense", F.lit(0.0))
     score = ranking.blend(d, F.col("sparse"), ranking.recency(F.col("doc_id") % 100), ranking.importance(level))

@@ -57,7 +57,8 @@ class History:
         n = self.log.last()
         record = self._record(n)
         version = record["version"] + 1
-        current = self._last(self._stored(record)).where("NOT _gone")
+        heads = self._stored(record).select(*self.keys, "_version", "_hash", "_gone")  # no other column is read
+        current = self._last(heads).where("NOT _gone")
         fresh_rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.row.fields]).withColumn("_hash", self._fingerprint())
         bad = fresh_rows.groupBy(*self.keys).agg(F.count("*").alias("_n")).where(F.expr(" OR ".join(["_n > 1", *[f"`{k}` IS NULL" for k in self.keys]])))
         if not bad.isEmpty():
@@ -67,7 +68,7 @@ class History:
         moved = moved.select(F.lit(version).cast("long").alias("_version"), "_hash", F.lit(False).alias("_gone"), *self.row.names, F.col("_old").isNull().alias("_new"))
         if whole:
             lost = current.join(fresh_rows.select(*self.keys), self.keys, "left_anti")
-            moved = moved.unionByName(lost.select(F.lit(version).cast("long").alias("_version"), "_hash", F.lit(True).alias("_gone"), *self.row.names, F.lit(False).alias("_new")))
+            moved = moved.unionByName(lost.select(F.lit(version).cast("long").alias("_version"), "_hash", F.lit(True).alias("_gone"), *[F.col(f.name) if f.name in self.keys else F.lit(None).cast(f.dataType).alias(f.name) for f in self.row.fields], F.lit(False).alias("_new")))
         aside = fresh(self.spark, "history")
         moved.write.parquet(aside)
         moved = self.spark.read.parquet(aside)

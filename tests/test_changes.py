@@ -364,3 +364,48 @@ def test_review_ends_by_fitness_alone(spark):
     assert status(fit(0, 3, 0.1)) == {"c": "needs_review", "d": "needs_review"}  # it is held from its first event on
     assert status(fit(0, 2, 0.1)) == {"c": "canonical", "d": "candidate"}
     assert status(fit(2, 0, 1.0)) == {"c": "canonical", "d": "candidate"}  # without evidence fitness promotes nothing
+
+
+def test_reading_by_scope(spark):
+    from ledgerlens.operators import reading
+
+    registry = spark.createDataFrame([("c1", "One", 2, 3), ("c2", "one ", 5, 4), ("c3", None, 1, 0)], "concept_id string, canonical_name string, confidence int, evidence int")
+    outcomes = spark.createDataFrame([(1, "s1", "success"), (2, "s2", "failure"), (3, "s3", "success")], "seq long, session_id string, outcome string")
+    skills = spark.createDataFrame([("b", "B", "approved"), ("a", "A", "approved"), ("z", "Z", "rejected")], "slug string, title string, status string")
+    events = spark.createDataFrame([("c1",), ("lost",), (None,)], "concept string")
+    health = reading.health_report(registry, events, spark.createDataFrame([("c1", "stale"), ("c2", None)], "concept string, status string"))
+    assert {(r.finding, r.level, r.n) for r in health.collect()} == {("duplicate names", "warn", 1), ("no evidence", "info", 1), ("unassigned events", "warn", 1), ("unknown concepts", "error", 1), ("stale concepts", "warn", 1)}
+    read = lambda scope, n=2: [tuple(r) for r in reading.read_scope(scope, registry, outcomes, skills, health, n).orderBy("section", "ord").collect()]
+    assert read("project") == [("concepts", 1, "one  (20)"), ("concepts", 2, "One (6)"), ("sessions", 1, "s3 success"), ("sessions", 2, "s2 failure")]
+    assert read("skills") == [("skills", 1, "a: A"), ("skills", 2, "b: B")] and len(read("health", 9)) == 5 and len(read("recent", 9)) == 3
+    with pytest.raises(ValueError):
+        read("everything")
+
+
+def test_general_events_are_told_apart_in_blocks(spark, monkeypatch):
+    from ledgerlens.operators import reading
+
+    events = spark.createDataFrame([("1", "cache warmup"), ("2", "retry policy"), ("3", ""), ("4", None), ("5", "zebra")], "event_id string, evidence string")
+    concepts = spark.createDataFrame([(k, n) for k, n in enumerate(["cache warmup", "retry policy", "cache warmup", "index rebuild"])], "concept_id long, canonical_name string")
+    want = {"1": (0, "reassign"), "2": (1, "reassign"), "3": (None, "no_evidence"), "4": (None, "no_evidence"), "5": (None, "low_similarity")}
+    for size in (1 << 26, 64 * 8):  # all names at once, and one at a time
+        monkeypatch.setattr(reading, "BLOCK_BYTES", size)
+        got = {r.event_id: (r.concept_id, r.state) for r in reading.split_general(events, concepts, slot_embedder(64)).collect()}
+        assert got == want
+    assert {r.state for r in reading.split_general(events, concepts.where("concept_id < 0"), slot_embedder(64)).collect()} == {"no_evidence", "low_similarity"}
+
+
+def test_lookups_by_id(spark):
+    from ledgerlens.operators import events as E
+    from ledgerlens.operators import memory as M
+
+    e = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 3, "bee"), ("c", 4, None)], "event_id string, seq long, evidence string")
+    c = spark.createDataFrame([("x", ["b", "a", "a", "gone"]), ("y", []), ("z", None), ("w", ["c"])], "candidate string, source_event_ids array<string>")
+    got = {r.candidate: (r.n_found, r.evidence) for r in E.evidence_of(c, e, 1).collect()}
+    assert got == {"x": (2, ["new"]), "y": (0, []), "z": (0, []), "w": (1, [None])}
+    u = spark.createDataFrame([(1, ["c"]), (2, []), (3, None)], "n int, concept_candidates array<string>")
+    assert sorted(r.n for r in E.unassigned(u).collect()) == [2, 3]
+    rows = spark.createDataFrame([("1", "we decided to x", 1.0, "c1"), ("2", "we decided to x", 1.0, None)], "id string, document string, base double, concept_id string")
+    registry = spark.createDataFrame([("c1", "canonical", 5, 200)], "concept_id string, status string, confidence int, evidence int")
+    scores = {r.id: r.final_score for r in M.rerank(M.with_registry(rows, registry), M.Targets.of("zebra")).collect()}
+    assert scores["1"] == pytest.approx(scores["2"] * 0.8 * 1.3 * 1.0)

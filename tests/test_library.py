@@ -280,9 +280,19 @@ def test_skills(spark):
     ev = spark.createDataFrame([("c", f"e{i}", s, d, i, "when it rains you should stay", "") for i, (s, d) in enumerate([("s1", "d1"), ("", "d2"), ("s3", "d3")])], "concept string, event_id string, session_id string, day string, seq int, summary string, evidence string")
     out = spark.createDataFrame([(0, "s1", "d9", "success", ["c"]), (1, "s1", "d1", "success", ["other"]), (2, "s9", "d2", "failure", ["c"]), (3, "", "d3", "success", [])], "seq int, session_id string, day string, outcome string, concepts array<string>")
     assert rows(K.evidence_outcomes(ev, out), "event_id", "outcome_seq") == [("c", "e0", 0, "success"), ("c", "e1", 2, "failure"), ("c", "e2", 3, "success")]
-    con = spark.createDataFrame([("c", "Stay Dry", 3)], "concept string, title string, confidence int")
-    got = K.candidates(con, ev, out).head()
-    assert (got.slug, got.n_events, got.n_success, got.trigger, got.behavior) == ("stay-dry", 3, 2, "When it rains you should stay", "Should stay.")
+    con = spark.createDataFrame([("c", "Stay Dry", "emerging")], "concept string, title string, status string")
+    pairs = K.evidence_outcomes(ev, out)
+    assert rows(K.evidence_counts(ev, out)) == [("c", pairs.count(), pairs.where("outcome = 'success'").count())]
+    got = K.candidates(con, ev, out).head()  # "Should stay." has 12 characters
+    assert (got.slug, got.n_events, got.n_success, got.trigger, got.behavior, got.confidence) == ("stay-dry", 3, 2, "When it rains you should stay", "Should stay.", "high")
+    assert K.candidates(con, ev.where("seq < 2"), out).head().confidence == "medium"
+    assert K.candidates(con, ev.where("seq = 1"), out).head().confidence == "low"  # one event, no success
+    assert K.candidates(con, ev.where("seq = 1"), out, relaxed=False).count() == 0 == K.candidates(con.withColumn("status", F.lit("canonical")), ev.where("seq = 1"), out).count()
+    short = ev.withColumn("summary", F.lit("if so, avoid it, and so on"))
+    assert (lambda r: (r.trigger, r.behavior, r.confidence))(K.candidates(con, short, out).head()) == ("If so", "Avoid it.", "low")
+    assert K.candidates(con, ev.withColumn("source", F.lit("diff")), out).count() == 0
+    print_ = spark.createDataFrame([("other", [], got.fingerprint)], "slug string, evidence array<string>, fingerprint string")
+    assert K.candidates(con, ev, out, print_).count() == 0
     for taken in (("stay-dry", []), ("other", ["e0", "e1"])):
         assert K.candidates(con, ev, out, spark.createDataFrame([taken], "slug string, evidence array<string>")).count() == 0
     sk = spark.createDataFrame([("a", "candidate"), ("b", "rejected"), ("c", "approved")], "slug string, status string")
