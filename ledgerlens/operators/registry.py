@@ -126,13 +126,15 @@ def materialize(registry: DataFrame, events: DataFrame, noise: Column, processed
     fresh = events.where(F.col("concept").isNotNull() & ~F.coalesce(noise, F.lit(False)) & ~self_ingested(F.col("summary"), F.col("source"))).join(known, "event_id", "left_anti")
     if processed is not None:
         fresh = fresh.join(processed.select("session_id").distinct(), "session_id", "left_anti")
-    e = F.struct("seq", "session_id", "event_type", (F.coalesce(F.length("evidence"), F.lit(0)) > 0).alias("has_evidence"))
-    rows = fresh.groupBy("concept").agg(F.array_sort(F.collect_list(e)).alias("h"), F.array_sort(F.collect_set("event_id")).alias("ids"))
+    had = registry.select("concept", F.explode("sessions").alias("session_id")).distinct().withColumn("_had", F.lit(True))
+    firsts = L.first_of_sessions(fresh).join(had, ["concept", "session_id"], "left").withColumn("new", F.col("new") & F.col("_had").isNull())
+    ids = fresh.groupBy("concept").agg(F.sort_array(F.collect_set("event_id")).alias("ids"))
+    rows = L.histories(firsts).join(ids, "concept")
     j = registry.join(rows, "concept", "full")
     none = F.array().cast("array<string>")
     start = F.struct(F.coalesce("sessions", none).alias("sessions"), F.coalesce("confidence", F.lit(1)).cast("int").alias("confidence"), F.coalesce("failures", F.lit(0)).cast("int").alias("failures"), F.coalesce("evidence", F.lit(0)).cast("int").alias("evidence"), F.coalesce("status", F.lit("candidate")).alias("status"), F.lit(0).alias("transitions"))
     nothing = F.lit(0), F.lit(0), F.lit(None).cast("double")
-    s = F.aggregate(F.coalesce("h", F.array().cast(rows.schema["h"].dataType)), start.cast(L.STATE), lambda a, x: L.step(a, x, *nothing).cast(L.STATE))
+    s = L.after(start.cast(L.STATE), F.coalesce("h", F.array().cast(rows.schema["h"].dataType)), *nothing)
     out = j.withColumn("_s", s).select("concept", "_s.*", F.array_sort(F.array_union(F.coalesce("source_event_ids", none), F.coalesce("ids", none))).alias("source_event_ids"), F.coalesce(F.size("ids"), F.lit(0)).alias("n_new"))
     flagged = out.where(suspicious(F.col("concept"))).select("concept")
     return out.where("status != 'deprecated'"), flagged

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import lifecycle as L
+from ledgerlens.operators import registry as R
 
 
 def test_numbers_where_ranges_are_joined(spark):
@@ -17,3 +18,23 @@ def test_numbers_where_ranges_are_joined(spark):
         assert out.agg(F.count_distinct("h"), F.count_distinct("idx"), F.max("idx")).head() == (n, n, n - 1)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+EVENT = "concept string, seq long, event_id string, session_id string, event_type string, evidence string, summary string, source string"
+
+
+def test_a_fold_holds_no_list_of_sessions(spark, capsys):
+    rows = [("c", i, f"e{i}", None if i % 7 == 0 else f"s{i % 5}", "validation", "x", "y", "chat") for i in range(40)]
+    e = spark.createDataFrame(rows, EVENT)
+    s = L.replay(e)
+    got = s.head()["s"]
+    assert [x for x in got.sessions if x] == ["s1", "s2", "s3", "s4", "s0"] and got.sessions.count(None) == 6 and got.status == "canonical"
+    s.explain()
+    assert "array_contains" not in capsys.readouterr().out
+
+
+def test_a_fold_goes_on_from_known_sessions(spark):
+    reg = spark.createDataFrame([("c", "candidate", 1, 0, 0, ["s1", "s2"], ["e0"])], "concept string, status string, confidence int, failures int, evidence int, sessions array<string>, source_event_ids array<string>")
+    e = spark.createDataFrame([("c", i, f"e{i}", f"s{i % 4}", "observation", "", "y", "chat") for i in range(1, 9)], EVENT)
+    out, _ = R.materialize(reg, e, F.lit(False))
+    assert out.head()["sessions"] == ["s1", "s2", "s3", "s0"]
