@@ -58,3 +58,29 @@ def test_vector_queries_meet_in_blocks(spark, sf_dir, capsys):
     for name in ("dense_duplicates", "consolidate"):
         queries()[name](spark, sf_dir).explain()
         assert "FlatMapGroupsInArrow" in capsys.readouterr().out
+
+
+def test_conflicts_come_once_without_a_shuffle_of_pairs(spark, capsys):
+    import random
+
+    from ledgerlens.operators import pairs as P
+
+    r = random.Random(3)
+    rows = [(r.randint(0, 60), r.choice(["always x", "never x", "must never y", "x"]), r.choice(["general", "", "s1", "s2", None]), r.sample("abcde", r.randint(0, 3)) + ["a"] * r.randint(0, 1)) for _ in range(90)]
+    d = spark.createDataFrame(rows, "id long, rule string, scope string, triggers array<string>")
+    flags = [(i, "always" in t or "must" in t, "never" in t, s, set(k)) for i, t, s, k in rows]
+    want = {(x[0], y[0]) for x in flags for y in flags if x[0] < y[0] and ((x[1] and y[2]) or (x[2] and y[1])) and (x[4] & y[4] or (x[3] == y[3] and x[3] not in ("general", "", None)))}
+    out = P.directive_conflicts(d)
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    docs = spark.createDataFrame([(i, r.choice(["rest", "grpc", "rest grpc", "none"])) for i in range(40)], "id long, text string")
+    rule = [(r"rest\b", r"grpc\b", "R")]
+    pairs = P.contradictions(docs, rule)
+    have = {x.id: x.text for x in docs.collect()}
+    met = {(a, b, "R") for a in have for b in have if a < b and ((("rest" in have[a]) and "grpc" in have[b]) or ("grpc" in have[a] and "rest" in have[b]))}
+    rows = [tuple(x) for x in pairs.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == met
+    for plan in (out, pairs):
+        plan.explain()
+        top = capsys.readouterr().out.split("Join")[0]
+        assert "HashAggregate" not in top and "Exchange" not in top
