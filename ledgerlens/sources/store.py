@@ -107,6 +107,14 @@ def index_update(store: ChunkStore, files: DataFrame, chunk) -> DataFrame:
     return delta.groupBy("state").agg(F.count("*").alias("n_files"))
 
 
+def counted(words: Column) -> Column:
+    """(term, tf) of a list of words: sorted, a word's count is the distance from its first place to the next word's."""
+    at = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    end = lambda s, w, j: F.coalesce(F.get(s, j + 1), F.size(w))
+    runs = lambda w: F.transform(F.array(at(w)), lambda s: F.transform(s, lambda i, j: F.struct(F.get(w, i).alias("term"), (end(s, w, j) - i).cast("int").alias("tf"))))[0]
+    return F.transform(F.array(F.sort_array(F.filter(words, lambda x: x.isNotNull()))), lambda w: F.when(F.size(w) > 0, runs(w)))[0]
+
+
 class SearchIndex:
     """Postings (term, chunk_id, tf, dl) and document frequencies by buckets
     of terms, and the corpus statistics; a generation is complete once its statistics, written
@@ -122,9 +130,10 @@ class SearchIndex:
         """Each chunk's words are counted where it is read; a term that very many chunks have is
         dealt over several files of its bucket."""
         words = chunks.select("chunk_id", tokens(F.col(text)).alias("_w")).withColumn("dl", F.size("_w"))
-        rows = words.select("chunk_id", "dl", F.explode("_w").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        rows = rows.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4)))
+        rows = words.select("chunk_id", "dl", F.inline(counted(F.col("_w"))))
+        rows = rows.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")).withColumn("_d", F.pmod(F.xxhash64("chunk_id"), F.lit(4)))
+        # chunks that share an id count as one; the keys include what rows are dealt by, so they aren't shuffled again
+        dealt = rows.repartition("bucket", "_d").groupBy("bucket", "_d", "chunk_id", "dl", "term").agg(F.sum("tf").cast("int").alias("tf")).select("chunk_id", "dl", "term", "tf", "bucket")
         dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         stored = self.spark.read.parquet(f"{self.path}/postings")
         stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")

@@ -84,3 +84,18 @@ def test_conflicts_come_once_without_a_shuffle_of_pairs(spark, capsys):
         plan.explain()
         top = capsys.readouterr().out.split("Join")[0]
         assert "HashAggregate" not in top and "Exchange" not in top
+
+
+def test_words_are_counted_in_their_row(spark, tmp_path):
+    from collections import Counter
+
+    from ledgerlens.sources.store import SearchIndex, counted
+
+    rows = [("a", "x y x Über"), ("b", ""), ("c", "x"), ("a", "x y x Über"), ("a", "x y")]
+    d = spark.createDataFrame(rows, "chunk_id string, document string")
+    w = spark.createDataFrame([(["b", "a", "b", "ä", "b"],), ([],), (None,)], "w array<string>").select(counted(F.col("w")).alias("c"))
+    got = [None if r.c is None else {x.term: x.tf for x in r.c} for r in w.collect()]
+    assert got[0] == Counter(["b", "a", "b", "ä", "b"]) and not got[1] and not got[2]
+    SearchIndex(spark, f"file://{tmp_path}/i", 4).build(d)
+    have = {(r.chunk_id, r.dl, r.term): r.tf for r in spark.read.parquet(f"{tmp_path}/i/postings").collect()}
+    assert have == {("a", 4, "x"): 4, ("a", 4, "y"): 2, ("a", 4, "über"): 2, ("c", 1, "x"): 1, ("a", 2, "x"): 1, ("a", 2, "y"): 1}
