@@ -22,6 +22,7 @@ from ..functions.text import tokens
 from .commits import CommitLog
 from .scratch import delete, file_system, fresh
 from .store import SearchIndex
+from .store import counted as word_counts
 
 SCHEMAS = {
     "postings": "term string, source string, chunk_id string, tf int, dl int, bucket int",
@@ -138,7 +139,9 @@ class LiveIndex(SearchIndex):
 
         won = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).head()
         segment = self._segment(version, won["n"], won["length"])
-        counted = words.select("source", "chunk_id", "dl", F.explode("_w").alias("term")).groupBy("source", "chunk_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        counted = words.select("source", "chunk_id", "dl", F.inline(word_counts(F.col("_w"))))
+        if not words.groupBy("source", "chunk_id", "dl").count().where("count > 1").isEmpty():  # ids that a chunker repeats count as one
+            counted = counted.groupBy("source", "chunk_id", "dl", "term").agg(F.sum("tf").cast("int").alias("tf"))
         self._write("postings", counted.select("term", "source", "chunk_id", "tf", "dl"), segment, "term")
         self._write("words", words.select("source", "chunk_id", "dl", F.array_distinct("_w").alias("terms")), segment, "source")
         sizes = words.groupBy("source").agg(F.count("*").alias("n_chunks"))

@@ -99,3 +99,25 @@ def test_words_are_counted_in_their_row(spark, tmp_path):
     SearchIndex(spark, f"file://{tmp_path}/i", 4).build(d)
     have = {(r.chunk_id, r.dl, r.term): r.tf for r in spark.read.parquet(f"{tmp_path}/i/postings").collect()}
     assert have == {("a", 4, "x"): 4, ("a", 4, "y"): 2, ("a", 4, "über"): 2, ("c", 1, "x"): 1, ("a", 2, "x"): 1, ("a", 2, "y"): 1}
+
+
+def test_an_update_counts_words_in_their_row(spark, tmp_path):
+    from ledgerlens.sources.live_index import LiveIndex
+
+    grouped = []
+    frames = type(spark.range(1))
+    plain = frames.groupBy
+
+    def noted(self, *cols):
+        grouped.append(cols)
+        return plain(self, *cols)
+
+    frames.groupBy = noted
+    try:
+        index = LiveIndex(spark, f"file://{tmp_path}/live", 2)
+        files = spark.createDataFrame([("f1", "h1", "x y x"), ("f2", "h2", "y")], "source string, content_hash string, document string")
+        index.update(files, lambda d: d.select("source", F.concat("source", F.lit("#0")).alias("chunk_id"), "document"))
+    finally:
+        frames.groupBy = plain
+    assert ("source", "chunk_id", "dl", "term") not in grouped
+    assert ("source", "chunk_id", "dl") in grouped
