@@ -44,3 +44,40 @@ def test_evaluation_shuffles_no_postings(spark, sf_dir, capsys):
     retrieval.evaluate(docs.select("doc_id", words), bench.select("item_id", words))[1].explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == 1 and "MapInArrow" in plan and "Join" not in plan
+
+
+def test_types_by_their_words(spark):
+    """The rules as plain patterns, on texts put together from pieces that nearly match."""
+    import re
+
+    from ledgerlens.operators import memory as M
+
+    pieces = ["## Failure\n", "**Decision**:", "outcome :", "\n", " ", "x", "```", "Do-not-repeat", "breaking", "BUG:", "Technical  Note:", "Handoff:", "Debug:", "work", "around", "session-handoff.md", "fix", "ERROR", "Don't", "liked", "like", "last time", "tried", "cat  <<EOF", "Command `", "command output:", "search result:", "working on", " \u212aelvin ", "knowledge_read("]
+    r = random.Random(5)
+    texts = ["".join(r.choice(pieces) + r.choice(["", " ", "\n"]) for _ in range(r.randint(0, 5))) for _ in range(600)]
+
+    def plain(d):
+        t = re.sub(r"(?s)```.*?```", "", d)
+        head = "\n".join(re.sub(r"\A[ \t\n\x0b\f\r]+", "", t).split("\n")[:3])
+        has = lambda p, x=t: re.search(p, x, re.A) is not None
+        rules = [
+            (has(M._label("failure")) or has(r"(?i)\bdo-not-repeat\b|\bbreaking\b") or has(r"(?i)(?:^|\n)\s*Failure:|Do-not-repeat|Bug:|Regression:|BREAKING", head), "failure"), (has(M._label("decision")), "decision"), (has(M._label("outcome")), "outcome"),
+            (has(r"(?i)(?:^|\n)\s*(Handoff|Technical\s+Note|Technical\s+Handoff):", head), "technical_handoff"), (has(r"(?i)(?:^|\n)\s*(Debug\s+Note|Debug):", head), "debug_note"), (has(r"(?i)\bworkaround\b"), "workaround"), (has(M.HANDOFF_FILE) and has(M.DETAIL), "technical_handoff"),
+            (has(r"(?i)\b(prefer|like|always|never|don't|hate|style|convention)\b"), "preference"), (has(r"(?i)\b(last time|previously|tried|attempted|before)\b"), "episodic"), (has(r"(?i)Full source dump|File contents:|cat\s+<<EOF"), "source_dump"),
+            (has(r"(?i)Command\s+`|Command output:|Shell output:"), "command_log"), (has(r"(?i)Search results?:|knowledge_search\(|knowledge_read\("), "search_log"), (has(M.ACTIVE), "active_work_signal"),
+        ]
+        return next((k for ok, k in rules if ok), "observation")
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, d string")
+    got = dict(rows.select("id", M.memory_type(F.col("d"))).collect())
+    assert [(d, got[i], plain(d)) for i, d in enumerate(texts) if got[i] != plain(d)] == [] and len(set(got.values())) >= 12
+    low = spark.createDataFrame([("a.ther ther-x thers",), ("others",), ("xther",), ("theres ther",), ("",), (None,)], "d string")
+    assert [x[0] for x in low.select(M.word(F.col("d"), "ther")).collect()] == [True, False, False, True, False, None]
+    assert [x[0] for x in low.select(M.names(F.col("d"), "theres")).collect()] == [False, False, False, True, False, None]
+
+
+def test_a_text_is_cut_into_words_once(spark, sf_dir):
+    from __spark_entry__ import queries
+
+    plan = queries()["memory_rerank"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 2 and plan.count("```.*?```") <= 2
