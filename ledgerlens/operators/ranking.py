@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.scratch import fresh
 
 K1, B = 1.5, 0.75
 
@@ -44,18 +45,22 @@ def bm25_weight(tf: Column, df: Column, n: Column, dl: Column, avg: Column) -> C
 def sparse_scores(chunks: DataFrame, query: str, text: str = "document") -> DataFrame:
     """Chunks with ``sparse``, BM25 over the whole corpus divided by the best score.
 
-    One pass gathers a single row of statistics (and only that is broadcast), one scores.
+    One pass writes what each chunk's words come to, a few numbers a row: statistics and the best score are
+    aggregates of these. A second pass scores the chunks in their rows, so no text and no posting is shuffled.
     """
     terms = query_terms(query)
     counted = term_counts(chunks, terms, text)
     if not terms:
         return counted.withColumn("sparse", F.lit(0.0)).drop("_dl")
     at = {t: i for i, t in enumerate(_unique(terms))}
-    scored = counted.crossJoin(F.broadcast(corpus_stats(counted, terms)))
-    raw = sum((bm25_weight(F.col(f"_tf{at[t]}"), F.col(f"_df{at[t]}"), F.col("_n"), F.col("_dl"), F.col("_avg")) for t in terms), F.lit(0.0))
-    scored = scored.select(*chunks.columns, raw.alias("_raw"))
-    best = scored.agg(F.max("_raw").alias("_best"))
-    return scored.crossJoin(F.broadcast(best)).select(*chunks.columns, F.when(F.col("_best") > 0, F.col("_raw") / F.col("_best")).otherwise(F.col("_raw")).alias("sparse"))
+    aside = fresh(chunks.sparkSession, "counted")
+    numbers = ["_dl", *(f"_tf{i}" for i in at.values())]
+    counted.select(*numbers).write.parquet(aside)
+    kept = chunks.sparkSession.read.parquet(aside)
+    s = corpus_stats(kept, terms).head()
+    raw = sum((bm25_weight(F.col(f"_tf{at[t]}"), F.lit(s[f"_df{at[t]}"]), F.lit(s["_n"]), F.col("_dl"), F.lit(s["_avg"])) for t in terms), F.lit(0.0))
+    best = kept.agg(F.max(raw)).head()[0] or 0.0
+    return counted.select(*chunks.columns, (raw / best if best > 0 else raw).alias("sparse"))
 
 
 def cosine(a: Column, b: Column) -> Column:
