@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_phrase, lexical_overlap, normalize, unique_tokens
+from ..functions.text import contains_phrase, lexical_overlap, normalize, settle, unique_tokens
 from .memory import memory_type  # noqa: F401
 
 # Weights of the scorers.
@@ -61,28 +61,37 @@ def directive_tokens(c: Column) -> Column:
     return F.array_except(F.regexp_extract_all(F.lower(c), F.lit(r"\b([a-z0-9_\-]{3,})\b"), F.lit(1)), F.array(*map(F.lit, STOP)))
 
 
-def match_directives(df: DataFrame) -> DataFrame:
+def match_directives(df: DataFrame, tasks: list[str] | None = None) -> DataFrame:
     """R9 over (task, id, title, rule, scope, priority, triggers, always_on): score and class of
-    the directives that have a positive signal."""
-    task, title, rule, scope = F.lower("task"), F.lower("title"), F.lower("rule"), F.lower("scope")
+    the directives that have a positive signal. With ``tasks`` each of them meets each row, whose words are taken once."""
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\b([a-z0-9_\-]{3,})\b"), F.lit(1))
+    # what several rules need is worked out once for each row, and rows that share no word go before the rest
+    df = settle(df.select(*(["task"] if tasks is None else []), "id", "title", "rule", "scope", "priority", "triggers", "always_on"), {"_title": F.lower("title"), "_rule": F.lower("rule"), "_scope": F.lower("scope")})
+    title, rule, scope = (F.col(c) for c in ("_title", "_rule", "_scope"))
     text = F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(rule, F.lit("")), F.nullif(scope, F.lit("")))
-    tt, dt = directive_tokens(task), directive_tokens(text)
-    trig = F.array_except("triggers", F.array(*map(F.lit, STOP)))
+    flows = F.contains(title, F.lit("workflow")) | F.contains(rule, F.lit("workflow")) | F.contains(scope, F.lit("workflow"))
+    df = settle(df, {"_text_words": words(text), "_title_words": words(title), "_trig": F.array_except("triggers", F.array(*map(F.lit, STOP))), "_flow": flows})
+    of = lambda t: F.struct(t.alias("task"), F.lower(t).alias("_task"), words(F.lower(t)).alias("_words"))
+    met = F.array(*[of(F.lit(t)) for t in tasks]) if tasks is not None else F.array(of(F.col("task")))
+    df = df.select(*[c for c in df.columns if c != "task"], F.explode(met).alias("_t")).select("*", "_t.*").drop("_t")
+    task, flow = F.col("_task"), F.col("_flow") & (F.contains(F.col("_task"), F.lit("workflow")) | F.contains(F.col("_task"), F.lit("wf")))
+    stop = F.array(*map(F.lit, STOP))
     generic = F.array(*map(F.lit, GENERIC))
-    both = F.array_intersect(tt, F.array_union(dt, trig))
-    semantic = F.array_except(both, generic)
-    tset = F.array_intersect(tt, trig)
-    tsem, tgen = F.array_except(tset, generic), F.array_intersect(tset, generic)
-    ordered = lambda c: F.filter(F.regexp_extract_all(c, F.lit(r"\b([a-z0-9_\-]{3,})\b"), F.lit(1)), lambda w: ~w.isin(STOP))
+    tt, dt, trig = F.array_except("_words", stop), F.array_except("_text_words", stop), F.col("_trig")
+    df = settle(df, {"_both": F.array_intersect(tt, F.array_union(dt, trig)), "_tset": F.array_intersect(tt, trig)})
+    both, tset = F.col("_both"), F.col("_tset")
+    df = df.where(F.coalesce(F.col("always_on"), F.lit(False)) | F.coalesce(F.col("scope") == "global", F.lit(True)) | F.coalesce(flow, F.lit(True)) | F.coalesce(F.size(both) > 0, F.lit(True)))
+    ordered = lambda c: F.filter(c, lambda w: ~w.isin(STOP))
     pairs = lambda c: F.when(F.size(c) >= 2, F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.concat_ws(" ", F.element_at(c, i), F.element_at(c, i + 1)))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumns({"_tt": ordered(task), "_dt": ordered(text)})
+    df = settle(df, {"_tt": ordered(F.col("_words")), "_dt": ordered(F.col("_text_words")), "_semantic": F.array_except(both, generic), "_tsem": F.array_except(tset, generic), "_tgen": F.array_intersect(tset, generic)})
+    semantic, tsem, tgen = F.col("_semantic"), F.col("_tsem"), F.col("_tgen")
     common = F.array_intersect(pairs(F.col("_tt")), pairs(F.col("_dt")))
-    phrase = F.exists(common, lambda p: ~F.forall(F.split(p, " "), lambda w: w.isin(GENERIC)))
+    df = settle(df, {"_phrase": F.exists(common, lambda p: ~F.forall(F.split(p, " "), lambda w: w.isin(GENERIC))), "_title_both": F.array_intersect("_title_words", "_words")})
+    phrase = F.col("_phrase")
     on = F.coalesce(F.col("always_on"), F.lit(False)) | (F.col("scope") == "global")
-    flow = (F.contains(title, F.lit("workflow")) | F.contains(rule, F.lit("workflow")) | F.contains(scope, F.lit("workflow"))) & (F.contains(task, F.lit("workflow")) | F.contains(task, F.lit("wf")))
     sem, tsem_any = F.size(semantic) > 0, F.size(tsem) > 0
     title_in = (title != "") & F.contains(task, title)
-    title_both = F.array_intersect(F.regexp_extract_all(title, F.lit(r"\b([a-z0-9_\-]{3,})\b"), F.lit(1)), F.regexp_extract_all(task, F.lit(r"\b([a-z0-9_\-]{3,})\b"), F.lit(1)))
+    title_both = F.col("_title_both")
     title_generic = (F.size(title_both) > 0) & (F.size(F.array_except(title_both, generic)) == 0)
     score = F.when((F.col("priority") == "critical") & (tsem_any | phrase), 8.0).when(tsem_any | phrase, 3.0).when(F.size(tgen) > 0, 1.0).otherwise(0.0)
     score = score + F.when(flow, 6.0).otherwise(0.0)

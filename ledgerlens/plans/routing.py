@@ -166,7 +166,8 @@ def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("p_name", " ").alias("triggers"),
         F.lit(False).alias("always_on"),
     )
-    return R.match_directives(_tasks(d))
+    # a small file is read by few tasks, and the work is in the rows: they are dealt over all cores
+    return R.match_directives(d.repartition(4 * spark.sparkContext.defaultParallelism), TASKS)
 
 
 @query()

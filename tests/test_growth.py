@@ -81,3 +81,46 @@ def test_a_text_is_cut_into_words_once(spark, sf_dir):
 
     plan = queries()["memory_rerank"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") <= 2 and plan.count("```.*?```") <= 2
+
+
+def test_directives_are_cut_into_words_once(spark, sf_dir):
+    from ledgerlens.operators import routing as R
+    from ledgerlens.plans import routing
+
+    d = routing._directives(spark, sf_dir)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 2
+    rows = [(1, "fix review", "keep it", "shop", "critical", ["the", "gear"], None), (2, None, None, None, None, None, None), (3, "Large steel gear", "workflow", "global", "normal", [], False), (4, "x", "steel gear of the plate", "a_b", "critical", ["steel"], False)]
+    df = spark.createDataFrame(rows, "id int, title string, rule string, scope string, priority string, triggers array<string>, always_on boolean")
+    tasks = ["review large steel gear workflow", "a b steel gear", "", "fix review"]
+    got = R.match_directives(df, tasks).collect()
+    one = R.match_directives(routing.F.broadcast(df).withColumn("task", F.explode(F.array(*map(F.lit, tasks))))).collect()
+    assert sorted(map(str, got)) == sorted(map(str, one)) and {(r.task, r.id) for r in got} >= {(tasks[0], 3), (tasks[1], 4), (tasks[2], 3)}
+
+
+def test_best_five_of_a_task_are_kept_in_tasks(spark, capsys):
+    from ledgerlens.operators import memory as M
+    from ledgerlens.operators import preflight as P
+
+    rows = spark.range(40).select(F.when(F.col("id") >= 0, "t").alias("task"), F.col("id").cast("string").alias("id"), F.lit("weak").alias("relevance"), (F.col("id") % 9).cast("double").alias("final_score"), F.lit("decision").alias("memory_type"), F.create_map(F.lit("topic_match"), F.lit(1.0)).alias("boosts"))
+    facts = P.memory_facts(rows, M.Targets.of("steel gear"))
+    assert tuple(facts.select("n_memory", "top5", "all_weak", "strong").head()) == (40, 39.0, False, False)
+    facts.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    from ledgerlens.sources import ledgers
+
+    (tmp_path / "x").write_text('{"event_id": "a", "confidence": 3}\n\n{"event_id": \n[1]\n{"event_id": 5}\n')
+    good, bad = ledgers.parse(ledgers.read_lines(spark, f"file://{tmp_path}/x"))
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [(r.seq, r.event_id, r.confidence) for r in good.orderBy("seq").collect()] == [(0, "a", 3), (4, "5", None)] and sorted(r.line_no for r in bad.collect()) == [3, 4]
+
+
+def test_a_related_section_is_found_once(spark):
+    from ledgerlens.operators import related
+
+    docs = spark.createDataFrame([("concept_001", "---\nid: 1\n---\nsee [[concept_002]]\n\n## Related x\n- [[mitigates:concept_001]]\n## More\nend"), ("concept_002", None), ("concept_003", "")], "id string, text string")
+    plan = related.links(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(text") == 1
+    assert sorted((r.src, r.dst, r.type, r.own) for r in related.links(docs).collect()) == [("concept_001", "concept_001", "mitigates", False), ("concept_001", "concept_002", "relates_to", True)]
