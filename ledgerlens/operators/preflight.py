@@ -92,11 +92,13 @@ def memory_facts(rows: DataFrame, targets: M.Targets) -> DataFrame:
     """The facts of a task's kept memories (task, relevance, final_score, ...) in one row:
     only the best five scores are gathered."""
     level = lambda x: F.coalesce(F.bool_or(F.col("relevance") == x), F.lit(False))
-    top = F.col("_r") <= 5
     from pyspark.sql import Window
 
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("final_score"), "id")))
-    return ranked.groupBy("task").agg(level("strong").alias("strong"), level("medium").alias("medium"), M.only_weak(targets).alias("all_weak"), F.count("*").alias("n_memory"), F.coalesce(F.sum(F.when(top, F.col("final_score"))), F.lit(0.0)).alias("top5"))
+    order = Window.partitionBy("task").orderBy(F.desc("final_score"), "id")
+    # filtered by its place, so tasks keep five of their rows and no more are sorted in one place
+    five = rows.select("task", "final_score", "id").withColumn("_r", F.row_number().over(order)).where("_r <= 5").groupBy("task").agg(F.coalesce(F.sum("final_score"), F.lit(0.0)).alias("top5"))
+    of = rows.groupBy("task").agg(level("strong").alias("strong"), level("medium").alias("medium"), M.only_weak(targets).alias("all_weak"), F.count("*").alias("n_memory"))
+    return of.join(five, "task").select("task", "strong", "medium", "all_weak", "n_memory", "top5")
 
 
 def render(task: Column, decision: Column, reason: Column, skills: Column, concepts: Column, memories: Column, sources: Column, caps: tuple[int, int, int, int] = (3, 5, 5, 3), most_chars: int = 6000) -> Column:
