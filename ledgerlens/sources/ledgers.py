@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import settle
 from .scratch import exists, fresh
 
 EVENT = "event_id string, timestamp string, project string, session_id string, event_type string, concept_candidates array<string>, summary string, evidence string, confidence int, source string, source_type string, ingestion_eligible boolean, schema_version int, scope string"
@@ -35,7 +36,8 @@ def parse(lines: DataFrame, schema: str = EVENT) -> tuple[DataFrame, DataFrame]:
     """(rows with seq, quarantine with file, line_no, seq, raw). Blank lines are
     neither; a line that is no object of the schema's types goes to quarantine."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    text = lines.where(F.trim("raw") != "").withColumn("_r", F.from_json("raw", f"{schema}, _corrupt string", options))
+    # settled, so a line is parsed once and not again for each field and filter
+    text = settle(lines.where(F.trim("raw") != ""), {"_r": F.from_json("raw", f"{schema}, _corrupt string", options)})
     bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull() | ~F.trim("raw").startswith("{")
     good = text.where(~bad).select("seq", "_r.*").drop("_corrupt")
     return good, text.where(bad).select("file", "line_no", "seq", "raw")
@@ -116,7 +118,9 @@ def append(rows: DataFrame, path: str) -> None:
 
 def append_missing(rows: DataFrame, known: DataFrame, path: str) -> None:
     """S3, S16, D-8: appends the events whose id the ledger does not have."""
-    append(rows.join(known.select("event_id").distinct(), "event_id", "left_anti").select(rows.columns), path)
+    aside = fresh(rows.sparkSession, "missing")  # joined once, then checked and appended
+    rows.join(known.select("event_id").distinct(), "event_id", "left_anti").select(rows.columns).write.parquet(aside)
+    append(rows.sparkSession.read.parquet(aside), path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
