@@ -5,31 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import settle
+from ..sources.scratch import fresh
 from .pairs import RECIPROCAL
 
 LINK = r"\[\[(?:([a-zA-Z0-9_]+):)?(concept_\d+)(?:\|([^\]]*))?\]\]"
 HEADING = r"(?i)\n##\s+Related\b[^\n]*"
 
 
-def parts(text: Column) -> tuple[Column, Column, Column]:
-    """(what stands before the related section, the section, what follows it from its next heading on)."""
-    before = F.regexp_extract(text, rf"(?s)\A(.*?)(?={HEADING}|\z)", 1)
-    rest = F.substr(text, F.length(before) + 1)
-    section = F.regexp_extract(rest, r"(?s)\A(\n##\s[^\n]*.*?)(?=\n##\s|\z)", 1)
-    return before, section, F.substr(rest, F.length(section) + 1)
+def parted(docs: DataFrame) -> DataFrame:
+    """docs (text, ...) with _before (what stands before the related section), _section, and _after (what follows it from its
+    next heading on), each worked out once."""
+    docs = settle(docs, {"_before": F.regexp_extract("text", rf"(?s)\A(.*?)(?={HEADING}|\z)", 1)})
+    docs = settle(docs, {"_rest": F.substr(F.col("text"), F.length("_before") + 1)})
+    docs = settle(docs, {"_section": F.regexp_extract("_rest", r"(?s)\A(\n##\s[^\n]*.*?)(?=\n##\s|\z)", 1)})
+    return settle(docs, {"_after": F.substr(F.col("_rest"), F.length("_section") + 1)}).drop("_rest")
 
 
 def links(docs: DataFrame) -> DataFrame:
     """G1: (src, dst, type, own): the relation that each document (id, text) states to another that is there, the
     last one of its text; own: it stands outside of the related section, and counts before those in it."""
-    before, section, after = parts(F.col("text"))
+    ids = docs.select(F.col("id").alias("dst")).distinct()
+    docs = settle(parted(docs.select("id", "text")), {"_outside": F.concat("_before", "_after")})
 
-    def found(c: Column, own: bool) -> Column:
+    def found(c: str, own: bool) -> Column:
         hits = F.regexp_extract_all(c, F.lit(LINK), F.lit(0))
         return F.transform(hits, lambda x, i: F.struct(F.coalesce(F.nullif(F.regexp_extract(x, LINK, 1), F.lit("")), F.lit("relates_to")).alias("type"), F.regexp_extract(x, LINK, 2).alias("dst"), F.lit(own).alias("own"), i.alias("at")))
 
-    rows = docs.select(F.col("id").alias("src"), F.explode(F.concat(found(F.concat(before, after), True), found(section, False))).alias("l")).select("src", "l.*")
-    rows = rows.join(docs.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+    rows = docs.select(F.col("id").alias("src"), F.explode(F.concat(found("_outside", True), found("_section", False))).alias("l")).select("src", "l.*")
+    rows = rows.join(ids, "dst", "left_semi")
     return rows.groupBy("src", "dst").agg(F.max(F.struct("own", "at", "type")).alias("l")).select("src", "dst", "l.type", "l.own")
 
 
@@ -53,13 +57,14 @@ def splice(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     gives the same as once. A null text has no links and stays null. A section is as long as
     its document has relations.
     """
-    edges = relations(links(docs))
+    aside = fresh(docs.sparkSession, "relations")  # read for the lines and by the caller
+    relations(links(docs)).write.parquet(aside)
+    edges = docs.sparkSession.read.parquet(aside)
     names = docs.select(F.col("id").alias("dst"), label(F.col("name")).alias("_n"))
     line = F.concat(F.lit("- [["), "type", F.lit(":"), "dst", F.lit("|"), "_n", F.lit("]] — "), "_n", F.lit(" ("), label(F.col("type")), F.lit(")"))
     listed = edges.join(names, "dst").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dst", line.alias("line")))).alias("_l"))
-    before, _, after = parts(F.col("text"))
     lines = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
-    new = F.concat(F.regexp_replace(before, r"\s+\z", ""), F.lit("\n\n## Related Knowledge\n"), lines, F.lit("\n"), after)
+    new = F.concat(F.regexp_replace("_before", r"\s++\z", ""), F.lit("\n\n## Related Knowledge\n"), lines, F.lit("\n"), "_after")
     fits = F.col("_l").isNotNull() & F.col("text").rlike(r"(?s)\A---\s*\n.*?\n---")
-    out = docs.join(listed, "id", "left").withColumn("_new", F.when(fits, new).otherwise(F.col("text")))
+    out = settle(parted(docs).join(listed, "id", "left"), {"_new": F.when(fits, new).otherwise(F.col("text"))})
     return out.select("id", F.col("_new").alias("text"), (~F.col("_new").eqNullSafe(F.col("text"))).alias("changed")), edges

@@ -97,7 +97,9 @@ def related_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their section of related ones, put in twice."""
     notes = concept_notes(spark, sf_dir)
     once, _ = related.splice(notes)
-    twice, edges = related.splice(once.join(notes.select("id", "name"), "id").select("id", "name", "text"))
+    aside = fresh(spark, "spliced")
+    once.join(notes.select("id", "name"), "id").select("id", "name", "text").write.parquet(aside)
+    twice, edges = related.splice(spark.read.parquet(aside))
     n = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_links"))
     return twice.join(n, "id", "left").select("id", "n_links", F.md5("text").alias("digest"))
 
