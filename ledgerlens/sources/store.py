@@ -30,15 +30,15 @@ class ChunkStore:
         return self.spark.read.parquet(self.path).drop("bucket")
 
     def _rewrite(self, keep: DataFrame, touched: list[int]) -> None:
-        """Replaces the buckets named by the rows of ``keep``. The rows are written aside first,
-        so what they are read from can be replaced."""
+        """Replaces the touched buckets by the rows of ``keep``. These are written aside, by bucket, before what they are
+        read from goes; then their folders take the places of the old ones, and no row is written twice."""
         aside = fresh(self.spark, "store")
-        keep.withColumn("bucket", self._bucket()).write.parquet(aside)
-        rows = self.spark.read.parquet(aside)
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
-        full = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
-        for b in set(touched) - full:
+        keep.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(aside)
+        for b in touched:
+            fs, new = file_system(self.spark, f"{aside}/bucket={b}")
             delete(self.spark, f"{self.path}/bucket={b}")
+            if fs.exists(new) and not fs.rename(new, file_system(self.spark, f"{self.path}/bucket={b}")[1]):
+                raise OSError(f"bucket {b} of {self.path} is left in {aside}")
         delete(self.spark, aside)
 
     def _touched(self, rows: DataFrame) -> list[int]:
