@@ -1,8 +1,9 @@
 """A search index that takes changes: segments, signed counts, compaction.
 
-An update compares hashes and writes one segment: the postings of chunks that came, the words
-of each (so that they can be taken back), a row per source that changed, and the differences
-of document frequencies. Sums over segments are the statistics of what is live. A source that
+An update compares hashes and writes one segment: the words of the chunks that came by buckets of
+source (so that they can be taken back), their postings, a row per source that changed, and the
+differences of document frequencies. Postings are written by the tasks that read the words, in order
+of term: no posting is shuffled, and a search passes over the pages of other terms. Sums over segments are the statistics of what is live. A source that
 a later segment names is dead in earlier ones; readers leave its postings out. What is written
 is in proportion to the change; compaction merges the newest segments when they have grown.
 
@@ -18,24 +19,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import settle, tokens
 from .commits import CommitLog
-from .scratch import delete, file_system, fresh
+from .scratch import delete, file_system, fresh, reads_of
 from .store import SearchIndex
 from .store import counted as word_counts
 
 SCHEMAS = {
-    "postings": "term string, source string, chunk_id string, tf int, dl int, bucket int",
+    "postings": "term string, source string, chunk_id string, tf int, dl int",
     "terms": "term string, df long, bucket int",
-    "words": "source string, chunk_id string, dl int, terms array<string>, bucket int",
+    "words": "source string, chunk_id string, dl int, terms array<struct<term: string, tf: int>>, bucket int",
     "files": "source string, content_hash string, n_chunks long, bucket int",
 }
-BUCKET_WORDS = 1 << 21  # of a segment, in a bucket
+BUCKET_FILES = 1 << 12  # of a segment, in a bucket
+SORTED_BYTES = 1 << 25  # of words, whose postings a task sorts: a word takes about 15 times its size there
+FEW = 500_000  # sources that are broadcast; more are shuffled
 Chunker = Callable[[DataFrame], DataFrame]
 
 
 class LiveIndex(SearchIndex):
-    """Postings of chunks (source, chunk_id, document) under ``path``, in at most ``buckets`` (a power of two) of a
+    """An index of chunks (source, chunk_id, document) under ``path``, in at most ``buckets`` (a power of two) of a
     segment. ``config`` is whatever chunks depend on: an update under another one takes every file
     for changed."""
 
@@ -71,23 +74,43 @@ class LiveIndex(SearchIndex):
             out = out.unionByName(rows.withColumn("version", F.lit(s["version"]).cast("long")))
         return out
 
-    def _write(self, kind: str, rows: DataFrame, segment: dict, key: str) -> None:
-        """Rows by buckets of a key; Spark splits a bucket that very many rows fall into over several files."""
-        out = rows.withColumn("bucket", F.pmod(self._hashed(key), F.lit(segment["buckets"])).cast("int"))
-        out.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{kind}/{segment['name']}")
+    def _bucketed(self, rows: DataFrame, segment: dict, key: str) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(self._hashed(key), F.lit(segment["buckets"])).cast("int"))
 
-    def _segment(self, version: int, chunks: int, length: int) -> dict:
-        """A new segment: a power of two of buckets, as many as its words ask for, up to ``buckets``."""
+    def _dealt(self, rows: DataFrame, segment: dict, key: str) -> DataFrame:
+        """Rows by buckets of a key; Spark splits a bucket that very many rows fall into over several tasks."""
+        return self._bucketed(rows, segment, key).hint("rebalance", F.col("bucket"))
+
+    def _write(self, kind: str, rows: DataFrame, segment: dict, key: str) -> DataFrame:
+        """Writes rows that are dealt by buckets of a key, and reads them."""
+        path = f"{self.path}/{kind}/{segment['name']}"
+        self._bucketed(rows, segment, key).sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(path)
+        return self.spark.read.schema(SCHEMAS[kind]).parquet(path)
+
+    def _write_postings(self, words: DataFrame, segment: dict) -> DataFrame:
+        """Writes the postings of a segment's words where these are read, and reads them."""
+        rows = words.select("source", "chunk_id", "dl", F.inline("terms"))
+        if not words.groupBy("source", "chunk_id", "dl").count().where("count > 1").isEmpty():  # ids that a chunker repeats count as one
+            rows = rows.groupBy("source", "chunk_id", "dl", "term").agg(F.sum("tf").cast("int").alias("tf"))
+        path = f"{self.path}/postings/{segment['name']}"
+        with reads_of(self.spark, SORTED_BYTES):
+            rows.select("term", "source", "chunk_id", "tf", "dl").sortWithinPartitions("term").write.parquet(path)
+        return self.spark.read.schema(SCHEMAS["postings"]).parquet(path)
+
+    def _segment(self, version: int, files: int) -> dict:
+        """A new segment: a power of two of buckets, as many as its files ask for, up to ``buckets``."""
         buckets = 1
-        while buckets < self.buckets and buckets * BUCKET_WORDS < length:
+        while buckets < self.buckets and buckets * BUCKET_FILES < files:
             buckets *= 2
-        return {"name": f"{version:08d}-{uuid.uuid4().hex}", "version": version, "chunks": chunks, "buckets": buckets}
+        return {"name": f"{version:08d}-{uuid.uuid4().hex}", "version": version, "files": files, "buckets": buckets}
 
     def _live(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
         """The rows whose source no later segment names. Only segments after the oldest are asked."""
         if len(segments) < 2:
             return rows
         later = self._read("files", segments[1:]).groupBy("source").agg(F.max("version").alias("_newest"))
+        if sum(s["files"] for s in segments[1:]) <= FEW:
+            later = F.broadcast(later)
         newest = F.coalesce("_newest", F.lit(0))
         return rows.join(later, "source", "left").where(F.col("version") >= newest).drop("_newest")
 
@@ -99,8 +122,9 @@ class LiveIndex(SearchIndex):
 
     def _of(self, name: str, terms: list[str]) -> DataFrame:
         segments = self.record()["segments"]
-        rows = self._read(name, segments, [zlib.crc32(t.encode()) for t in terms]).where(F.col("term").isin(terms))
-        return self._live(rows, segments) if name == "postings" else rows
+        if name == "postings":
+            return self._live(self._read(name, segments).where(F.col("term").isin(terms)), segments)
+        return self._read(name, segments, [zlib.crc32(t.encode()) for t in terms]).where(F.col("term").isin(terms))
 
     def frequencies(self, terms: list[str]) -> dict[str, int]:
         """How many chunks have each of a query's terms."""
@@ -121,39 +145,36 @@ class LiveIndex(SearchIndex):
         version, forced = n + 1, record["config"] != self.config
         aside = fresh(self.spark, "index-update")
         listed = files.where("source IS NOT NULL").select("source", F.coalesce("content_hash", F.lit("")).alias("new_hash"), "document")
-        hashes = listed.groupBy("source").agg(F.max("new_hash").alias("new_hash"))
+        hashes = listed.groupBy("source").agg(F.max("new_hash").alias("new_hash"), F.count("*").alias("rows"))
         old = self.files().select("source", F.col("content_hash").alias("old_hash"), F.col("n_chunks").alias("old_chunks"))
         state = F.when(F.col("old_hash").isNull(), "new").when(F.col("new_hash").isNull(), "deleted" if whole else "unchanged").when((F.col("old_hash") != F.col("new_hash")) | F.lit(forced), "updated").otherwise("unchanged")
-        hashes.join(old, "source", "full").select("source", "new_hash", "old_chunks", state.alias("state")).write.parquet(f"{aside}/delta")
+        hashes.join(old, "source", "full").select("source", "new_hash", "rows", "old_chunks", state.alias("state")).write.parquet(f"{aside}/delta")
         delta = self.spark.read.parquet(f"{aside}/delta")
         moved = delta.where("state != 'unchanged'")
-        if moved.isEmpty():
+        states = {r["state"]: r for r in delta.groupBy("state").agg(F.count("*").alias("n"), F.max("rows").alias("rows")).collect()}
+        if not states.keys() - {"unchanged"}:
             if forced:
                 self.log.publish(version, record | {"config": self.config})
             return delta.groupBy("state").agg(F.count("*").alias("n_files"), F.sum("old_chunks").alias("n_chunks"))
-        came = listed.join(moved.where("state != 'deleted'").select("source", "new_hash"), ["source", "new_hash"], "left_semi")
-        came = came.groupBy("source").agg(F.max("new_hash").alias("content_hash"), F.max("document").alias("document"))
-        words = chunk(came).select("source", "chunk_id", tokens(F.col("document")).alias("_w")).withColumn("dl", F.size("_w"))
-        words.write.parquet(f"{aside}/words")
-        words = self.spark.read.parquet(f"{aside}/words")
-
+        n_of = lambda *names: sum(states[k]["n"] for k in names if k in states)
+        segment = self._segment(version, n_of("new", "updated", "deleted"))
+        came = self._dealt(self._came(listed, moved, states), segment, "source").drop("bucket")
+        words = settle(chunk(came).select("source", "chunk_id", "document"), {"_w": tokens(F.col("document"))})
+        words = self._write("words", words.select("source", "chunk_id", F.size("_w").alias("dl"), word_counts(F.col("_w")).alias("terms")), segment, "source")
+        counted = self._write_postings(words, segment)
         won = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).head()
-        segment = self._segment(version, won["n"], won["length"])
-        counted = words.select("source", "chunk_id", "dl", F.inline(word_counts(F.col("_w"))))
-        if not words.groupBy("source", "chunk_id", "dl").count().where("count > 1").isEmpty():  # ids that a chunker repeats count as one
-            counted = counted.groupBy("source", "chunk_id", "dl", "term").agg(F.sum("tf").cast("int").alias("tf"))
-        self._write("postings", counted.select("term", "source", "chunk_id", "tf", "dl"), segment, "term")
-        self._write("words", words.select("source", "chunk_id", "dl", F.array_distinct("_w").alias("terms")), segment, "source")
+        segment["chunks"] = won["n"]
         sizes = words.groupBy("source").agg(F.count("*").alias("n_chunks"))
         named = moved.select("source", F.when(F.col("state") != "deleted", F.col("new_hash")).alias("content_hash"), "state", "old_chunks").join(sizes, "source", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
-        self._write("files", named.select("source", "content_hash", "n_chunks"), segment, "source")
+        self._write("files", self._dealt(named.select("source", "content_hash", "n_chunks"), segment, "source"), segment, "source")
 
-        gone = self._taken_back(moved.where("state IN ('deleted', 'updated')").select("source"), record["segments"])
+        left = moved.where("state IN ('deleted', 'updated')").select("source")
+        gone = self._taken_back(F.broadcast(left) if n_of("deleted", "updated") <= FEW else left, record["segments"])
         lost = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).head()
         plus = counted.groupBy("term").agg(F.count("*").alias("df"))
-        minus = gone.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
+        minus = gone.select(F.explode("terms.term").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
         change = plus.unionByName(minus).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0")
-        self._write("terms", change.select("term", "df"), segment, "term")
+        self._write("terms", self._dealt(change.select("term", "df"), segment, "term"), segment, "term")
 
         self.log.publish(version, {"segments": [*record["segments"], segment], "n": record["n"] + won["n"] - lost["n"], "length": record["length"] + won["length"] - lost["length"], "config": self.config})
         chunks = F.when(F.col("state") == "deleted", F.col("old_chunks")).otherwise(F.col("n_chunks"))
@@ -161,6 +182,20 @@ class LiveIndex(SearchIndex):
         same = delta.where("state = 'unchanged'").groupBy("state").agg(F.count("*").alias("n_files"), F.sum("old_chunks").alias("n_chunks"))
         return done.unionByName(same)
 
+    def _came(self, listed: DataFrame, moved: DataFrame, states: dict) -> DataFrame:
+        """(source, content_hash, document) of the files that are new or changed. Texts are not looked at if there are
+        none, and not joined if all rows are; a source's rows meet only if some source has several."""
+        ones = [states[k] for k in ("new", "updated") if k in states]
+        if not ones:
+            return self.spark.createDataFrame([], "source string, content_hash string, document string")
+        rows, once = listed.withColumnRenamed("new_hash", "content_hash"), max(s["rows"] for s in ones) == 1
+        if not (once and "unchanged" not in states):
+            keys = moved.where("state != 'deleted'").select("source", F.col("new_hash").alias("_hash"))
+            rows = rows.join(F.broadcast(keys) if sum(s["n"] for s in ones) <= FEW else keys, "source").where("content_hash = _hash")
+        if not once:
+            rows = rows.groupBy("source", "content_hash").agg(F.max("document").alias("document"))
+        return rows.select("source", "content_hash", "document")
+
     def _taken_back(self, sources: DataFrame, segments: list[dict]) -> DataFrame:
         """The live words of sources, from their buckets alone."""
         most = max([s["buckets"] for s in segments], default=1)
@@ -176,14 +211,14 @@ class LiveIndex(SearchIndex):
         old, merged = record["segments"][:keep], record["segments"][keep:]
         if not merged:
             return
-        live = {kind: self._live(self._read(kind, merged), merged).drop("version", "bucket") for kind in ("postings", "words")}
-        size = live["words"].agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).head()
-        segment = self._segment(n + 1, size["n"], size["length"])
-        self._write("postings", live["postings"], segment, "term")
-        self._write("words", live["words"], segment, "source")
+        segment = self._segment(n + 1, sum(s["files"] for s in merged))
+        live = self._live(self._read("words", merged), merged).drop("version", "bucket")
+        words = self._write("words", self._dealt(live, segment, "source"), segment, "source")
+        self._write_postings(words, segment)
+        segment["chunks"] = words.count()
         files = self._read("files", merged).groupBy("source").agg(F.max_by(F.struct("content_hash", "n_chunks"), "version").alias("f")).select("source", "f.*")
-        self._write("files", files if old else files.where("content_hash IS NOT NULL"), segment, "source")
-        self._write("terms", self._read("terms", merged).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0"), segment, "term")
+        self._write("files", self._dealt(files if old else files.where("content_hash IS NOT NULL"), segment, "source"), segment, "source")
+        self._write("terms", self._dealt(self._read("terms", merged).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0"), segment, "term"), segment, "term")
         self.log.publish(n + 1, record | {"segments": [*old, segment]})
 
     def compact_small(self, factor: int = 4) -> bool:

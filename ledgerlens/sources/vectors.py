@@ -55,20 +55,25 @@ class VectorStore:
 
     def stage(self, chunks: DataFrame) -> str:
         """Writes a generation for chunks (chunk_id, source, document): vectors of known texts are taken over,
-        each other distinct text is embedded once. Returns its name; nothing counts yet."""
+        each other distinct text is embedded once. Returns its name; nothing counts yet. Only texts that aren't
+        known meet their like; rows, known vectors and new ones then meet by content hash, each shuffled once."""
         rows = self._hashed(chunks)
-        texts = rows.groupBy("content_hash").agg(F.first("document").alias("document"))
-        known = self.current().groupBy("content_hash").agg(F.first("vector").alias("vector"))
-        embed = self.embed
+        embed, texts, known = self.embed, rows.select("content_hash", "document"), None
+        if self.mode() != "bm25":
+            current = self.current()
+            texts = texts.join(current.select("content_hash"), "content_hash", "left_anti")
+            known = current.groupBy("content_hash").agg(F.first("vector").alias("_known"))
 
         @F.pandas_udf("array<double>")
         def vectors(documents: pd.Series) -> pd.Series:
             return pd.Series(list(embed(documents.tolist())))
 
-        fresh = texts.join(known.select("content_hash"), "content_hash", "left_anti").select("content_hash", vectors("document").alias("vector"))
-        both = known.join(texts.select("content_hash"), "content_hash", "left_semi").unionByName(fresh)
+        fresh = texts.dropDuplicates(["content_hash"]).select("content_hash", vectors("document").alias("vector"))
         name = uuid.uuid4().hex
-        staged = rows.drop("document").join(both, "content_hash").select("chunk_id", "source", "content_hash", F.lit(self.model).alias("model"), F.lit(self.dimension).alias("dimension"), "vector")
+        staged = rows.drop("document").join(fresh, "content_hash", "left")
+        if known is not None:
+            staged = staged.join(known, "content_hash", "left").withColumn("vector", F.coalesce("_known", "vector"))
+        staged = staged.select("chunk_id", "source", "content_hash", F.lit(self.model).alias("model"), F.lit(self.dimension).alias("dimension"), "vector")
         staged.write.parquet(f"{self.path}/generations/{name}")
         return name
 
