@@ -39,13 +39,10 @@ class Memo(dict):
         if len(self) > self.entries:
             self.old = dict(self)
             self.clear()
-        old, new = self.old, []
-        for w in pieces.difference(self):
-            if w in old:
-                self[w] = old[w]
-            else:
-                new.append(w)
-        return new
+        new = pieces.difference(self)
+        again = new.intersection(self.old)
+        self.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return list(new.difference(again))
 
 
 def load(path: str):
@@ -78,7 +75,7 @@ class WordEncoder:
         new = self.memo.missing(words)
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
-            ids = np.asarray(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")  # without the ids' places in the text
             cut = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
             if len(cut) == len(part) + 1 and cut[-1] == 4 * len(ids):
                 data = ids.tobytes()

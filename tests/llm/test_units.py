@@ -163,3 +163,16 @@ def test_graph_search_recall():
 
 def test_pack_crc():
     assert zlib.crc32(wordbpe.pack([1, 70000])) == zlib.crc32(b"\x01\0\0\0\x70\x11\x01\0")
+
+
+def test_words_are_encoded_without_their_places():
+    """op4: ids alone are asked for, from the library's call that works out no places in the text; older words stay at hand."""
+
+    class Library:
+        def __init__(self, library):
+            self.encode_batch_fast, self.get_vocab = library.encode_batch_fast, library.get_vocab
+
+    encoder, lib = wordbpe.WordEncoder(WORD, 3), wordbpe.load(WORD)
+    encoder.library = Library(lib)
+    for texts in (["the of and entia", "été 12's"], ["ment of", "the"], ["entia the été"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
