@@ -121,3 +121,26 @@ def test_an_update_counts_words_in_their_row(spark, tmp_path):
         frames.groupBy = plain
     assert ("source", "chunk_id", "dl", "term") not in grouped
     assert ("source", "chunk_id", "dl") in grouped
+
+
+def noted_lists(monkeypatch):
+    """The sides of each meeting of lists, as they are given."""
+    from ledgerlens.operators import pairs as P
+
+    given = []
+    plain = P.lists_met
+    monkeypatch.setattr(P, "lists_met", lambda a, b, *rest: given.extend([a, b]) or plain(a, b, *rest))
+    return given
+
+
+def test_contradictions_meet_as_lists_on_all_cores(spark, monkeypatch):
+    from ledgerlens.operators import pairs as P
+
+    given = noted_lists(monkeypatch)
+    docs = spark.range(1500).select("id", F.when(F.col("id") % 3 == 0, "rest").when(F.col("id") % 3 == 1, "grpc").otherwise("rest grpc").alias("text"))
+    docs = docs.unionByName(docs.where("id < 9")).unionByName(spark.sql("SELECT CAST(null AS LONG) AS id, 'rest grpc' AS text"))
+    out = P.contradictions(docs, [(r"rest\b", r"grpc\b", "R")])
+    # all pairs but those of two that both have one of the words only
+    assert out.count() == out.distinct().count() == 1500 * 1499 // 2 - 2 * (500 * 499 // 2) and out.where("a >= b").isEmpty()
+    assert all(rows.count() < 20 for rows in given)
+    assert out.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism  # however small what is sent
