@@ -142,5 +142,20 @@ def test_contradictions_meet_as_lists_on_all_cores(spark, monkeypatch):
     out = P.contradictions(docs, [(r"rest\b", r"grpc\b", "R")])
     # all pairs but those of two that both have one of the words only
     assert out.count() == out.distinct().count() == 1500 * 1499 // 2 - 2 * (500 * 499 // 2) and out.where("a >= b").isEmpty()
-    assert all(rows.count() < 20 for rows in given)
+    assert len(given) == 2 and all(rows.count() < 20 for rows in given)
+    assert out.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism  # however small what is sent
+
+
+def test_conflicts_meet_as_lists_on_all_cores(spark, monkeypatch):
+    from ledgerlens.operators import pairs as P
+
+    given = noted_lists(monkeypatch)
+    k = F.col("id") % 4
+    rule = F.when(F.col("id") % 2 == 0, "always x").otherwise("never x")
+    d = spark.range(1600).select("id", rule.alias("rule"), F.when(k < 2, "s").otherwise("general").alias("scope"), F.array(F.lit("t"), F.lit(None), F.when(k % 3 == 0, "u").otherwise("v")).alias("triggers"))
+    d = d.unionByName(spark.sql("SELECT CAST(null AS LONG) AS id, 'always never' AS rule, 's' AS scope, array('t') AS triggers")).unionByName(spark.sql("SELECT 5000L AS id, 'must never' AS rule, 's' AS scope, CAST(null AS array<string>) AS triggers"))
+    out = P.directive_conflicts(d)
+    # t is common to all but the last, which conflicts by s
+    assert out.count() == out.distinct().count() == 800 * 800 + 800 and out.where("d1 >= d2").isEmpty()
+    assert len(given) == 2 and all(rows.count() < 40 for rows in given)
     assert out.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism  # however small what is sent
